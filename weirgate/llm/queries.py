@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirgate.llm import mixing, simhash
+from weirgate.llm import decontam, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": decontam.query,
     "op4_simhash": simhash.query,
     "op10_source_mix": mixing.query,
 }
