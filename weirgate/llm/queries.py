@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirgate.llm import decontam, licenses, mixing, simhash
+from weirgate.llm import decontam, langid, licenses, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": langid.query,
     "op9_license_scan": licenses.query,
     "op3_decontaminate": decontam.query,
     "op4_simhash": simhash.query,
