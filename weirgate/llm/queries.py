@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirgate.llm import decontam, langid, licenses, mixing, simhash
+from weirgate.llm import decontam, langid, licenses, mixing, rollups, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_rollups": rollups.query,
+    "op7_warc_salvage": warc.query,
     "op2_language_id": langid.query,
     "op9_license_scan": licenses.query,
     "op3_decontaminate": decontam.query,
@@ -16,4 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_token_rollups": rollups.ORACLE_SQL,
+    "op7_warc_salvage": warc.ORACLE_SQL,
+}
