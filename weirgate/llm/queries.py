@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirgate.llm import decontam, langid, licenses, mixing, rollups, simhash, warc
+from weirgate.llm import decontam, fingerprints, langid, licenses, mixing, rollups, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints.query,
     "op6_token_rollups": rollups.query,
     "op7_warc_salvage": warc.query,
     "op2_language_id": langid.query,
