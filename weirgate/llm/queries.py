@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirgate.llm import decontam, fingerprints, langid, licenses, mixing, rollups, simhash, warc
+from weirgate.llm import decontam, fingerprints, langid, licenses, line_dedup, mixing, rollups, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_line_dedup": line_dedup.query,
     "op1_fingerprints": fingerprints.query,
     "op6_token_rollups": rollups.query,
     "op7_warc_salvage": warc.query,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op6_token_rollups": rollups.ORACLE_SQL,
     "op7_warc_salvage": warc.ORACLE_SQL,
 }
