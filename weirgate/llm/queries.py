@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirgate.llm import decontam, fingerprints, langid, licenses, line_dedup, mixing, rollups, simhash, warc
+from weirgate.llm import attention_lm, decontam, fingerprints, langid, licenses, line_dedup, mixing, rollups, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_lm_scores": attention_lm.query,
     "op8_line_dedup": line_dedup.query,
     "op1_fingerprints": fingerprints.query,
     "op6_token_rollups": rollups.query,
