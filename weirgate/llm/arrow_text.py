@@ -17,7 +17,7 @@ SPACED[[32, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 

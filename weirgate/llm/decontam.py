@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import ALNUM, Words, gram_hashes, mix, slices, split_words
-from weirgate.llm.shared import stage
+from weirgate.llm.shared import map_arrow, stage
 
 SPAN = 10
 GRAM = 5
@@ -108,7 +108,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def benchmark_filter(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
     """The Bloom filter (2 ** FILTER_BITS bits, whatever the benchmark's size) and the lengths of the short windows (under SPAN)."""
-    words = windows.select("window", "size").distinct().mapInArrow(_bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    words = map_arrow(windows.select("window", "size").distinct(), _bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
     packed = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
     for r in words.collect():
         packed[r["word"]] = r["mask"]
@@ -156,13 +156,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row_key, n_words, n_hit, n_items, items_sha256, contaminated: one row per distinct (doc_id, text), with `copies` of it."""
     spark = docs.sparkSession
     windows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    windows = stage(windows.mapInArrow(_item_windows, "item_id string, window string, size long").distinct(), "bench-windows")
+    windows = stage(map_arrow(windows, _item_windows, "item_id string, window string, size long").distinct(), "bench-windows")
     packed, lengths = benchmark_filter(windows)
     found = spark.sparkContext.broadcast(packed)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.col("text").cast("string").alias("text"))
-    shown = stage(rows.mapInArrow(lambda b: _counts(b, found, lengths), f"doc_id {kind}, row_key long, n_words long, place long, window string"), "bench-shown")
+    shown = stage(map_arrow(rows, lambda b: _counts(b, found, lengths), f"doc_id {kind}, row_key long, n_words long, place long, window string"), "bench-shown")
     base = shown.filter("place < 0").groupBy("doc_id", "row_key", "n_words").agg(F.count("*").alias("copies"))
 
     # Windows that the benchmark has, each once; then the items of those, for each document that holds them.

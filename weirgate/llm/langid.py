@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import mix, slices
-from weirgate.llm.shared import bucket_of
+from weirgate.llm.shared import bucket_of, map_arrow
 
 FOLDS = 5
 ORDERS = (3, 4)
@@ -129,7 +129,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filter:
         return Filter([], [])
     rate = F.create_map([F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)])
     sample = labelled.filter(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
-    n = sample.mapInArrow(_count, "lang string, order long, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    n = map_arrow(sample, _count, "lang string, order long, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("lang", "order"))
     most = F.max("share").over(Window.partitionBy("order", "gram"))
     rank = F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram"))
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: Filter) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (bucket_of(F.col("doc_id"), FOLDS) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda b: _predict(b, shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double, known double")
+    return map_arrow(rows, lambda b: _predict(b, shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double, known double")
 
 
 def _accept(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def _accept(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 def keep_identified(docs: DataFrame, model: Filter) -> DataFrame:
     """The documents whose language is one of the learned ones: not `und`, and at least KNOWN of their n-grams known."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda b: _accept(b, shared), docs.schema)
+    return map_arrow(docs, lambda b: _accept(b, shared), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import ALNUM, slices, split_words
-from weirgate.llm.shared import ALNUM_WORD
+from weirgate.llm.shared import ALNUM_WORD, map_arrow
 
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Label, notice, mandatory phrases.
@@ -98,7 +98,7 @@ def _frequency(batches: Iterator[pa.RecordBatch], templates: tuple) -> Iterator[
 
 def idf(docs: DataFrame, templates: tuple = TEMPLATES) -> np.ndarray:
     """IDF of each word of the templates over all documents; one row a word reaches the driver."""
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _frequency(b, templates), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select(F.col("text").cast("string").alias("text")), lambda b: _frequency(b, templates), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     n = np.zeros(len(index_of(templates).vocabulary) + 1)
     for r in counts.collect():
         n[r["word"]] = r["n"]
@@ -191,7 +191,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     weight = idf(docs, templates)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda b: _scan(b, weight, templates), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_arrow(rows, lambda b: _scan(b, weight, templates), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

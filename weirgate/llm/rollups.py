@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import slices
-from weirgate.llm.shared import ALNUM_WORD, SPACED_WORD, ascii_lower, shared_dir, stage
+from weirgate.llm.shared import ALNUM_WORD, SPACED_WORD, ascii_lower, map_arrow, shared_dir, stage
 
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, docs long, tokens long"
@@ -61,7 +61,7 @@ def subword_counts(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULAR
     """`keep` columns and the number of byte-level BPE tokens of each whole text."""
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(lambda b: _subwords(b, vocabulary), f"{schema}, tokens long")
+    return map_arrow(rows, lambda b: _subwords(b, vocabulary), f"{schema}, tokens long")
 
 
 class Rollup:

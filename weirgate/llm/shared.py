@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Text that goes to a Python worker at once; Spark's own limit of 64 MB a batch is held several times over, in the JVM and in Python.
+BATCH_BYTES = "2m"
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -33,6 +37,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow over batches of BATCH_BYTES, unless the session sets a limit of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import SPACED, slices, split_words
 from weirgate.llm.components import components
-from weirgate.llm.shared import stage
+from weirgate.llm.shared import map_arrow, stage
 
 SHINGLE = 4
 SEED = 42
@@ -80,7 +80,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (a hash of the text), fp: one row per document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint, f"doc_id {kind}, row_key long, fp long")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.col("text").cast("string").alias("text")), _fingerprint, f"doc_id {kind}, row_key long, fp long")
 
 
 @lru_cache(1)
@@ -189,16 +189,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link(fps: DataFrame) -> DataFrame:
     """fps: doc_id, fp. Returns fp, component_id for each distinct fingerprint."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    hot = distinct.select("fp").mapInArrow(_homes, "anchor long").groupBy("anchor").count().filter(F.col("count") > CELL)
+    hot = map_arrow(distinct.select("fp"), _homes, "anchor long").groupBy("anchor").count().filter(F.col("count") > CELL)
     hot = stage(hot.select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("count") / CELL).cast("int").alias("cells")), "simhash-hot")
     hot = F.broadcast(hot) if hot.count() <= FEW_HOT else hot
-    copies = distinct.select("fp").mapInArrow(_replicate, "anchor long, visits long, fp long").join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
+    copies = map_arrow(distinct.select("fp"), _replicate, "anchor long, visits long, fp long").join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
     cells = F.coalesce("cells", F.lit(1))
     own = F.pmod(F.xxhash64("fp"), cells).cast("int")
     copies = copies.select("anchor", "visits", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
     resident = F.col("visits") == 0
     copies = copies.select("anchor", F.when(resident, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(resident, F.col("other")).otherwise(F.col("own")).alias("j"), "visits", "fp")
-    edges = copies.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "visits").mapInArrow(_compare, "a long, b long")
+    edges = map_arrow(copies.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "visits"), _compare, "a long, b long")
     roots = components(edges)
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("linked_id"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.shared import shared_dir
+from weirgate.llm.shared import map_arrow, shared_dir
 
 FILE_BYTES = 8 << 20
 CRLF = "\r\n"
@@ -210,7 +210,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark, folder: str) -> DataFrame:
     """A row per record or gap of the archive files: path, start, end, gap (a reason, or null), and the record's fields."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return files.mapInArrow(_read, "path string, start long, end long, gap string, page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return map_arrow(files, _read, "path string, start long, end long, gap string, page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
