@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import ALNUM, Words, gram_hashes, mix, slices, split_words
-from weirgate.llm.shared import map_arrow, stage
+from weirgate.llm.shared import map_arrow, packed, stage
 
 SPAN = 10
 GRAM = 5
@@ -186,8 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark window."""
     bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key"))
-    keyed = docs.withColumn("row_key_of_text", F.xxhash64("text"))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("row_key_of_text") == F.col("bad_key")), "left_anti").select(*docs.columns)
+    return packed(docs).join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("row_key") == F.col("bad_key")), "left_anti").select("packed.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import SPACED, slices, split_words
 from weirgate.llm.components import components
-from weirgate.llm.shared import map_arrow, stage
+from weirgate.llm.shared import map_arrow, packed, stage
 
 SHINGLE = 4
 SEED = 42
@@ -216,9 +216,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of which each is the one that stays of its component: the smallest id, of equal ids the smallest row_key."""
     found = near_duplicates(docs).withColumn("found_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     stays = found.groupBy("component_id").agg(F.min("found_id").alias("s")).select(F.col("s.doc_id").alias("stay_id"), F.col("s.row_key").alias("stay_key"))
-    keyed = docs.withColumn("row_key_of_text", F.xxhash64("text"))
-    kept = keyed.join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("row_key_of_text") == F.col("stay_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "row_key_of_text"]).select(*docs.columns)
+    kept = packed(docs).join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("row_key") == F.col("stay_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "row_key"]).select("packed.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
