@@ -391,6 +391,13 @@ def test_native_plans_hold_no_python(spark):
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_hashes_of_words_by_either_way(monkeypatch):
+    words = arrow_text.split_words(pa.array(["Ab cd ä", "", "ab x", "é" * 90 + " zz"], pa.large_string()), arrow_text.SPACED)
+    plain = words.hashes()
+    monkeypatch.setattr(arrow_text, "POWERS", 3)
+    assert (words.hashes() == plain).all() and plain[0] == plain[3] and len(set(plain.tolist())) == len(plain) - 1
+
+
 def test_arrow_slices_keep_all_rows():
     column = pa.array(["a" * 300_000, None, "", "b", "c" * 10])
     got = [x for _, part in arrow_text.slices(column) for x in part.to_pylist()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,16 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 SLICE_BYTES = 1 << 18
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text up to which words are hashed by prefix sums; longer texts are hashed word by word, with the same result.
+POWERS = 1 << 21
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _PRIME from the first on, and the inverses, modulo 2 ** 64, of its powers from the zeroth on."""
+    inverse = np.full(POWERS, pow(int(_PRIME), -1, 1 << 64), dtype=np.uint64)
+    inverse[0] = 1
+    return np.multiply.accumulate(np.full(POWERS, _PRIME)), np.multiply.accumulate(inverse)
 
 
 @dataclass
@@ -39,6 +50,12 @@ class Words:
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
         size = self.end - self.start
+        if len(self.low) <= POWERS:
+            # Prefix sums of byte x power; a word's own sum is the difference of two, divided by the power where it starts.
+            power, inverse = _powers()
+            sums = np.zeros(len(self.low) + 1, dtype=np.uint64)
+            np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * power[: len(self.low)], out=sums[1:])
+            return mix((sums[self.end] - sums[self.start]) * inverse[self.start] + size.astype(np.uint64))
         at = np.concatenate([[0], np.cumsum(size)[:-1]])
         inside = np.arange(int(size.sum())) - np.repeat(at, size)
         power = np.multiply.accumulate(np.full(int(size.max()), _PRIME, dtype=np.uint64))
