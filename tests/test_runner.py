@@ -1,0 +1,187 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from weirgate import operations
+from weirgate.declarations import Checkpoint, Event, Identifier, Source, State, Sync
+from weirgate.decisions import Counts
+from weirgate.operators.diff import DuplicateIdentity
+from weirgate.runner import Runner, new_collect_id
+from weirgate.sinks import files
+from weirgate.sources.keyset import CurrentPosition, WorkPosition
+from weirgate.store import Store
+from weirgate.streaming import events
+
+STATE = State("customers", Source("customers", "select 1"), key={"customer": "id"}, target="audience", identifiers=[Identifier("email", value="email")], payload={"plan": "plan"})
+SYNC = Sync("s", STATE, "files", "rows")
+COLUMNS = "id string, email string, plan string, audience string"
+
+
+@pytest.fixture
+def runner(spark, tmp_path):
+    return Runner(spark, Store(spark, str(tmp_path / "store")), page_rows=3, request_rows=2)
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+def rows(n, plan="free"):
+    return [(str(i), f"{i}@", plan, "a") for i in range(n)]
+
+
+def everything(sent):
+    def submit(batch):
+        got = [(r.kind, r.key_json) for r in batch.collect()]
+        sent.append(got)
+        return Counts(len(got), confirmed=len(got))
+
+    return submit
+
+
+def test_collect_ids_grow():
+    ids = [new_collect_id() for _ in range(5000)]
+    assert ids == sorted(set(ids)) and all(x[14] == "7" for x in ids)
+
+
+def test_state_from_snapshot_to_destination(spark, runner):
+    first = runner.collect(STATE, table(spark, rows(5)))
+    assert (first.removes, first.upserts) == (0, 5)
+    sent = []
+    out = runner.deliver(SYNC, everything(sent))
+    assert [len(x) for x in sent] == [2, 1, 2] and out.pages == 2 and not out.stopped
+    assert runner.position(SYNC) == WorkPosition(first.collect_id, 4)
+    same = runner.collect(STATE, table(spark, rows(5)))
+    assert (same.removes, same.upserts) == (0, 0)
+    assert {r.collect_id for r in runner.store.read("state_current").collect()} == {same.collect_id}
+    runner.collect(STATE, table(spark, rows(4)[:3] + [("3", "3@", "pro", "a"), ("9", "9@", "free", "a")]))
+    sent.clear()
+    runner.deliver(SYNC, everything(sent))
+    assert [x for batch in sent for x in batch] == [("remove", '{"customer":"4"}'), ("upsert", '{"customer":"3"}'), ("upsert", '{"customer":"9"}')]
+    sent.clear()
+    assert runner.deliver(SYNC, everything(sent)).pages == 0 and sent == []
+
+
+def test_resend_all_has_progress_of_its_own(spark, runner):
+    runner.collect(STATE, table(spark, rows(4)))
+    sent = []
+    assert runner.resend_all(SYNC, everything(sent)).pages == 2
+    assert sum(map(len, sent)) == 4 and isinstance(runner.position(SYNC, "current"), CurrentPosition)
+    assert runner.position(SYNC) is None
+    assert runner.deliver(SYNC, everything(sent)).pages == 2
+
+
+def test_a_failure_stops_and_is_sent_again(spark, runner):
+    runner.collect(STATE, table(spark, rows(3)))
+    failing = lambda batch: Counts(n := batch.count(), terminal=n)
+    out = runner.deliver(SYNC, failing)
+    assert out.stopped and out.batches == 1 and runner.position(SYNC) is None
+    assert runner.store.read("destination_batches").first().status == "failed"
+    sent = []
+    runner.deliver(SYNC, everything(sent))
+    assert sum(map(len, sent)) == 3
+    over = Sync("t", STATE, "files", "rows", on_failure="continue_on_any")
+    assert not runner.deliver(over, failing).stopped and runner.position(over) is not None
+
+
+def test_removes_that_a_sync_leaves_out(spark, runner):
+    runner.collect(STATE, table(spark, rows(2)))
+    runner.collect(STATE, table(spark, rows(1)))
+    sent = []
+    runner.deliver(Sync("u", STATE, "files", "rows", operations=("upsert",)), everything(sent))
+    assert {k for batch in sent for k, _ in batch} == {"upsert"}
+
+
+def test_duplicates_leave_nothing_behind(spark, runner):
+    with pytest.raises(DuplicateIdentity):
+        runner.collect(STATE, table(spark, rows(1) * 2))
+    assert runner.store.read("ordered_work").count() == 0 == runner.store.read("state_current").count()
+
+
+def test_store_generations(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    run = lambda i, s: spark.createDataFrame([(i, s)], "run_id string, status string")
+    store.append("runs", run("1", "running"))
+    store.append("runs", run("2", "running"))
+    store.upsert("runs", run("1", "done"), ["run_id"])
+    assert sorted((r.run_id, r.status) for r in store.read("runs").collect()) == [("1", "done"), ("2", "running")]
+    store.append("runs", run("3", "running"))
+    assert store.delete("runs", F.col("status") == "running") == 2
+    assert [r.run_id for r in store.read("runs").collect()] == ["1"]
+    for mark in (tmp_path / "runs").glob("g-*2/_SUCCESS"):
+        mark.unlink()
+    assert store.read("runs").count() == 3
+    with pytest.raises(ValueError):
+        store.delete("runs", None)
+
+
+def test_store_operations(spark, runner):
+    runner.collect(STATE, table(spark, rows(4)))
+    second = runner.collect(STATE, table(spark, rows(2)))
+    runner.deliver(SYNC, lambda b: Counts(b.count(), retryable=b.count()))
+    store = runner.store
+    assert operations.counts(store)["ordered_work"] == 6
+    assert operations.inspect_declaration(store, "customers")["row_count"] == 6
+    assert operations.inspect_collect(store, second.collect_id) == {"ordered_work": 2, "state_current": 2}
+    open_ = store.read("destination_batches").filter("completion_state = 'unresolved'").count()
+    assert open_ > 0
+    assert operations.dismiss_unresolved(store, SYNC.scope) == open_
+    assert {r.status for r in store.read("destination_batches").collect()} == {"skipped"}
+    with pytest.raises(ValueError):
+        operations.delete_collect(store, second.collect_id)
+    assert operations.delete_collect(store, second.collect_id, force=True) == 2
+    assert operations.rebaseline(store, "customers") == 2
+    assert runner.collect(STATE, table(spark, rows(2))).upserts == 2
+    assert operations.reset_scope(store, SYNC.scope) >= 0 and runner.position(SYNC) is None
+
+
+def test_clean_up_of_work_that_all_have_passed(spark, runner):
+    runner.collect(STATE, table(spark, rows(2)))
+    runner.collect(STATE, table(spark, rows(3)))
+    later = datetime.datetime.now() + datetime.timedelta(days=1)
+    assert operations.cleanup_work(runner.store, "customers", later) == 0
+    runner.deliver(SYNC, everything([]))
+    assert operations.cleanup_work(runner.store, "customers", later, dry_run=True) == 3
+    assert operations.cleanup_work(runner.store, "customers", datetime.datetime(2000, 1, 1)) == 0
+    assert operations.cleanup_work(runner.store, "customers", later) == 3
+    assert runner.store.read("ordered_work").count() == 0
+
+
+def test_file_sink(spark, tmp_path):
+    made = [("w1", "c", 0, "remove", '{"k":"a,""b"}', None), ("w2", "c", 1, "upsert", '{"k":"é\\n"}', ""), ("w3", "c", 2, "upsert", "{}", "x")]
+    df = spark.createDataFrame(made, "work_id string, collect_id string, sequence_order long, operation string, key_json string, target_json string")
+    df = df.withColumn("identifiers_json", F.lit("[]")).withColumn("payload_json", F.lit("{}"))
+    manifest = files.deliver(df, str(tmp_path / "out"))
+    assert sorted((r.operation, r.row_count) for r in manifest.collect()) == [("remove", 1), ("upsert", 2)]
+    got = files.delivered(spark, str(tmp_path / "out")).orderBy("sequence_order").collect()
+    assert [(r.work_id, r.operation, r.key_json) for r in got] == [(m[0], m[3], m[4]) for m in made]
+    files.deliver(df.filter("operation = 'upsert'"), str(tmp_path / "out"))
+    assert files.delivered(spark, str(tmp_path / "out")).count() == 2
+    with pytest.raises(ValueError):
+        files.deliver(df.withColumn("operation", F.lit("other")), str(tmp_path / "out"))
+
+
+def test_event_stream_delivers_once(spark, tmp_path):
+    event = Event("buys", Source("buys", "select 1", Checkpoint("at", "id", "string", "integer")), key={"buy": "id"}, occurred_at="at", payload={"n": "n"})
+    schema, place = "id long, at timestamp, n int", str(tmp_path / "in")
+    saved: list[str] = []
+    progress = events.Progress(lambda: saved[-1] if saved else None, saved.append)
+    seen: list[int] = []
+
+    def add(*rows):
+        spark.createDataFrame([(i, datetime.datetime(2024, 1, d), 1) for i, d in rows], schema).coalesce(1).write.mode("append").parquet(place)
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(schema).parquet(place)
+        events.run(stream, event, progress, lambda df: seen.extend(r.primary_key for r in df.orderBy("cursor", "primary_key").collect()), str(tmp_path / checkpoint))
+
+    add((2, 1), (1, 1), (3, 2))
+    run("a")
+    assert seen == [1, 2, 3]
+    add((4, 3), (9, 1))
+    run("a")
+    assert seen == [1, 2, 3, 9, 4] or seen == [1, 2, 3, 4]
+    before = list(seen)
+    run("b")
+    assert seen == before
