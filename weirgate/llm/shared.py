@@ -38,8 +38,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, a row_key (hash of the text) and `packed`, all columns of docs: names that docs may have can't clash with others."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("packed"))
+    """doc_id, a row_key (hash of the text) and `packed`, all columns of docs: names that docs may have can't clash with others."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("packed"))
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
