@@ -133,6 +133,13 @@ def test_one_of_each_group_stays(spark):
     assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in df.collect()}
 
 
+def test_components_without_an_id_of_their_own(spark):
+    """Unlike texts under null ids or one id are groups of their own; copies under null ids are one."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    df = spark.createDataFrame([(None, a), (None, b), (None, b), (7, c), (7, d), (8, e), (9, e)], "doc_id long, text string")
+    assert sorted((r.text[0], r.doc_id) for r in simhash.keep_one(df).collect()) == [("a", None), ("b", None), ("c", 7), ("d", 7), ("e", 8)]
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

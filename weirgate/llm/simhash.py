@@ -187,7 +187,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link(fps: DataFrame) -> DataFrame:
-    """fps: doc_id, fp. Returns fp, component_id for each distinct fingerprint."""
+    """fps: doc_id, fp. Returns fp, component_id, component_key for each distinct fingerprint; the key, one fingerprint of the component, is unique to it."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     hot = map_arrow(distinct.select("fp"), _homes, "anchor long").groupBy("anchor").count().filter(F.col("count") > CELL)
     hot = stage(hot.select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("count") / CELL).cast("int").alias("cells")), "simhash-hot")
@@ -202,20 +202,20 @@ def link(fps: DataFrame) -> DataFrame:
     roots = components(edges)
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
-    linked = linked.join(least, "root").select("fp", "linked_id")
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id"))
+    linked = linked.join(least, "root").select("fp", "root", "linked_id")
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("component_key"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, fp, component_id: one row per document."""
+    """doc_id, row_key, fp, component_id, component_key: one row per document."""
     fps = stage(fingerprints(docs), "simhash")
-    return fps.join(link(fps), "fp").select("doc_id", "row_key", "fp", "component_id")
+    return fps.join(link(fps), "fp").select("doc_id", "row_key", "fp", "component_id", "component_key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of which each is the one that stays of its component: the smallest id, of equal ids the smallest row_key."""
     found = near_duplicates(docs).withColumn("found_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    stays = found.groupBy("component_id").agg(F.min("found_id").alias("s")).select(F.col("s.doc_id").alias("stay_id"), F.col("s.row_key").alias("stay_key"))
+    stays = found.groupBy("component_key").agg(F.min("found_id").alias("s")).select(F.col("s.doc_id").alias("stay_id"), F.col("s.row_key").alias("stay_key"))
     kept = packed(docs).join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("row_key") == F.col("stay_key")), "left_semi")
     return kept.dropDuplicates(["doc_id", "row_key"]).select("packed.*")
 
