@@ -6,8 +6,9 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import brute
-from weirgate.llm import components, decontam, fingerprints, line_dedup, simhash
+from weirgate.llm import components, decontam, fingerprints, line_dedup, near_copies, simhash
 
 SEEDS = (1, 2)
 
@@ -140,6 +141,39 @@ def test_components_without_an_id_of_their_own(spark):
     assert sorted((r.text[0], r.doc_id) for r in simhash.keep_one(df).collect()) == [("a", None), ("b", None), ("c", 7), ("d", 7), ("e", 8)]
 
 
+@pytest.mark.parametrize("stars", [1, 2])
+def test_near_copies_by_shingles(spark, monkeypatch, stars):
+    """Copies with a word changed here and there, in chains too, whose fingerprints mostly differ by more than 4 bits."""
+    import random
+
+    monkeypatch.setattr(near_copies, "STARS", stars)
+    rng = random.Random(stars)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 200))) for _ in range(12)] + ["a b c", "A  b c", "a b d", "", " "]
+    for _ in range(90):
+        words = rng.choice([t for t in texts if len(t) > 99]).split()
+        for at in rng.sample(range(len(words)), rng.randint(1, 5)):
+            words[at] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(words))
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    grams = {}
+    for i, t in enumerate(texts):
+        words = brute.spaced(brute.lower(t))
+        grams[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    pairs = [(a, b) for a, b in itertools.combinations(grams, 2) if brute.jaccard(grams[a], grams[b]) >= 0.8 and bool(grams[a]) == bool(grams[b])]
+    fp = {i: brute.simhash(t) for i, t in enumerate(texts)}
+    assert sum((fp[a] ^ fp[b]).bit_count() > 4 for a, b in pairs) > len(pairs) // 2
+    df = frame(spark, docs, clash=True)
+    kept = corpus_pipeline.near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute.roots(grams, pairs).values()))
+
+
+def test_near_copies_without_an_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    df = spark.createDataFrame([(None, a), (None, b), (None, b + " z"), (7, c), (7, d), (None, None), (3, "")], "doc_id long, text string")
+    assert sorted(((r.text or "-")[0], r.doc_id) for r in near_copies.keep_one(df).collect()) == [("-", 3), ("a", None), ("b", None), ("c", 7), ("d", 7)]
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -212,14 +212,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(link(fps), "fp").select("doc_id", "row_key", "fp", "component_id", "component_key")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of which each is the one that stays of its component: the smallest id, of equal ids the smallest row_key."""
-    found = near_duplicates(docs).withColumn("found_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of which each has the smallest id of its component_key in found, of equal ids the smallest row_key."""
+    found = found.withColumn("found_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     stays = found.groupBy("component_key").agg(F.min("found_id").alias("s")).select(F.col("s.doc_id").alias("stay_id"), F.col("s.row_key").alias("stay_key"))
     kept = packed(docs).join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("row_key") == F.col("stay_key")), "left_semi")
     return kept.dropDuplicates(["doc_id", "row_key"]).select("packed.*")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents of which each is the one that stays of its component."""
+    return keep_least(docs, near_duplicates(docs))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
