@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -329,6 +330,15 @@ def test_licences(spark, folder, tmp_path):
         assert got[1000 + i].labels == ",".join(sorted(labels)), t
 
 
+@pytest.mark.parametrize("between", ["", " the old word of " * 4000])
+def test_licences_of_several_notices(spark, between):
+    """Each notice is found in front of, behind and far from any other."""
+    texts = [(a + between + " " + b, la, lb) for (la, a, _), (lb, b, _) in itertools.permutations(licenses.TEMPLATES, 2)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)] + [(1000 + i, t) for i, (_, t, _) in enumerate(licenses.TEMPLATES)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(docs).collect()}
+    assert not [(t[:60], a, b) for i, (t, a, b) in enumerate(texts) if not {a, b} <= got[i]]
+
+
 # Mixing.
 
 

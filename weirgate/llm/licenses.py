@@ -1,10 +1,10 @@
 """Operator 9: licence scans with a positional rare-token index.
 
 Templates are short licence notices. The IDF of their words is counted over all documents. In each text
-the RARE licence words of highest IDF are looked up in the templates' postings; each pair of places votes
+every licence word, wherever it stands, is looked up in the templates' postings; each pair of places votes
 for (template, place of the template's start). A start whose voting words weigh at least WEIGHT of the
-template's own RARE rarest words is a candidate; it stands when all of the template's mandatory phrases
-occur within it and COVER of its words are at their places.
+template's own RARE rarest words is a candidate, whatever else the text holds; it stands when all of the
+template's mandatory phrases occur within it and COVER of its words are at their places.
 
 Base labels are plain: every place where a phrase's words stand consecutively.
 
@@ -116,18 +116,9 @@ def _runs(number: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 def _matches(index: Index, weight: np.ndarray, number: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, float]]:
     """(document, label, share of the template's words in place) of the templates that stand."""
-    size = len(index.vocabulary)
     some = np.flatnonzero(number >= 0)
     doc = np.searchsorted(first, some, side="right") - 1
-    # The rarest licence words of each document.
-    pair, of = np.unique(doc * size + number[some], return_inverse=True)
-    d, w = pair // size, pair % size
-    order = np.lexsort((w, -weight[w], d))
-    rank = np.empty(len(pair), dtype=np.int64)
-    rank[order] = np.arange(len(pair)) - np.searchsorted(d[order], d[order])
-    use = rank[of] < RARE
-    some, doc = some[use], doc[use]
-    # Votes: a row per posting of each of those words.
+    # Votes: a row per posting of each licence word.
     w = number[some]
     n = index.first[w + 1] - index.first[w]
     post = index.post[np.repeat(index.first[w], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
