@@ -38,6 +38,29 @@ def json_object(df: DataFrame, fields: Mapping[str, str]) -> Column:
     return F.to_json(F.struct(*[value(df, c).alias(k) for k, c in sorted(fields.items())]), KEEP_NULLS)
 
 
+def pruned(df: DataFrame, column: str) -> Column:
+    """JSON of a struct column without its nulls, however deep: null fields, null items of lists, and fields that are then empty structs."""
+
+    def kept(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            inner = [kept(c.getField(f.name), f.dataType).alias(f.name) for f in kind]
+            return F.when(_some(c, kind), F.struct(*inner))
+        if isinstance(kind, T.ArrayType):
+            return F.filter(F.transform(c, lambda x: kept(x, kind.elementType)), lambda x: x.isNotNull())
+        return c
+
+    def _some(c: Column, kind: T.DataType) -> Column:
+        """Whether a value holds anything that is not null."""
+        if isinstance(kind, T.StructType):
+            out = F.lit(False)
+            for f in kind:
+                out = out | F.coalesce(_some(c.getField(f.name), f.dataType), F.lit(False))
+            return out
+        return c.isNotNull()
+
+    return F.coalesce(F.to_json(kept(F.col(column), df.schema[column].dataType)), F.lit("{}"))
+
+
 def json_string(text: Column) -> Column:
     """A JSON string, or null for a null."""
     whole = F.to_json(F.struct(text.alias("v")), KEEP_NULLS)

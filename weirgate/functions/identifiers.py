@@ -48,6 +48,12 @@ def hashed_name(c: Column) -> Column:
     return F.sha2(lowered(c), 256)
 
 
+def address(**parts: Column) -> Column:
+    """A struct of address fields: given_name and family_name hashed in lower case, the others stripped; blank ones are null."""
+    blank = lambda c: F.when(stripped(c) != "", c)
+    return F.struct(*[(hashed_name(blank(c)) if n in ("given_name", "family_name") else stripped(blank(c))).alias(n) for n, c in parts.items()])
+
+
 def consent(c: Column) -> Column:
     """The status in upper case, or null where it is none."""
     value = F.upper(stripped(c))

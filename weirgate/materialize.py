@@ -4,20 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weirgate import files
+
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where none is set."""
+    """spark.checkpoint.dir. Where none is set, a folder of this machine, which only a session without a cluster may use."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="weirgate-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
+    """df as a table, in a folder for each value of `by`. Inside of scratch() it is removed at the end, unless it is to be kept."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    if not keep and _tables.get() is not None:
+        _tables.get().append(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at the end. What is to be used later must be written with keep, or elsewhere."""
+    token = _tables.set([])
+    try:
+        yield
+    finally:
+        paths = _tables.get()
+        _tables.reset(token)
+        for path in paths:
+            files.removed(spark, path)

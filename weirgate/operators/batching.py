@@ -4,52 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirgate.materialize import written
+from weirgate.operators.ordinal import lagged, running, with_before, with_ordinal
 
-def with_islands(page: DataFrame, order: str, partition: Sequence[str]) -> DataFrame:
-    """island: 0, 1, ... for each stretch of neighbours whose partition columns are equal. The page is bounded."""
-    every = Window.orderBy(order)
-    key = F.to_json(F.struct(*partition))
-    start = F.coalesce((key != F.lag(key).over(every)).cast("long"), F.lit(0))
-    return page.withColumn("island_start", start).withColumn("island", F.sum("island_start").over(every.rowsBetween(Window.unboundedPreceding, 0))).drop("island_start")
+#: What a batch is made of besides its records: brackets around them, and a comma between two.
+ENVELOPE, SEPARATOR = 2, 1
 
 
-def unit_batches(page: DataFrame, order: str, partition: Sequence[str], max_rows: int) -> DataFrame:
-    """batch_index of records of one item each: islands cut every max_rows rows."""
-    rows = with_islands(page, order, partition)
-    nth = F.row_number().over(Window.partitionBy("island").orderBy(order)) - 1
-    rows = rows.withColumn("island_batch", F.floor(nth / max_rows))
-    rank = F.dense_rank().over(Window.orderBy("island", "island_batch")) - 1
-    return rows.withColumn("batch_index", rank.cast("long")).drop("island_batch")
+def _islands(rows: DataFrame, order: str, partition: Sequence[str]) -> DataFrame:
+    """rows with `part`, `o` (dense from 0), island_start (1 on the first row of each stretch) and island (0, 1, ...)."""
+    numbered = with_ordinal(rows.withColumn("island_key", F.to_json(F.struct(*partition), {"ignoreNullFields": "false"})), [F.col(order)], "o", keep=True)
+    before = lagged(numbered, "island_key", "o", "key_before")
+    start = F.when(F.col("o") == 0, 0).otherwise((~F.col("island_key").eqNullSafe(F.col("key_before"))).cast("long")).cast("long")
+    return running(before.withColumn("island_start", start), "island_start", "o", "island").drop("key_before", "island_key")
 
 
-def _fill(rows: pd.DataFrame, max_rows: int, max_bytes: int | None, order: str) -> pd.DataFrame:
-    rows = rows.sort_values(order)
-    batch, items, size, out = 0, 0, 0, []
-    for n, b in zip(rows["item_count"].tolist(), rows["byte_count"].tolist(), strict=True):
-        if n < 0 or n > max_rows:
-            raise ValueError(f"a record of {n} items does not fit requests of {max_rows}")
-        if out and out[-1] == batch and (items + n > max_rows or max_bytes is not None and size + b > max_bytes):
-            batch, items, size = batch + 1, 0, 0
-        items, size = items + n, size + b
-        out.append(batch)
-    return rows.assign(island_batch=out)
+def with_islands(rows: DataFrame, order: str, partition: Sequence[str]) -> DataFrame:
+    """island: 0, 1, ... for each stretch of neighbours whose partition columns are equal. No window spans more than a range partition."""
+    return _islands(rows, order, partition).drop("part", "o", "island_start")
 
 
-def weighted_batches(page: DataFrame, order: str, partition: Sequence[str], max_rows: int, max_bytes: int | None = None) -> DataFrame:
-    """batch_index of records of item_count items and byte_count bytes; a record over max_bytes stands alone.
+def unit_batches(rows: DataFrame, order: str, partition: Sequence[str], max_rows: int) -> DataFrame:
+    """batch_index of records of one item each: islands cut every max_rows rows. No window spans more than a range partition."""
+    marked = _islands(rows, order, partition).withColumn("begins", F.when((F.col("island_start") == 1) | (F.col("o") == 0), F.col("o")))
+    marked = running(marked, "begins", "o", "began", most=True)
+    cut = (((F.col("o") - F.col("began")) % max_rows == 0) & (F.col("o") > 0)).cast("long")
+    return running(marked.withColumn("cut", cut), "cut", "o", "batch_index").drop("part", "o", "island_start", "begins", "began", "cut")
 
-    Filling up depends on what came before, so it runs per island; islands run side by side.
+
+def _fill(batches: Iterator[pa.RecordBatch], max_rows: int, max_bytes: int | None) -> Iterator[pa.RecordBatch]:
+    """Adds island_batch; rows come in order, each island's together. A record over max_bytes stands alone."""
+    island, batch, items, size, filled = None, 0, 0, 0, False
+    for part in batches:
+        out = []
+        for i, n, b in zip(*(part.column(c).to_pylist() for c in ("island", "item_count", "byte_count")), strict=True):
+            if n is None or n < 0 or n > max_rows:
+                raise ValueError(f"a record of {n} items does not fit requests of {max_rows}")
+            if i != island:
+                batch = 0 if island is None else batch + 1
+                island, items, size, filled = i, 0, 0, False
+            wider = size + SEPARATOR + b if filled else ENVELOPE + b
+            if filled and (items + n > max_rows or max_bytes is not None and wider > max_bytes):
+                batch, items, wider = batch + 1, 0, ENVELOPE + b
+            items, size, filled = items + n, wider, True
+            out.append(batch)
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], names=[*part.schema.names, "island_batch"])
+
+
+def weighted_batches(rows: DataFrame, order: str, partition: Sequence[str], max_rows: int, max_bytes: int | None = None) -> DataFrame:
+    """batch_index of records of item_count items and byte_count bytes, in bodies of at most max_bytes with their brackets and commas.
+
+    Filling up depends on what came before, so an island is filled in one task, as its rows stream by; tasks
+    have ranges of islands. A count that is null, negative or over max_rows is an error.
     """
-    rows = with_islands(page, order, partition)
-    schema = T.StructType([*rows.schema.fields, T.StructField("island_batch", T.LongType())])
-    filled = rows.groupBy("island").applyInPandas(lambda pdf: _fill(pdf, max_rows, max_bytes, order), schema)
-    rank = F.dense_rank().over(Window.orderBy("island", "island_batch")) - 1
-    return filled.withColumn("batch_index", rank.cast("long")).drop("island_batch")
+    islands = with_islands(rows.withColumns({c: F.col(c).cast("long") for c in ("item_count", "byte_count")}), order, partition)
+    schema = T.StructType([*islands.schema.fields, T.StructField("island_batch", T.LongType())])
+    filled = islands.repartitionByRange("island").sortWithinPartitions("island", order).mapInArrow(lambda b: _fill(b, max_rows, max_bytes), schema)
+    filled = written(filled.withColumn("part", F.spark_partition_id()), "filled")
+    before, at = [], 0
+    for r in sorted(filled.groupBy("part").agg((F.max("island_batch") + 1).alias("n")).collect(), key=lambda r: r["part"]):
+        before.append((r["part"], at))
+        at += r["n"]
+    return with_before(filled, before, "_before").withColumn("batch_index", F.col("island_batch") + F.col("_before")).drop("part", "_before", "island_batch")
+
+
+def page_batches(page: DataFrame, order: str, partition: Sequence[str], max_rows: int, max_bytes: int | None = None) -> DataFrame:
+    """batch_index of a bounded page's records, of item_count items and byte_count bytes each: one pass over the page in one task."""
+    keyed = page.withColumns({c: F.col(c).cast("long") for c in ("item_count", "byte_count")}).withColumn("island", F.to_json(F.struct(*partition), {"ignoreNullFields": "false"}))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("island_batch", T.LongType())])
+    filled = keyed.repartition(1).sortWithinPartitions(order).mapInArrow(lambda b: _fill(b, max_rows, max_bytes), schema)
+    return filled.withColumnRenamed("island_batch", "batch_index").drop("island")
 
 
 def batches(rows: DataFrame, order: str = "sequence_order", items: Column | None = None) -> DataFrame:
@@ -71,13 +100,12 @@ def bodies(rows: DataFrame, record: Column, order: str = "sequence_order") -> Da
     return rows.groupBy("batch_index").agg(F.concat(F.lit("["), F.array_join(F.transform(listed, lambda x: x["r"]), ","), F.lit("]")).alias("body"))
 
 
-def chunks(rows: Iterator[tuple], n: int) -> Iterator[list[tuple]]:
-    """Lists of n rows of a local iterator, for a sink."""
-    part: list[tuple] = []
-    for row in rows:
-        part.append(row)
-        if len(part) == n:
-            yield part
-            part = []
-    if part:
-        yield part
+def fingerprints(rows: DataFrame, order: str = "sequence_order", *more: Column) -> DataFrame:
+    """Per batch the sha256 of its records (kind, key, identifiers, payload, in order) and of its targets, and more aggregates. A batch is bounded by the request limits."""
+    record = F.concat_ws("|", "kind", "key_json", F.coalesce("identifiers_json", F.lit("null")), F.coalesce("payload_json", F.lit("null")))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.sha2(record, 256).alias("r"))))
+    return rows.groupBy("batch_index").agg(
+        F.sha2(F.array_join(F.transform(listed, lambda x: x["r"]), ","), 256).alias("payload_fingerprint"),
+        F.sha2(F.array_join(F.array_sort(F.collect_set(F.coalesce("target_json", F.lit("null")))), ","), 256).alias("request_fingerprint"),
+        *more,
+    )

@@ -1,28 +1,60 @@
-"""A dense global ordinal without a single-task window."""
+"""Global order without a single-task window: dense ordinals and running values over range partitions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.materialize import written
 
 
-def with_ordinal(df: DataFrame, order: Sequence[Column], out: str = "sequence_order", start: int = 0) -> DataFrame:
-    """Adds start, start + 1, ... in the order given.
+def with_before(rows: DataFrame, before: list[tuple[int, int]], out: str) -> DataFrame:
+    """Adds `out` by the row's `part`: a small table of one row per partition, so it may be broadcast."""
+    table = rows.sparkSession.createDataFrame(before, f"part int, {out} long")
+    return rows.join(F.broadcast(table), "part")
+
+
+def ranged(df: DataFrame, order: Sequence[Column], name: str = "ordinal") -> DataFrame:
+    """df as a table with `part` and `place`: the number of a row's range partition and its place in it, from 0."""
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    fixed = written(sorted_rows, name)
+    part = F.shiftright("_id", 33).cast("int")
+    return fixed.withColumn("part", part).withColumn("place", F.col("_id") - F.shiftleft(part.cast("long"), 33)).drop("_id")
+
+
+def with_ordinal(df: DataFrame, order: Sequence[Column], out: str = "sequence_order", start: int = 0, keep: bool = False) -> DataFrame:
+    """Adds start, start + 1, ... in the order given; with keep, also `part`, as running() needs it.
 
     Rows go to range partitions, sorted within; the table is written once, as sampled ranges differ from run to
     run. A partition's first ordinal is the number of rows before it: one count per partition on the driver.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    fixed = written(ranged, "ordinal")
-    part = F.shiftright("_id", 33)
-    counts = sorted((r["part"], r["n"]) for r in fixed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    before, starts = start, []
-    for p, n in counts:
-        starts += [F.lit(p), F.lit(before)]
-        before += n
-    first = F.create_map(*starts)[part] if starts else F.lit(0)
-    return fixed.withColumn(out, (first + F.col("_id") - F.shiftleft(part, 33)).cast("long")).drop("_id")
+    fixed = ranged(df, order)
+    before, at = [], start
+    for r in sorted(fixed.groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["part"]):
+        before.append((r["part"], at))
+        at += r["n"]
+    numbered = with_before(fixed, before, "_before").withColumn(out, (F.col("_before") + F.col("place")).cast("long"))
+    return numbered.drop("_before", "place", *([] if keep else ["part"]))
+
+
+def lagged(rows: DataFrame, value: str, order: str, out: str) -> DataFrame:
+    """Adds the value of the row before, null on the first; rows have `part`. The last value of each partition goes to the driver."""
+    last = sorted((r["part"], r["v"]) for r in rows.groupBy("part").agg(F.max_by(value, order).alias("v")).collect())
+    kind = rows.schema[value].dataType
+    before = rows.sparkSession.createDataFrame([(p, last[i - 1][1] if i else None) for i, (p, _) in enumerate(last)], f"part int, _last {kind.simpleString()}")
+    here = Window.partitionBy("part").orderBy(order)
+    return rows.join(F.broadcast(before), "part").withColumn(out, F.when(F.row_number().over(here) == 1, F.col("_last")).otherwise(F.lag(value).over(here))).drop("_last")
+
+
+def running(rows: DataFrame, value: str, order: str, out: str, most: bool = False) -> DataFrame:
+    """Adds the sum, or the maximum, of a long column of all rows up to this one; rows have `part`. One total per partition goes to the driver."""
+    combine = F.max if most else F.sum
+    before, at = [], 0 if not most else -1
+    for r in sorted(rows.groupBy("part").agg(combine(value).alias("t")).collect(), key=lambda r: r["part"]):
+        before.append((r["part"], at))
+        at = at if r["t"] is None else max(at, r["t"]) if most else at + r["t"]
+    local = combine(value).over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = with_before(rows, before, "_before").withColumn("_local", F.coalesce(local, F.lit(-1 if most else 0)))
+    return joined.withColumn(out, (F.greatest("_before", "_local") if most else F.col("_before") + F.col("_local")).cast("long")).drop("_before", "_local")

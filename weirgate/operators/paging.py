@@ -7,17 +7,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirgate.operators.diff import WORK
-from weirgate.sources.keyset import EventPosition, WorkPosition, after, between
+from weirgate.sources.keyset import CurrentPosition, EventPosition, Position, WorkPosition, after, between
 
 POSITION = ["collect_id", "sequence_order"]
 
 
+class PageError(ValueError):
+    """A page that is not what its plan promised."""
+
+
 @dataclass(frozen=True)
 class Page:
     rows: DataFrame
-    #: Where to go on inside a collect; None where the page ends with a whole collect.
-    cursor: WorkPosition | None = None
+    #: Where to go on; None where the page ends with a whole collect, or with all there is.
+    cursor: Position | None = None
 
 
 def in_order(work: DataFrame) -> DataFrame:
@@ -90,6 +93,44 @@ def event_page(window: DataFrame, collect_id: str, declaration_name: str, declar
     )
 
 
+def event_stage(window: DataFrame, collect_id: str, declaration_name: str, declaration_version_id: str, lower: EventPosition | None, max_rows: int) -> DataFrame:
+    """A page of imports with each record's own lower bound, and `more`: whether the window goes on after the page.
+
+    window: a projected window of at most max_rows + 1 rows; the last one of those only tells that there is more.
+    """
+    page = event_page(window, collect_id, declaration_name, declaration_version_id, lower, max_rows + 1)
+    more = F.max((F.col("sequence_order") >= max_rows)).over(Window.partitionBy())
+    return lower_bounds(page, lower).withColumn("more", more).filter(F.col("sequence_order") < max_rows)
+
+
+def checked(rows: DataFrame, max_rows: int, kinds: tuple[str, ...]) -> dict:
+    """Bounds of a staged page after its checks: not over max_rows, known kinds only, dense places in each collect, no place twice."""
+    at = F.struct(*POSITION)
+    found = rows.agg(
+        F.count("*").alias("row_count"), F.count_if(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))).alias("strange"), F.countDistinct(at).alias("places"), F.count_if(F.col("kind") == "remove").alias("removes"),
+        F.count_if(F.col("work_id").isNull() | F.col("key_json").isNull()).alias("empty"), F.min(at).alias("first"), F.max(at).alias("last"), F.countDistinct("collect_id").alias("collects"),
+    ).first().asDict()
+    if found["row_count"] > max_rows:
+        raise PageError(f"a page of {found['row_count']} rows is over {max_rows}")
+    if found["strange"]:
+        raise PageError(f"{found['strange']} rows of a page are not of {kinds}")
+    if found["empty"]:
+        raise PageError(f"{found['empty']} rows of a page lack their work id or key")
+    if found["places"] != found["row_count"]:
+        raise PageError("two rows of a page have one place")
+    if found["collects"] == 1 and found["last"][1] - found["first"][1] + 1 != found["row_count"]:
+        raise PageError("places of a page are not dense")
+    return found
+
+
+def current_stage(current: DataFrame, after_identity: str | None, max_rows: int, collect_id: str) -> Page:
+    """A page of the current state, with a cursor if there is more."""
+    page = current_page(current, after_identity, max_rows + 1, collect_id)
+    rows = page.filter(F.col("sequence_order") < max_rows)
+    last = page.agg(F.max(F.when(F.col("sequence_order") == max_rows - 1, F.col("work_id"))).alias("last"), F.count("*").alias("n")).first()
+    return Page(rows, CurrentPosition(last["last"].removeprefix("state-current:")) if last["n"] > max_rows else None)
+
+
 def lower_bounds(page: DataFrame, lower: EventPosition | None) -> DataFrame:
     """Each record of a page with the position before it as its lower bound."""
     every = Window.orderBy("sequence_order")
@@ -97,11 +138,14 @@ def lower_bounds(page: DataFrame, lower: EventPosition | None) -> DataFrame:
     return page.withColumns({f"lower_{c}": F.coalesce(F.lag(f"event_{c}").over(every), F.lit(x).cast("string")) for c, x in zip(("cursor", "primary_key"), low, strict=True)})
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """A bounded page with `place`, 0, 1, ... over all of its collects."""
+    return rows.withColumn("place", (F.row_number().over(Window.orderBy(*POSITION)) - 1).cast("long"))
+
+
 def edges(rows: DataFrame) -> DataFrame:
     """First and last position of a range, as one row."""
     at = F.struct(*POSITION)
     found = rows.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
     return found.select(*[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("first", "last") for c in POSITION], F.col("n").alias("row_count"))
 
-
-PAGE_COLUMNS = WORK

@@ -20,17 +20,7 @@ from weirgate.sources.keyset import EventPosition, WorkPosition
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return add
-
+query = inputs.adder(QUERIES, ORACLE_SQL)
 
 CUSTOMERS = State(
     "customers", Source("customers", "SELECT * FROM customer"), key={"customer": "c_custkey"}, target="c_mktsegment", identifiers=[Identifier("name", value="c_name")], payload={"nation": "c_nationkey", "balance": "c_acctbal"}
@@ -168,10 +158,7 @@ def resend_all_page(spark, sf_dir):
 
 @query(f"{WORK} SELECT declaration_name, count(*)::bigint AS row_count, min(collect_id) AS first_collect_id, max(collect_id) AS last_collect_id, min(created_at) AS first_created_at, max(created_at) AS last_created_at FROM w GROUP BY 1")
 def work_bounds(spark, sf_dir):
-    rows = inputs.WORK_LOG.df(spark, sf_dir)
-    return rows.groupBy("declaration_name").agg(
-        F.count("*").alias("row_count"), F.min("collect_id").alias("first_collect_id"), F.max("collect_id").alias("last_collect_id"), F.min("created_at").alias("first_created_at"), F.max("created_at").alias("last_created_at")
-    )
+    return ledger.work_bounds(inputs.WORK_LOG.df(spark, sf_dir), "declaration_name")
 
 
 # Events.
@@ -483,4 +470,9 @@ def text_redaction(spark, sf_dir):
     return whole.select("doc_id", F.when(F.length("t") > most, F.concat(F.substring("t", 1, most), F.lit("..."))).otherwise(F.col("t")).alias("text"), F.length("t").cast("long").alias("whole_length"))
 
 
+from weirgate.plans import runtime  # noqa: E402
+
+QUERIES |= runtime.QUERIES
+ORACLE_SQL |= runtime.ORACLE_SQL
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

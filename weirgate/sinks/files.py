@@ -2,34 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirgate import files as shared
+from weirgate.decisions import Counts
+from weirgate.destinations import Destination, Surface
+from weirgate.materialize import written
+
 OPERATIONS = ("upsert", "remove", "import")
 COLUMNS = ("work_id", "collect_id", "sequence_order", "key_json", "target_json", "identifiers_json", "payload_json")
+#: Rows of a delivery.
+MOST_ROWS = 10_000
 
 
-def deliver(rows: DataFrame, folder: str, columns: Sequence[str] = COLUMNS) -> DataFrame:
-    """Write reconciled rows (with `operation`) below folder/operation=<name>; the manifest comes last and has a row per operation.
+def deliver(rows: DataFrame, folder: str, columns: Sequence[str] = COLUMNS, max_rows: int | None = MOST_ROWS) -> DataFrame:
+    """Write reconciled rows (with `operation`) below folder/rows/operation=<name> and a manifest of a row per operation.
 
-    Files are written by the tasks that hold the rows, each sorted by its place in the order of work; null and
-    empty text differ (an empty text is quoted). Without its manifest a delivery does not count, and the next
-    try overwrites it.
+    All is written beside the folder and then renamed into place, so a delivery is there whole or not at all; one
+    that is there already is an error. The rows are read once. Files are written by the tasks that hold the
+    rows, each sorted by its place in the order of work; null and empty text differ (an empty text is quoted).
     """
-    folder = folder.rstrip("/")
-    bad = rows.filter(~F.coalesce(F.col("operation").isin(*OPERATIONS), F.lit(False))).limit(1).collect()
-    if bad:
-        raise ValueError(f"no operation: {bad[0]['operation']!r}")
-    out = rows.select("operation", *columns).sortWithinPartitions("operation", "collect_id", "sequence_order")
-    out.write.mode("overwrite").partitionBy("operation").option("header", True).option("emptyValue", '""').option("escape", '"').csv(f"{folder}/rows")
-    manifest = rows.groupBy("operation").agg(F.count("*").alias("row_count"), F.min(F.struct("collect_id", "sequence_order")).alias("first"), F.max(F.struct("collect_id", "sequence_order")).alias("last"))
-    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
-    return rows.sparkSession.read.schema(manifest.schema).json(f"{folder}/manifest")
+    folder, spark = folder.rstrip("/"), rows.sparkSession
+    fixed = written(rows.select("operation", *columns), "csv")
+    seen = fixed.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("operation").isin(*OPERATIONS), F.lit(False))).alias("bad")).first()
+    if seen["bad"]:
+        raise ValueError(f"{seen['bad']} rows have no operation of {OPERATIONS}")
+    if max_rows is not None and seen["n"] > max_rows:
+        raise ValueError(f"a delivery of {seen['n']} rows is over {max_rows}")
+    draft = f"{folder}-{uuid.uuid4().hex}"
+    out = fixed.sortWithinPartitions("operation", "collect_id", "sequence_order")
+    out.write.partitionBy("operation").option("header", True).option("emptyValue", '""').option("escape", '"').csv(f"{draft}/rows")
+    at = F.struct("collect_id", "sequence_order")
+    manifest = fixed.groupBy("operation").agg(F.count("*").alias("row_count"), F.min(at).alias("first"), F.max(at).alias("last"))
+    manifest.coalesce(1).write.json(f"{draft}/manifest")
+    if not shared.moved(spark, draft, folder):
+        shared.removed(spark, draft)
+        raise FileExistsError(folder)
+    return spark.read.schema(manifest.schema).json(f"{folder}/manifest")
 
 
 def delivered(spark, folder: str, columns: Sequence[str] = COLUMNS) -> DataFrame:
     """The rows of a delivery, as text, with `operation`."""
     schema = ", ".join(f"{c} {'long' if c == 'sequence_order' else 'string'}" for c in columns)
     return spark.read.schema(f"{schema}, operation string").option("header", True).option("escape", '"').csv(f"{folder.rstrip('/')}/rows")
+
+
+def destination(folder: str, name: str = "files") -> Destination:
+    """A destination that writes each batch as a delivery below a folder. A batch that is there already was delivered."""
+
+    def submit(rows: DataFrame, batch: dict) -> Counts:
+        n = batch["row_count"]
+        try:
+            deliver(rows, f"{folder.rstrip('/')}/{batch['batch_id']}")
+        except FileExistsError:
+            pass
+        return Counts(n, confirmed=n)
+
+    return Destination(name, [Surface("state", max_rows=MOST_ROWS, partition=("family",)), Surface("event", family="event", operations=(), target_mode="unsupported", max_rows=MOST_ROWS)], submit)
