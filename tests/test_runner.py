@@ -22,6 +22,18 @@ EVENT = Event("buys", Source("buys", "select 1", Checkpoint("at", "id", "string"
 EVENTS = Sync("e", EVENT, "partner", "events")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_plans(spark):
+    """A few rows a query: compiling and replanning cost more than running."""
+    quick = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 class Partner:
     """Keeps what it gets; answers come from `answers`, then all is confirmed."""
 

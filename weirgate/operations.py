@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate import decisions
+from weirgate.declarations import digest
 from weirgate.operators import ledger, paging
 from weirgate.sources import keyset
 from weirgate.sources.keyset import Position, WorkPosition
-from weirgate.store import TABLES, Changes, Store
+from weirgate.store import NOW, TABLES, Changes, Store
 
 #: Scopes that an inspection lists.
 MOST_SCOPES = 20
@@ -72,10 +73,10 @@ def dismiss_unresolved(store: Store, scope: Sequence[str]) -> int:
 
 
 def _moved_on(store: Store, c: Changes, scope: Sequence[str], mode: str, new: Position) -> None:
-    found = store.read("destination_progress").filter(ledger.in_scope(scope) & (F.col("mode") == mode)).first()
+    found = store.read("destination_progress", digest(scope)).filter(F.col("mode") == mode).first()
     old = keyset.restored(found["position_json"]) if found and found["position_json"] else None
-    values = dict(zip(ledger.SCOPE, scope, strict=True)) | {"mode": mode, "position_json": keyset.stored(decisions.advanced(old, new))}
-    c.upsert("destination_progress", store.rows("destination_progress", [values]).withColumn("updated_at", F.current_timestamp()), [*ledger.SCOPE, "mode"])
+    values = dict(zip(ledger.SCOPE, scope, strict=True)) | {"mode": mode, "position_json": keyset.stored(decisions.advanced(old, new)), "updated_at": NOW}
+    c.put("destination_progress", [values], ["mode"], digest(scope))
 
 
 def skip_batch(store: Store, scope: Sequence[str], batch_id: str) -> None:
@@ -98,9 +99,9 @@ def skip_range(store: Store, scope: Sequence[str], first: WorkPosition, last: Wo
     values = dict(zip(ledger.SCOPE, scope, strict=True)) | {"mode": "ordered_work", "page_id": "skip", "batch_index": 0, "row_count": found["row_count"], "item_count": found["row_count"], "payload_fingerprint": "skip", "request_fingerprint": "skip"}
     values |= {"first_collect_id": found["first_collect_id"], "first_order": found["first_sequence_order"], "last_collect_id": upper.collect_id, "last_order": upper.sequence_order, "upper_json": keyset.stored(upper)}
     values |= {"status": "skipped", "completion_state": "resolved", "retry_eligible": False, "attempt_count": 0}
-    row = store.rows("destination_batches", [values]).withColumn("batch_id", ledger.batch_id()).withColumn("created_at", F.current_timestamp())
+    named = store.rows("destination_batches", [values]).withColumn("batch_id", ledger.batch_id()).first().asDict()
     with store.changes() as c:
-        c.upsert("destination_batches", row, ["batch_id"], part="skip")
+        c.put("destination_batches", [named | {"created_at": NOW}], ["batch_id"], "skip")
         _moved_on(store, c, scope, "ordered_work", upper)
     return found["row_count"]
 

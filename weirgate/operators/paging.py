@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.sources.keyset import CurrentPosition, EventPosition, Position, WorkPosition, after, between
@@ -103,12 +103,12 @@ def event_stage(window: DataFrame, collect_id: str, declaration_name: str, decla
     return lower_bounds(page, lower).withColumn("more", more).filter(F.col("sequence_order") < max_rows)
 
 
-def checked(rows: DataFrame, max_rows: int, kinds: tuple[str, ...]) -> dict:
-    """Bounds of a staged page after its checks: not over max_rows, known kinds only, dense places in each collect, no place twice."""
+def checked(rows: DataFrame, max_rows: int, kinds: tuple[str, ...], *more: Column) -> dict:
+    """Bounds, and more aggregates, of a staged page after its checks: not over max_rows, known kinds only, dense places in each collect, no place twice."""
     at = F.struct(*POSITION)
     found = rows.agg(
-        F.count("*").alias("row_count"), F.count_if(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))).alias("strange"), F.countDistinct(at).alias("places"), F.count_if(F.col("kind") == "remove").alias("removes"),
-        F.count_if(F.col("work_id").isNull() | F.col("key_json").isNull()).alias("empty"), F.min(at).alias("first"), F.max(at).alias("last"), F.countDistinct("collect_id").alias("collects"),
+        F.count("*").alias("row_count"), F.count_if(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False))).alias("strange"), F.size(F.collect_set(at)).alias("places"), F.count_if(F.col("kind") == "remove").alias("removes"),
+        F.count_if(F.col("work_id").isNull() | F.col("key_json").isNull()).alias("empty"), F.min(at).alias("first"), F.max(at).alias("last"), F.size(F.collect_set("collect_id")).alias("collects"), *more,
     ).first().asDict()
     if found["row_count"] > max_rows:
         raise PageError(f"a page of {found['row_count']} rows is over {max_rows}")
