@@ -1,13 +1,12 @@
-"""What the operators share: the shared folder, and small column helpers."""
+"""What the operators share: the shared folder, joins on hot keys, and small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirgate.materialize import shared_dir, written
+
 #: The words of two of the contracts, as Java and Python regular expressions.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -19,22 +18,28 @@ _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "6710
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="weirgate-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+#: A key is hot if it has over HOT_ROWS rows and over one in HOT_KEYS of all rows: so there are HOT_KEYS hot keys at most.
+HOT_ROWS, HOT_KEYS = 256, 1000
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return written(df, name)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n: str, salt: Column) -> DataFrame:
+    """rows joined with table, which has each key once and n, the number of rows of it; n is left out.
+
+    The rows of a hot key are dealt by salt to cells of about HOT_ROWS rows, with a copy of the table's row in each. The
+    list of hot keys is broadcast: by its definition it has HOT_KEYS rows at most.
+    """
+    total = table.agg(F.sum(n).alias("n")).first()["n"] or 0
+    each = max(HOT_ROWS, total // HOT_KEYS)
+    cells = F.when(F.col(n) > each, F.ceil(F.col(n) / each)).otherwise(1).cast("int")
+    hot = table.filter(F.col(n) > each).select(F.col(key).alias("hot_key"), cells.alias("hot_cells"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("hot_cell", F.pmod(F.xxhash64(salt), F.coalesce("hot_cells", F.lit(1))).cast("int")).drop("hot_key", "hot_cells")
+    copies = table.withColumn("hot_cell", F.explode(F.sequence(F.lit(0), cells - 1))).drop(n)
+    return dealt.join(copies, [key, "hot_cell"]).drop("hot_cell")
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -1,16 +1,22 @@
 """Operator 7: WARC archives of pages, and a reader that salvages what it can of damaged ones.
 
 Writing: of pages with equal payloads the one of the largest page_id is a response record; the others
-revisit it. Spark's text sink writes the records with CR LF CR LF between them, so archives are plain WARC
-1.1 files on whatever file system the session has, of about FILE_BYTES each.
-
-Reading: a file is read record by record, plain or as gzip members. A record stands when its version line,
-header, length, end mark and payload digest check. After a failure the reader looks for the next member or
-version line at which a whole record checks, goes on there, and logs the bytes between as a quarantined gap.
+revisit it. A record is a gzip member of its own, so a damaged byte costs one record. Tasks put members
+together to files of FILE_BYTES, or of one larger record, and Spark's text sink writes them to whatever file
+system the session has. The sink ends a file with a line separator of its choice: here the zero byte that
+ends each member, as the last byte of its length, which is zero below 16 MB; a larger record has an empty
+member behind it.
+
+Reading: a file is read record by record, plain or as gzip members, in time that grows with its size. A
+record stands when its version line, header of at most HEAD_BYTES, length, end mark and payload digest
+check. After a failure the reader looks for the next member or version line at which a whole record checks,
+goes on there, and logs the bytes between as a quarantined gap. A file is one value of binaryFile, so one of
+2 GB or more can't be read, and a task holds the files it is at and their largest record.
 
 Nulls: a null html is an empty payload; a null page_id is written as `none` and read as null; it is a
 response only if all of its payload's ids are null. A null url is left out. Repeated rows give a record each, all
-responses if theirs is the largest id. An empty table gives an empty archive and no rows.
+responses if theirs is the largest id. An empty table gives an empty archive and no rows. Very long payloads are
+written and read whole. Columns other than page_id, url and html are passed over.
 """
 
 from __future__ import annotations
@@ -27,19 +33,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.shared import map_arrow, shared_dir
+from weirgate.llm.shared import join_hot, map_arrow, shared_dir, stage
 
-FILE_BYTES = 8 << 20
+FILE_BYTES = 16 << 20
+HEAD_BYTES = 1 << 20
+#: Bytes that the reader inflates at once.
+CHUNK = 1 << 16
+LEVEL = 4
 CRLF = "\r\n"
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+#: A gzip member of nothing.
+NOTHING = bytes.fromhex("1f8b0800000000000003" + "0300" + "00" * 8)
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(text: Column) -> Column:
-    """Bare upper-case base32 SHA-1: five hex digits make four characters."""
-    digits = F.sha1(text.cast("binary"))
+def base32(digits: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 in 40 hex digits: five of them make four characters."""
 
     def character(i: Column) -> Column:
         chunk = F.conv(F.substring(digits, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
@@ -49,11 +60,11 @@ def base32_sha1(text: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """One row per page: the record's text without its end mark."""
+    """One row per page: the record's text with its end mark. Copies of one payload are dealt to many tasks."""
     rows = pages.select(F.col("page_id").cast("string").alias("id"), "page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    best = rows.groupBy("digest").agg(F.max("page_id").alias("best"))
-    rows = rows.join(best, "digest")
+    best = stage(rows.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n_pages")), "warc-digests")
+    rows = join_hot(rows, best, "digest", "n_pages", F.struct("page_id", "url"))
     response = F.col("best").isNull() | F.col("page_id").eqNullSafe(F.col("best"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(CRLF * 2))
     block = F.concat(http, F.when(response, F.col("payload")).otherwise(F.lit("")))
@@ -65,19 +76,44 @@ def records(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))),
         F.lit("WARC-Date: 2024-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_sha1(F.col("payload"))),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32(F.col("digest"))),
         F.when(~response, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(~response, F.concat(F.lit("WARC-Refers-To: "), name(F.col("best")))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
     )
-    return rows.withColumn("block", block).select(F.concat(head, F.lit(CRLF * 2), F.col("block")).alias("record"))
+    return rows.withColumn("block", block).select(F.concat(head, F.lit(CRLF * 2), F.col("block"), F.lit(CRLF * 2)).alias("record"))
+
+
+def member(record: bytes) -> bytes:
+    """The record as a gzip member that ends in a zero byte."""
+    deflate = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    out = deflate.compress(record) + deflate.flush()
+    return out if out.endswith(b"\0") else out + NOTHING
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole files, each without its last byte."""
+    parts, size = [], 0
+
+    def whole() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], names=["file"])
+
+    for batch in batches:
+        for record in batch.column("record"):
+            parts.append(member(record.as_py().encode()))
+            size += len(parts[-1])
+            if size >= FILE_BYTES:
+                yield whole()
+                parts, size = [], 0
+    if parts:
+        yield whole()
 
 
 def write(pages: DataFrame, folder: str) -> None:
-    """Write the archive files. Their number of records comes from the mean page, so a file is about FILE_BYTES."""
-    mean = pages.select(F.avg(F.octet_length(F.col("html").cast("string"))).alias("n")).first()["n"] or 0
-    records(pages).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 600)))).text(folder)
+    """Write the archive files, each a row of the sink."""
+    files = map_arrow(records(pages), _files, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
 
 
 @dataclass
@@ -104,7 +140,7 @@ def _record(data: bytes, at: int) -> Record:
     version = VERSION.match(data, at)
     if not version:
         raise Damaged("no version line")
-    head = data.find(END, version.end() - 2)
+    head = data.find(END, version.end() - 2, version.end() + HEAD_BYTES)
     if head < 0:
         raise Damaged("header without end")
     headers = {}
@@ -131,17 +167,23 @@ def _one(data: bytes, at: int) -> tuple[Record, int]:
     if data[at : at + 3] != MEMBER:
         record = _record(data, at)
         return record, record.end
-    inflate = zlib.decompressobj(31)
+    inflate, plain, end = zlib.decompressobj(31), [], at
     try:
-        plain = inflate.decompress(memoryview(data)[at:])
+        while not inflate.eof and end < len(data):
+            chunk = data[end : end + CHUNK]
+            plain.append(inflate.decompress(chunk))
+            end += len(chunk)
     except zlib.error as e:
         raise Damaged(f"gzip member: {e}") from None
     if not inflate.eof:
         raise Damaged("gzip member without end")
+    end -= len(inflate.unused_data)
+    plain = b"".join(plain)
     record = _record(plain, 0)
     if record.end != len(plain):
         raise Damaged("gzip member holds more than a record")
-    end = len(data) - len(inflate.unused_data)
+    while data.startswith(NOTHING, end):
+        end += len(NOTHING)
     record.start, record.end = at, end
     return record, end
 
