@@ -11,15 +11,19 @@ from weirgate.llm.shared import stage
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b of a type with an order. Returns node, root for each node of an edge; the root is one node of the component.
 
-    In each round a node takes the smallest of itself and its neighbours, edges move to those labels and
-    edges within a label go. Minima combine before the shuffle, so a hub's edges never meet in one task;
-    joins on a hub are left to the skew handling of adaptive execution.
+    In each round a node takes the first of itself and its neighbours, in an order by hashes that is new each round;
+    edges move to those labels and edges within a label go. On a long path half of the labels go in a round, so
+    rounds grow with the logarithm of the nodes. Minima combine before the shuffle, so a hub's edges never
+    meet in one task; joins on a hub are left to the skew handling of adaptive execution.
     """
     edges = stage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    turn = 0
     while not edges.isEmpty():
+        turn += 1
+        ranked = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        label = stage(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).select("n", F.least("n", "m").alias("label")), "labels")
+        label = stage(both.groupBy(F.col("a").alias("n")).agg(F.min(ranked("b")).alias("m")).select("n", F.least(ranked("n"), "m")["n"].alias("label")), "labels")
         to_a, to_b = (label.select(F.col("n").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
         moved = edges.join(to_a, "a").join(to_b, "b").filter("la <> lb")
         edges = stage(moved.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")

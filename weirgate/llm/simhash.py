@@ -11,8 +11,8 @@ forest of its links, never all pairs. Anchors with over CELL residents are cut i
 visitors, so no task holds a whole hot anchor. Links become components by contraction rounds.
 
 Nulls: a null text has no words and fingerprint zero, as an empty one; a null doc_id never is the
-smallest unless all of its component are null. Repeated rows stay, each with its component. An empty
-table gives an empty result.
+smallest unless all of its component are null. Repeated rows stay, each with its component; of those that
+keep_one would keep, one stays. An empty table gives an empty result. A very long text is one row of Arrow, read whole.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import SPACED, slices, split_words
 from weirgate.llm.components import components
-from weirgate.llm.shared import map_arrow, packed, stage
+from weirgate.llm.shared import join_hot, map_arrow, packed, stage
 
 SHINGLE = 4
 SEED = 42
@@ -187,8 +187,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link(fps: DataFrame) -> DataFrame:
-    """fps: doc_id, fp. Returns fp, component_id, component_key for each distinct fingerprint; the key, one fingerprint of the component, is unique to it."""
-    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    """fps: doc_id, fp. Returns fp, n_docs, component_id, component_key for each distinct fingerprint; the key, one fingerprint of the component, is unique to it."""
+    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs")), "simhash-distinct")
     hot = map_arrow(distinct.select("fp"), _homes, "anchor long").groupBy("anchor").count().filter(F.col("count") > CELL)
     hot = stage(hot.select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("count") / CELL).cast("int").alias("cells")), "simhash-hot")
     hot = F.broadcast(hot) if hot.count() <= FEW_HOT else hot
@@ -203,21 +203,22 @@ def link(fps: DataFrame) -> DataFrame:
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
     linked = linked.join(least, "root").select("fp", "root", "linked_id")
-    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("component_key"))
+    return distinct.join(linked, "fp", "left").select("fp", "n_docs", F.coalesce("linked_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("component_key"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, fp, component_id, component_key: one row per document."""
     fps = stage(fingerprints(docs), "simhash")
-    return fps.join(link(fps), "fp").select("doc_id", "row_key", "fp", "component_id", "component_key")
+    return join_hot(fps, stage(link(fps), "simhash-links"), "fp", "n_docs", F.struct("doc_id", "row_key")).select("doc_id", "row_key", "fp", "component_id", "component_key")
 
 
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents of which each has the smallest id of its component_key in found, of equal ids the smallest row_key."""
+    """The documents of which each has the smallest id of its component_key in found, of equal ids the smallest row_key, of equal texts under one id the smallest hash of the row."""
     found = found.withColumn("found_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     stays = found.groupBy("component_key").agg(F.min("found_id").alias("s")).select(F.col("s.doc_id").alias("stay_id"), F.col("s.row_key").alias("stay_key"))
     kept = packed(docs).join(stays.distinct(), F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("row_key") == F.col("stay_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "row_key"]).select("packed.*")
+    least = kept.groupBy("doc_id", "row_key").agg(F.min_by("packed", F.xxhash64("packed")).alias("packed"))
+    return least.select("packed.*")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
