@@ -4,14 +4,15 @@ A text's words (runs of anything but white space) give GRAM-word hashes at every
 neighbouring hashes the smallest is kept, the rightmost of equal ones, with its place. So two texts that
 share GRAM + RUN - 1 words in a row share a kept hash. A text of fewer words than GRAM is one gram.
 
-Everything is arrays inside a row, so a text is never exploded or shuffled for its fingerprint. Neighbours
-in descending doc_id order come from one shuffle of the texts: ids are cut into buckets of about BUCKET
-documents by quantiles of the ids and evenly within those, each bucket is sorted, and the first document
-of each bucket is handed to the bucket above it. No window spans more than a bucket, or than the bucket
-numbers between two quantiles.
-
-Nulls: a null text counts as an empty one, with an empty fingerprint; null ids come last. Of repeated ids
-the order is that of the texts. A table of one row is its own next document; an empty one gives no rows.
+The order of hashes is that of their upper 32 bits. Everything is arrays inside a row, so a text is never
+exploded or shuffled for its fingerprint. Neighbours in descending doc_id order come from one shuffle of the
+texts: a sort of (doc_id, hash of the text) alone gives the keys that begin each of at most CUTS buckets,
+of BUCKET documents or more; each bucket is sorted, and its first document is handed to the bucket above it.
+
+Any orderable doc_id that JSON can carry will do: numbers, text, dates. Nulls: a null text counts as an empty
+one, with an empty fingerprint; null ids come last. Rows of one id, or of none, are ordered by a hash of their
+texts, so they spread over buckets like others; only rows of equal id and text share one. A table of one row is
+its own next document; an empty one gives no rows. A very long text is one row: its arrays of words are held at once.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirgate.llm.shared import stage
+
 GRAM = 3
 RUN = 4
 BUCKET = 64
-CUTS = 256
+CUTS, WIDE = 1 << 16, 16
 #: Places are below this; hash and place fit a long.
 PLACES = 1 << 31
 
@@ -79,40 +82,50 @@ def with_hashes(docs: DataFrame) -> DataFrame:
     return fingerprints(docs).withColumn("hashes", F.array_distinct("marks.hash"))
 
 
-def _bucket(docs: DataFrame) -> tuple[Column, int]:
-    """A bucket number that grows with doc_id, null ids below all; and numbers of buckets per quantile."""
-    at = [i / CUTS for i in range(1, CUTS)]
-    stats = docs.select(F.count("doc_id").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.percentile_approx("doc_id", at, 10000).alias("cuts")).first()
-    if not stats["n"]:
-        return F.lit(-1).cast("long"), 1
-    cuts = sorted({stats["least"], *stats["cuts"]})
-    ends = [*cuts[1:], stats["most"] + 1]
-    parts = max(1, stats["n"] // (BUCKET * len(cuts)))
-    doc_id = F.col("doc_id").cast("long")
-    quantile = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]), lambda c: c <= doc_id)) - 1
-    low = F.get(F.array(*[F.lit(float(x)) for x in cuts]), quantile)
-    high = F.get(F.array(*[F.lit(float(x)) for x in ends]), quantile)
-    part = F.least(F.lit(parts - 1), F.floor((doc_id.cast("double") - low) * parts / (high - low)))
-    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(quantile.cast("long") * parts + part).cast("long"), parts
+def _cuts(docs: DataFrame) -> list[str]:
+    """The first key (none, doc_id, row_key) of each bucket in ascending order, as JSON; one row each, CUTS at most."""
+    keys = docs.select(F.col("doc_id").isNotNull().alias("some"), "doc_id", "row_key")
+    placed = stage(keys.repartitionByRange(*keys.columns).sortWithinPartitions(*keys.columns).withColumn("at", F.monotonically_increasing_id()), "fingerprint-keys")
+    part = F.shiftright("at", 33)
+    counts = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    each = max(BUCKET, -(-sum(n for _, n in counts) // CUTS))
+    before, wanted = 0, []
+    for p, n in counts:
+        wanted.append((p, -before % each))
+        before += n
+    if not wanted:
+        return []
+    # In each partition every each-th row from its own first on, so that all partitions together are cut evenly.
+    first = placed.sparkSession.createDataFrame(wanted, "part long, first long")
+    cut = placed.withColumn("part", part).withColumn("nth", F.col("at") - F.shiftleft(part, 33)).join(F.broadcast(first), "part").filter((F.col("nth") >= F.col("first")) & ((F.col("nth") - F.col("first")) % each == 0))
+    return [r["cut"] for r in cut.groupBy("some", "doc_id", "row_key").agg(F.min("at").alias("at")).orderBy("at").select(F.to_json(F.struct("some", "doc_id", "row_key"), {"ignoreNullFields": "false"}).alias("cut")).collect()]
+
+
+def _with_bucket(docs: DataFrame, cuts: list[str]) -> DataFrame:
+    """Adds bucket, the number of the last cut that is not greater than a row's key, found as in a tree of WIDE branches: among every so many cuts, then among those between two of these, and so on."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    key = F.struct(F.col("doc_id").isNotNull().alias("some"), F.col("doc_id"), F.col("row_key"))
+    docs = docs.withColumn("bucket", F.lit(0))
+    step = 1
+    while step * WIDE < len(cuts):
+        step *= WIDE
+    while step:
+        lists = [cuts[i : i + step * WIDE : step] for i in range(0, len(cuts), step * WIDE)]
+        branches = F.from_json(F.lit(f"[{','.join('[' + ','.join(x) + ']' for x in lists)}]"), f"array<array<struct<some:boolean,doc_id:{kind},row_key:bigint>>>")
+        docs = docs.withColumn("bucket", F.col("bucket") * WIDE + F.size(F.filter(F.get(branches, F.col("bucket")), lambda c: c <= key)) - 1)
+        step //= WIDE
+    return docs
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text without nulls. Adds marks, next_text and next_hashes, of the next document by descending doc_id; after the last comes the first."""
-    number, parts = _bucket(docs)
-    quantile = F.floor(F.col("bucket") / parts)
-    buckets = docs.select(number.alias("bucket")).distinct()
-    # At most CUTS + 1 rows: the first bucket of each quantile, for the last bucket of the one above it.
-    firsts = sorted((r["q"], r["b"]) for r in buckets.groupBy(quantile.alias("q")).agg(F.max("bucket").alias("b")).collect())
-    after = {q: firsts[i - 1][1] for i, (q, _) in enumerate(firsts)}
-    over = F.create_map([F.lit(x) for pair in after.items() for x in pair]) if after else F.create_map().cast("map<bigint,bigint>")
-    below = F.lead("bucket").over(Window.partitionBy("q").orderBy(F.desc("bucket")))
-    buckets = buckets.withColumn("q", quantile).select("bucket", F.coalesce(below, over[F.col("q")]).alias("next_bucket"))
-
-    dealt = docs.withColumn("bucket", number).repartition("bucket")
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row_key"))
+    cuts = _cuts(docs)
+    dealt = _with_bucket(docs, cuts).repartition("bucket")
+    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("row_key"))
     first = with_hashes(dealt.withColumn("nth", F.row_number().over(order)).filter("nth = 1"))
-    first = first.select(F.col("bucket").alias("next_bucket"), F.col("text").alias("first_text"), F.col("hashes").alias("first_hashes"))
-    first = buckets.join(first, "next_bucket").select(F.col("bucket").alias("of"), "first_text", "first_hashes")
+    above = F.when(F.col("bucket") == len(cuts) - 1, 0).otherwise(F.col("bucket") + 1)
+    first = first.select(above.alias("of"), F.col("text").alias("first_text"), F.col("hashes").alias("first_hashes"))
     rows = with_hashes(dealt).withColumn("lead_text", F.lead("text").over(order)).withColumn("lead_hashes", F.lead("hashes").over(order))
     rows = rows.join(first, (F.col("bucket") == F.col("of")) & F.col("lead_text").isNull(), "left")
     return rows.select("doc_id", "text", "marks", "hashes", F.coalesce("lead_text", "first_text").alias("next_text"), F.coalesce("lead_hashes", "first_hashes").alias("next_hashes"))
