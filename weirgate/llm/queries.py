@@ -22,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": decontam.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
-    "op6_token_rollups": rollups.ORACLE_SQL,
     "op7_warc_salvage": warc.ORACLE_SQL,
 }
