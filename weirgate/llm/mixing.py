@@ -1,19 +1,21 @@
 """Operator 10: mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Every source is cut into BLOCKS permuted blocks by a hash of the document id. A source's target becomes
+Every source is cut into permuted blocks by a hash of the document id: BLOCKS of them, or more where a block would
+have over BLOCK_DOCS documents of all sources together or where there are more shards. A source's target becomes
 a whole number of passes over it and a rest; the rest takes blocks in permuted order, the block at the
 edge document by document, and the document at the edge word by word, so the words taken equal the
-rounded target. The drawn blocks of all sources are then dealt to the output shards: a tree halves the
-shards again and again, and at each node one multivariate hypergeometric draw says how many of each
-source's blocks go left. Quotas are exact, blocks of different shards are disjoint, and each shard is
+rounded target. The drawn blocks of all sources are then dealt to the output shards, of about SHARD_WORDS words
+each: a tree halves the shards again and again, and at each node one multivariate hypergeometric draw says how
+many of each source's blocks go left. Quotas are exact, blocks of different shards are disjoint, and each shard is
 ordered by a seeded hash.
 
 What reaches the driver is one row per source and the quotas of sources x shards. Documents are dealt by
-(source, block), never by source alone, so a hot source is spread over BLOCKS keys.
+(source, block), never by source alone, so a hot source is spread over all of its blocks.
 
-Nulls: a null text has size 0; a null source is a source of its own, last in order; null ids share a
-block. Repeated rows are documents of their own. Sources of size 0 have target 0. An empty table gives
-an empty result.
+Nulls: a null text has size 0; a null source is a source of its own, last in order; documents without an id are
+dealt and ordered by a hash of their texts. Repeated rows are documents of their own; of those with one id and
+text it doesn't matter which is first. Sources of size 0 have target 0. An empty table gives an empty result. A
+very long text is one document: only the one at a source's edge is cut.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import types as T
 
 from weirgate.llm.shared import SPACED_WORD, stage
 
-BLOCKS = 1024
-SHARDS = 16
+BLOCKS, BLOCK_DOCS = 1024, 1 << 16
+SHARDS, SHARD_WORDS = 16, 1 << 27
+#: The most blocks a source may have.
+FINEST = 1 << 20
 SEED = 20
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -86,20 +90,27 @@ PLAN = T.StructType(
         T.StructField("rest", T.LongType()),
     ]
 )
-SHARD_PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("ends", T.ArrayType(T.LongType()))])
 
 
 def by_code_point(source: str | None) -> tuple[bool, str]:
     return source is None, source or ""
 
 
-def deal(docs: DataFrame, keep: Sequence[str] = (), shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, draws (copy, words, shard), and `keep`."""
+def deal(docs: DataFrame, keep: Sequence[str] = (), shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, draws (copy, words, shard), and `keep`. Without a number of shards it comes from the size."""
     spark = docs.sparkSession
-    kept = [F.col(c).alias(f"kept_{c}") for c in keep]
-    block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BLOCKS))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), block.alias("block"), *kept)
-    counted = stage(sized.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
+    kept = [F.col(f"`{c}`").alias(f"kept_{c}") for c in keep]
+    text_key = F.xxhash64("text")
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), text_key))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), text_key.alias("text_key"), *kept)
+    # Sums by the finest blocks there may be; blocks are these, taken together.
+    fine = stage(sized.groupBy("source", F.pmod("key", F.lit(FINEST)).alias("fine")).agg(F.sum("size").alias("block_size"), F.count("*").alias("docs")), "mix-fine")
+    whole = fine.agg(F.sum("docs").alias("docs"), F.sum("block_size").alias("words")).first()
+    shards = shards or max(SHARDS, -(-int((whole["words"] or 0) * SHARE) // SHARD_WORDS))
+    wanted = max(BLOCKS, 4 * shards, -(-(whole["docs"] or 0) // BLOCK_DOCS))
+    blocks_of = min(FINEST, 1 << (wanted - 1).bit_length())
+    sized = sized.withColumn("block", F.pmod("key", F.lit(blocks_of)))
+    counted = fine.groupBy("source", F.pmod("fine", F.lit(blocks_of)).alias("block")).agg(F.sum("block_size").alias("block_size"))
 
     totals = sorted(counted.groupBy("source").agg(F.sum("block_size").alias("n")).collect(), key=lambda r: by_code_point(r[0]))
     goal = targets([r["n"] for r in totals])
@@ -109,7 +120,7 @@ def deal(docs: DataFrame, keep: Sequence[str] = (), shards: int = SHARDS, seed:
         plan.append((r["source"], r["n"], t, passes, rest))
     plans = spark.createDataFrame(plan, PLAN)
 
-    # Blocks in permuted order; BLOCKS rows a source at most.
+    # Blocks in permuted order; FINEST rows a source at most.
     mixed = F.xxhash64(F.lit(seed + 1), F.col("block"))
     upto = Window.partitionBy("source").orderBy(mixed, "block").rowsBetween(Window.unboundedPreceding, 0)
     blocks = (
@@ -123,21 +134,23 @@ def deal(docs: DataFrame, keep: Sequence[str] = (), shards: int = SHARDS, seed:
 
     quotas = sorted(blocks.groupBy("source").agg(F.sum("units").alias("n")).collect(), key=lambda r: by_code_point(r[0]))
     ends = np.cumsum(split_quotas([r["n"] for r in quotas], shards, seed), axis=0) if quotas else np.zeros((shards, 0))
-    shard_plan = spark.createDataFrame([(r["source"], ends[:, i].tolist()) for i, r in enumerate(quotas)], SHARD_PLAN)
+    lows = ends - np.diff(ends, axis=0, prepend=0)
+    ranges = [(r["source"], shard, int(lows[shard, i]), int(ends[shard, i])) for i, r in enumerate(quotas) for shard in range(shards) if ends[shard, i] > lows[shard, i]]
+    places = spark.createDataFrame(ranges, "shard_source string, shard int, low long, high long")
+    places = places.select("shard_source", "shard", F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("at"))
     drawn = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), F.col("unit"), F.col("block")), "unit", "block")
     unit_shards = (
         blocks.filter("units > 0")
         .select("source", "block", F.explode(F.sequence(F.lit(1), F.col("units"))).alias("unit"))
         .withColumn("place", F.row_number().over(drawn))
-        .join(shard_plan.withColumnRenamed("source", "shard_source"), F.col("source").eqNullSafe(F.col("shard_source")))
-        .withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))))
+        .join(places, F.col("source").eqNullSafe(F.col("shard_source")) & (F.col("place") == F.col("at")))
         .groupBy("source", "block")
         .agg(F.map_from_entries(F.collect_list(F.struct("unit", "shard"))).alias("shard_of"))
     )
     blocks = blocks.join(unit_shards.select(F.col("source").alias("s"), F.col("block").alias("b"), "shard_of"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
     blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "source_size", "target", "passes", "block_rest", "shard_of")
 
-    inner = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(seed + 3), F.col("key")), "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("block_rest") - F.col("before"))).cast("long")
     whole = F.transform(F.sequence(F.lit(1), F.col("passes")), lambda u: F.struct(u.alias("copy"), F.col("size").alias("words"), F.col("shard_of")[u].alias("shard")))
     part = F.struct((F.col("passes") + 1).alias("copy"), F.col("rest").alias("words"), F.col("shard_of")[F.col("passes") + 1].alias("shard"))
@@ -154,25 +167,27 @@ def deal(docs: DataFrame, keep: Sequence[str] = (), shards: int = SHARDS, seed:
                 F.when(F.col("rest") > 0, F.array(part)).otherwise(empty),
             ),
         )
-        .select("doc_id", "size", "source_size", "target", "taken", "draws", *[F.col(f"kept_{c}").alias(f"kept_{c}") for c in keep])
+        .select("doc_id", "key", "size", "source_size", "target", "taken", "draws", *[F.col(f"`kept_{c}`") for c in keep])
     )
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: a row per copy drawn, with docs' columns, mix_copy, mix_words, mix_shard and mix_order.
+def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """The mix itself: a row per copy drawn, with docs' columns, mix_copy, mix_words, mix_shard and mix_order; columns of docs that have these names give way to them.
 
-    A copy that only a part of is taken has the first mix_words words of its text, joined by spaces.
+    A copy that only a part of is taken, at most one a source, has its text up to its mix_words-th word, as it stands in the text.
     """
-    names = docs.columns
-    dealt = deal(docs, names, shards, seed).select(F.explode("draws").alias("the_draw"), F.col("size").alias("the_size"), *[F.col(f"kept_{c}").alias(c) for c in names])
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), F.lit(1), F.col("the_draw.words").cast("int")), " ")
-    text = F.when(F.col("the_draw.words") < F.col("the_size"), cut).otherwise(F.col("text"))
+    names = [c for c in docs.columns if c not in ("mix_copy", "mix_words", "mix_shard", "mix_order")]
+    dealt = deal(docs, names, shards, seed).select(F.explode("draws").alias("the_draw"), F.col("key").alias("the_key"), F.col("size").alias("the_size"), F.struct(*[F.col(f"`kept_{c}`").alias(c) for c in names]).alias("packed"))
+    whole, n = F.col("packed.text"), F.col("the_draw.words").cast("int")
+    first = lambda array: F.slice(array, F.lit(1), n)
+    cut = F.array_join(F.zip_with(first(F.split(whole, SPACED_WORD)), first(F.regexp_extract_all(whole, F.lit(SPACED_WORD), F.lit(0))), lambda gap, word: F.concat(gap, word)), "")
+    text = F.when(F.col("the_draw.words") < F.col("the_size"), cut).otherwise(whole)
     return dealt.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in names],
+        *[text.alias(c) if c == "text" else F.col("packed").getField(c).alias(c) for c in names],
         F.col("the_draw.copy").alias("mix_copy"),
         F.col("the_draw.words").alias("mix_words"),
         F.col("the_draw.shard").alias("mix_shard"),
-        F.xxhash64(F.lit(seed + 4), F.col("the_draw.shard"), F.col("the_draw.copy"), F.col("doc_id")).alias("mix_order"),
+        F.xxhash64(F.lit(seed + 4), F.col("the_draw.shard"), F.col("the_draw.copy"), F.col("the_key")).alias("mix_order"),
     )
 
 
