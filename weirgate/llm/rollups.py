@@ -1,11 +1,14 @@
 """Operator 6: token counts as delta-maintained rollups.
 
 A batch is a set of signed rows: +1 inserts a document's count, -1 takes one back, and a revised count is
-one of each. A batch is summed by (source, lang, version) before the shuffle and written under its id; a
-batch that is there already is left alone, so a retry, or a second driver's, changes nothing. A batch whose
-write broke off has no _SUCCESS mark: readers pass it over and the next commit replaces it. Totals add up
+one of each. A batch is summed by (source, lang, version) before the shuffle, written to a folder of its own, and
+then renamed to its id, which never overwrites: of a retry, or of two drivers that commit one batch at once, the
+first counts and the others change nothing. What broke off before its renaming is not read. Totals add up
 the committed batches, and compact() folds them into one, keeping the ids it has folded.
 
+The query counts by two versions of tokens: words between white space, and the subwords of a public
+byte-level vocabulary, by which what is not English is counted anew.
+
 Nulls: a null text has no tokens; null source and lang are keys of their own; a null sign or count adds
 nothing. Repeated rows count each time. Groups whose documents and tokens are all taken back vanish from
 the totals. Empty tables give empty batches, which are committed all the same.
@@ -14,6 +17,7 @@ the totals. Empty tables give empty batches, which are committed all the same.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirgate import files
 from weirgate.llm.arrow_text import slices
-from weirgate.llm.shared import ALNUM_WORD, SPACED_WORD, ascii_lower, map_arrow, shared_dir, stage
+from weirgate.llm.shared import SPACED_WORD, join_hot, map_arrow, shared_dir, stage
 
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, docs long, tokens long"
@@ -34,11 +39,6 @@ def spaced(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
 
-def alnum(text: Column) -> Column:
-    """Tokenizer version alnum-1: runs of ASCII letters, digits and non-ASCII characters."""
-    return F.coalesce(F.regexp_count(ascii_lower(text), F.lit(ALNUM_WORD)), F.lit(0)).cast("long")
-
-
 @lru_cache(2)
 def _encoder(vocabulary: str):
     import public_tokenizers
@@ -70,26 +70,22 @@ class Rollup:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
-
     def committed(self) -> list[str]:
         """Ids of the batches, folded ones included."""
         parts = self._parts()
-        folded = [x for p in parts if p.startswith("fold-") for x in self.spark.read.text(f"{self.folder}/ids-{p}").toPandas()["value"]]
+        folded = [x for p in parts if p.startswith("fold-") for x in self._folded(p)]
         return sorted({*folded, *(p.removeprefix("batch-") for p in parts if p.startswith("batch-"))})
 
+    def _folded(self, fold: str) -> list[str]:
+        """Ids of a fold: one file, as long as there are batches."""
+        return [r["value"] for r in self.spark.read.text(f"{self.folder}/{fold}/ids").collect()]
+
     def _parts(self) -> list[str]:
         """Folders to add up: the last fold and the batches outside it."""
-        if not self._exists(self.folder):
-            return []
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        names = [s.getPath().getName() for s in place.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(place)]
-        done = [n for n in names if n.startswith(("batch-", "fold-")) and self._exists(f"{self.folder}/{n}/_SUCCESS")]
-        folds = sorted(n for n in done if n.startswith("fold-") and self._exists(f"{self.folder}/ids-{n}/_SUCCESS"))
-        gone = set(self.spark.read.text(f"{self.folder}/ids-{folds[-1]}").toPandas()["value"]) if folds else set()
-        return [*folds[-1:], *sorted(n for n in done if n.startswith("batch-") and n.removeprefix("batch-") not in gone)]
+        names = files.names(self.spark, self.folder)
+        folds = [n for n in names if n.startswith("fold-")]
+        gone = set(self._folded(folds[-1])) if folds else set()
+        return [*folds[-1:], *(n for n in names if n.startswith("batch-") and n.removeprefix("batch-") not in gone)]
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """deltas: source, lang, version, sign, tokens. False if the batch was committed before."""
@@ -97,23 +93,30 @@ class Rollup:
             return False
         sign = F.coalesce("sign", F.lit(0)).cast("long")
         summed = deltas.groupBy(*[F.col(k).cast("string").alias(k) for k in KEYS]).agg(F.sum(sign).alias("docs"), F.sum(sign * F.coalesce("tokens", F.lit(0)).cast("long")).alias("tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
-        return True
+        draft = f"{self.folder}/.draft-{uuid.uuid4().hex}"
+        summed.write.parquet(f"{draft}/sums")
+        if files.moved(self.spark, draft, f"{self.folder}/batch-{batch}"):
+            return True
+        files.removed(self.spark, draft)
+        return False
 
     def totals(self) -> DataFrame:
         parts = self._parts()
         if not parts:
             return self.spark.createDataFrame([], SCHEMA)
-        all_rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/{p}" for p in parts])
+        all_rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/{p}/sums" for p in parts])
         return all_rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Fold the batches so far into one folder; its list of ids is what makes it count."""
-        folds = sum(p.startswith("fold-") for p in self._parts())
-        ids, name = self.committed(), f"fold-{len(self.committed()):012d}"
-        if ids and not (folds and name in self._parts()):
-            self.totals().write.mode("overwrite").parquet(f"{self.folder}/{name}")
-            self.spark.createDataFrame([(x,) for x in ids], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/ids-{name}")
+        """Fold the batches so far into one folder, with the list of their ids. Folds are numbered by what they hold, so a later one has more."""
+        ids = self.committed()
+        if not any(p.startswith("batch-") for p in self._parts()):
+            return
+        draft = f"{self.folder}/.draft-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{draft}/sums")
+        self.spark.createDataFrame([(x,) for x in ids], "value string").coalesce(1).write.text(f"{draft}/ids")
+        if not files.moved(self.spark, draft, f"{self.folder}/fold-{len(ids):012d}"):
+            files.removed(self.spark, draft)
 
 
 def signed(counts: DataFrame, sign: int, version: str, tokens: str) -> DataFrame:
@@ -121,32 +124,21 @@ def signed(counts: DataFrame, sign: int, version: str, tokens: str) -> DataFrame
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """All documents come in; exact copies but the one of the smallest id go; what is not English is counted anew by another tokenizer; the first batch is sent twice."""
-    import uuid
-
+    """All documents come in; exact copies but the one of the smallest id go; what is not English is counted anew in subwords; the first batch is sent twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = stage(docs.select("doc_id", "source", "lang", F.md5("text").alias("digest"), spaced(F.col("text")).alias("spaced"), alnum(F.col("text")).alias("alnum")), "counts")
-    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    marked = stage(counts.join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))), "counts-marked")
+    counts = stage(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.md5("text").alias("digest"), spaced(F.col("text")).alias("spaced")), "counts")
+    first = stage(counts.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_docs")), "counts-first")
+    copy = join_hot(counts, first, "digest", "n_docs", F.col("doc_id")).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
     rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("load", signed(counts, 1, "spaced-1", "spaced"))
-    rollup.commit("copies", signed(marked.filter("copy"), -1, "spaced-1", "spaced"))
-    revised = marked.filter("not copy and lang <> 'en'")
-    rollup.commit("revise", signed(revised, -1, "spaced-1", "spaced").unionByName(signed(revised, 1, "alnum-1", "alnum")))
+    rollup.commit("copies", signed(copy.filter("copy"), -1, "spaced-1", "spaced"))
+    # Copies have one number of subwords, which is counted for the rows that stay alone.
+    other = F.coalesce(F.col("lang") != "en", F.lit(False))
+    stays = docs.select("doc_id", "source", "lang", "text", F.md5("text").alias("digest")).filter(other)
+    stays = join_hot(stays, first, "digest", "n_docs", F.col("doc_id")).filter(~F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
+    old = copy.filter(~F.col("copy") & other).unionByName(counts.filter(F.col("digest").isNull() & other).withColumns({"first_id": F.lit(None), "copy": F.lit(False)}))
+    new = subword_counts(stays, ["source", "lang"])
+    none = signed(counts.filter(F.col("digest").isNull() & other), 1, "subwords-50k", "spaced")
+    rollup.commit("revise", signed(old, -1, "spaced-1", "spaced").unionByName(signed(new, 1, "subwords-50k", "tokens")).unionByName(none))
     rollup.commit("load", signed(counts, 1, "spaced-1", "spaced"))
     return rollup.totals()
-
-
-ORACLE_SQL = r"""
-WITH c AS (
-  SELECT doc_id, source, lang, md5(text) AS digest,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS spaced,
-         CAST(coalesce(len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 0) AS BIGINT) AS alnum
-  FROM documents),
-f AS (SELECT digest, min(doc_id) AS first_id FROM c GROUP BY digest),
-k AS (SELECT c.* FROM c LEFT JOIN f ON c.digest = f.digest WHERE NOT coalesce(c.doc_id > f.first_id, false))
-SELECT source, lang, CASE WHEN lang <> 'en' THEN 'alnum-1' ELSE 'spaced-1' END AS version,
-       CAST(count(*) AS BIGINT) AS docs,
-       CAST(sum(CASE WHEN lang <> 'en' THEN alnum ELSE spaced END) AS BIGINT) AS tokens
-FROM k GROUP BY 1, 2, 3
-"""
