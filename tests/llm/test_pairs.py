@@ -86,6 +86,20 @@ def test_one_row_is_its_own_next(spark, tmp_path):
     assert r.edited_sha256 == hashlib.sha256(b"ab ab").hexdigest() and r.near_next == 1.0
 
 
+@pytest.mark.parametrize("kind, ids", [("long", [1 << 60]), ("long", [2**62 + i for i in range(5)]), ("long", [-(2**63), 2**63 - 1, 0, None]), ("string", ["b", "a", None, "ä"]), ("int", [5] * 200), ("int", [None] * 200), ("date", ["2024-01-02", "2023-01-01"])])
+def test_any_ids_have_neighbours(spark, tmp_path, kind, ids):
+    """Ids near the ends of long, of other types, all equal or all null: each text's next is the one before it in (id, hash of the text)."""
+    rows = [(i, f"t{k} u v w x y") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'date' else kind}, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    order = df.orderBy(F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text"))).collect()
+    want = []
+    for k, r in enumerate(order):
+        after = order[(k + 1) % len(order)].text
+        want.append(hashlib.sha256((r.text[: len(r.text) - len(r.text) // 2] + after[: len(r.text) // 2]).encode()).hexdigest())
+    assert sorted(r.edited_sha256 for r in fingerprints.query(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_null_and_repeated_ids_have_fingerprints(spark, tmp_path):
     rows = [(None, "a b c", None, None, None), (1, "d e f", None, None, None), (1, "d e f", None, None, None), (None, None, None, None, None)]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
@@ -180,6 +194,34 @@ def test_components_of_a_path_and_a_hub(spark):
     assert len({got[i] for i in range(41)}) == 1 and len({got[i] for i in range(100, 160)}) == 1 and got[0] != got[100]
 
 
+def test_components_of_a_long_path_take_few_rounds(spark, monkeypatch):
+    rounds, plain = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name: rounds.append(name) or plain(df, name))
+    n = 1000
+    got = components.components(spark.range(n).selectExpr("id as a", "id + 1 as b"))
+    assert got.select("root").distinct().count() == 1 and got.count() == n + 1
+    assert rounds.count("labels") < 20
+
+
+def test_blocks_of_the_benchmark(spark, tables, monkeypatch):
+    """A benchmark of more windows than a filter serves: several passes, the same result."""
+    folder, _, _ = tables[1]
+    want = sorted(map(tuple, decontam.query(spark, folder).collect()))
+    monkeypatch.setattr(decontam, "MOST_BITS", 6)
+    monkeypatch.setattr(decontam, "LEAST_BITS", 6)
+    assert sorted(map(tuple, decontam.query(spark, folder).collect())) == want
+
+
+def test_decontamination_is_its_oracle(spark):
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    assert sorted(map(tuple, decontam.query(spark, data).collect())) == sorted(db.execute(decontam.ORACLE_SQL).fetchall())
+
+
 @pytest.mark.parametrize("seed", SEEDS)
 def test_decontamination(spark, tables, seed):
     folder, docs, items = tables[seed]

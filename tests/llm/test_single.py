@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import brute
@@ -162,10 +163,25 @@ def test_gradients(model):
 # Token counts.
 
 
-def test_rollup_is_its_oracle(spark):
-    db = duckdb.connect()
-    db.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
-    assert sorted(map(tuple, rollups.query(spark, DATA).collect()), key=str) == sorted(db.execute(rollups.ORACLE_SQL).fetchall(), key=str)
+def test_rollup_by_brute_force(spark, folder):
+    import public_tokenizers
+    import tiktoken
+
+    with open(rollups.VOCABULARY, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    encode = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    first, want = {}, defaultdict(lambda: [0, 0])
+    for i, t, *_ in sorted(brute.rows(1), key=lambda d: d[0]):
+        if t is not None:
+            first.setdefault(t, i)
+    for i, t, lang, source, _ in brute.rows(1):
+        if t is None or first[t] == i:
+            other = lang is not None and lang != "en"
+            key = (source, lang, "subwords-50k" if other else "spaced-1")
+            want[key][0] += 1
+            want[key][1] += len(encode(t or "")) if other else len(brute.spaced(t))
+    got = {(r.source, r.lang, r.version): [r.docs, r.tokens] for r in rollups.query(spark, folder).collect()}
+    assert got == dict(want)
 
 
 def test_batches_count_once_and_fold(spark, tmp_path):
@@ -185,13 +201,16 @@ def test_batches_count_once_and_fold(spark, tmp_path):
     assert sorted(map(tuple, rollup.totals().collect())) == want
 
 
-def test_a_broken_batch_is_passed_over(spark, tmp_path):
-    rollup = rollups.Rollup(spark, str(tmp_path / "r"))
-    delta = spark.createDataFrame([("a", "en", "v", 1, 5)], "source string, lang string, version string, sign int, tokens long")
-    rollup.commit("1", delta)
-    (tmp_path / "r" / "batch-1" / "_SUCCESS").unlink()
-    assert rollup.totals().count() == 0
-    assert rollup.commit("1", delta) and rollup.totals().first().tokens == 5
+def test_broken_and_racing_batches(spark, tmp_path, monkeypatch):
+    """A write that broke off is not read; of two drivers that commit one batch at once the first counts."""
+    place = str(tmp_path / "r")
+    rollup, other = rollups.Rollup(spark, place), rollups.Rollup(spark, place)
+    delta = lambda n: spark.createDataFrame([("a", "en", "v", 1, n)], "source string, lang string, version string, sign int, tokens long")
+    delta(3).write.parquet(f"{place}/.draft-x/sums")
+    assert rollup.totals().count() == 0 and rollup.commit("1", delta(5))
+    monkeypatch.setattr(other, "committed", lambda: [])
+    assert not other.commit("1", delta(7))
+    assert [r.tokens for r in rollup.totals().collect()] == [5] and not list((tmp_path / "r").glob(".draft-*-*"))
 
 
 def test_subword_counts(spark):
@@ -228,9 +247,58 @@ def test_null_and_repeated_pages(spark, tmp_path):
     assert got == sorted([(None, "revisit", 1), (1, "response", None), (1, "response", None), (None, "response", None)], key=str)
 
 
-def archive(spark, tmp_path):
-    warc.write(spark.createDataFrame(ROWS, PAGES).coalesce(1), str(tmp_path / "w"))
-    return b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+def archive(spark):
+    """The records as plain WARC."""
+    return b"".join(r.record.encode() for r in warc.records(spark.createDataFrame(ROWS, PAGES)).collect())
+
+
+def written(spark, rows, tmp_path):
+    place = str(tmp_path / f"w{len(list(tmp_path.iterdir()))}")
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), place)
+    return [p.read_bytes() for p in sorted(type(tmp_path)(place).glob("part-*")) if p.stat().st_size]
+
+
+def test_written_files_are_gzip_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 700)
+    files = written(spark, ROWS, tmp_path)
+    assert len(files) > 1 and b"".join(sorted(gzip.decompress(f) for f in files)).count(b"WARC/1.1\r\nWARC-Type") == len(ROWS)
+    assert sum(len(cover(f)[0]) for f in files) == len(ROWS) and not any(cover(f)[1] for f in files)
+
+
+def test_one_damaged_byte_costs_one_record(spark, tmp_path):
+    data = b"".join(written(spark, ROWS, tmp_path))
+    records = cover(data)[0]
+    for r in records[:3]:
+        at = (r.start + r.end) // 2
+        kept, gaps = cover(data[:at] + bytes([data[at] ^ 0xFF]) + data[at + 1 :])
+        assert len(kept) == len(records) - 1 and [(g.start, g.end) for g in gaps] == [(r.start, r.end)]
+
+
+def test_a_record_over_16_mb():
+    """The last byte of its member's length is not zero, so an empty member stands behind it."""
+    big = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 17000000\r\n\r\n" + b"x" * 17_000_000 + b"\r\n\r\n"
+    data = warc.member(big)
+    assert data.endswith(warc.NOTHING) and data.endswith(b"\0") and gzip.decompress(data) == big
+    kept, gaps = cover(data + warc.member(big[:0] + b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"))
+    assert [len(r.block) for r in kept] == [17_000_000, 1] and not gaps
+
+
+def test_reading_takes_time_in_proportion():
+    import random
+    import time
+
+    rng = random.Random(1)
+    body = bytes(rng.randrange(256) for _ in range(5000))
+    one = warc.member(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5000\r\n\r\n" + body + b"\r\n\r\n")
+    took = []
+    for n in (500, 4000):
+        best = 9e9
+        for _ in range(3):
+            began = time.perf_counter()
+            assert sum(1 for _ in warc.salvage(one * n)) == n
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+    assert took[1] < 20 * took[0]
 
 
 def cover(data):
@@ -243,8 +311,8 @@ def cover(data):
     return [x for x in found if isinstance(x, warc.Record)], [x for x in found if isinstance(x, warc.Gap)]
 
 
-def test_salvage_of_damaged_archives(spark, tmp_path):
-    data = archive(spark, tmp_path)
+def test_salvage_of_damaged_archives(spark):
+    data = archive(spark)
     records, gaps = cover(data)
     assert len(records) == len(ROWS) and not gaps
     third = records[2]
@@ -263,8 +331,8 @@ def test_salvage_of_damaged_archives(spark, tmp_path):
     assert gaps[0].reason == "payload digest differs" and len(kept) == len(records) - 1
 
 
-def test_salvage_of_gzip_members(spark, tmp_path):
-    data = archive(spark, tmp_path)
+def test_salvage_of_gzip_members(spark):
+    data = archive(spark)
     members = [gzip.compress(data[r.start : r.end]) for r in cover(data)[0]]
     kept, gaps = cover(b"".join(members))
     assert len(kept) == len(members) and not gaps
@@ -274,7 +342,7 @@ def test_salvage_of_gzip_members(spark, tmp_path):
 
 
 def test_gaps_are_logged(spark, tmp_path):
-    data = archive(spark, tmp_path)
+    data = archive(spark)
     place = tmp_path / "x"
     place.mkdir()
     (place / "a.warc").write_bytes(b"garbage" + data)
@@ -382,6 +450,43 @@ def test_the_mix_holds_what_was_taken(spark, folder):
     assert words == {i: n for i, n in taken.items() if n}
 
 
+def test_taken_by_brute_force(spark, folder, monkeypatch):
+    """Blocks by Spark's hash of the id, in permuted order; the rest goes word by word through them."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fold = lambda *v: signed(__import__("functools").reduce(lambda seed, x: xxhash.xxh64_intdigest(x, seed), v, 42))
+    long_, int_ = (lambda x: int(x).to_bytes(8, "little", signed=True)), (lambda x: int(x).to_bytes(4, "little", signed=True))
+    docs = brute.rows(1)
+    sizes = {i: len(brute.spaced(t)) for i, t, *_ in docs}
+    by_source = defaultdict(list)
+    for i, _, _, source, _ in docs:
+        key = fold(int_(mixing.SEED), long_(i))
+        block = key % mixing.BLOCKS
+        by_source[source].append((fold(int_(mixing.SEED + 1), long_(block)), block, fold(int_(mixing.SEED + 3), long_(key)), i))
+    order = sorted(by_source, key=lambda s: (s is None, s or ""))
+    goal = mixing.targets([sum(sizes[x[-1]] for x in by_source[s]) for s in order])
+    want = {}
+    for s, t in zip(order, goal, strict=True):
+        total = sum(sizes[x[-1]] for x in by_source[s])
+        passes, rest = divmod(round(t), total) if total else (0, 0)
+        for *_, i in sorted(by_source[s]):
+            want[i] = passes * sizes[i] + min(rest, sizes[i])
+            rest -= min(rest, sizes[i])
+    assert {r.doc_id: r.taken for r in mixing.query(spark, folder).collect()} == want
+
+
+def test_a_cut_text_keeps_its_lines(spark):
+    text = "  one two\n\nthree\tfour five"
+    docs = frame(spark, [(1, text, "en", "a", 0), (2, "x " * 40, "en", "a", 0), (3, None, "en", None, 0)]).withColumn("mix_words", F.lit("mine")).withColumn("kept_text", F.lit(1))
+    got = [r for r in mixing.mix(docs).collect() if r.doc_id == 1]
+    assert got and all(text.startswith(r.text) and len(brute.spaced(r.text)) == r.mix_words for r in got)
+
+
+def test_mix_of_repeated_rows_and_no_ids(spark):
+    rows = [(None, "a b c", "en", "s", 0), (None, "d e", "en", "s", 0), (1, "f g", "en", "s", 0), (1, "f g", "en", "s", 0), (1, "h i j k", "en", "s", 0)]
+    first, again = (sorted(map(str, mixing.deal(frame(spark, rows)).select("doc_id", "size", "taken").collect())) for _ in range(2))
+    assert first == again and len(first) == 5
+
+
 def test_splitting_tree_keeps_quotas():
     out = mixing.split_quotas([1000, 7, 0, 250], 16, 3)
     assert out.sum(axis=0).tolist() == [1000, 7, 0, 250]
