@@ -64,7 +64,7 @@ def partner():
 @pytest.fixture
 def runner(spark, tmp_path, partner):
     surfaces = [Surface("rows", max_rows=2), Surface("events", family="event", max_rows=2, target_mode="unsupported")]
-    return Runner(spark, Store(spark, str(tmp_path / "store")), Registry(Destination("partner", surfaces, partner, aliases=("p",))), page_rows=3, attempts=1, sleep=lambda s: None)
+    return Runner(spark, Store(spark, str(tmp_path / "store")), Registry(Destination("partner", surfaces, partner, aliases=("p",))), page_rows=100, attempts=1, sleep=lambda s: None)
 
 
 def table(spark, rows):
@@ -89,6 +89,7 @@ def test_collect_ids_grow():
 
 
 def test_state_from_snapshot_to_destination(spark, runner, partner):
+    runner.page_rows = 3
     first = runner.run(SYNC, table(spark, rows(5)))
     assert (first.collected.removes, first.collected.upserts, first.status) == (0, 5, "succeeded")
     assert [len(x) for x in partner.sent] == [2, 1, 2] and first.pages == 2 and not first.stopped
@@ -125,6 +126,7 @@ def test_a_batch_reads_its_own_files(spark, runner, partner):
 
 
 def test_resend_all_sends_all_each_time(spark, runner, partner):
+    runner.page_rows = 3
     runner.run(SYNC, table(spark, rows(4)))
     for n in (4, 5):
         partner.sent.clear()
@@ -136,6 +138,7 @@ def test_resend_all_sends_all_each_time(spark, runner, partner):
 
 
 def test_a_broken_resend_goes_on_where_it_stopped(spark, runner, partner):
+    runner.page_rows = 3
     runner.run(SYNC, table(spark, rows(5)))
     partner.sent.clear()
     partner.answers = [lambda n: Counts(n, confirmed=n), lambda n: Counts(n, confirmed=n), terminal]
@@ -160,7 +163,8 @@ def test_retryable_batches_are_swept_first(spark, runner, partner):
 
 def test_a_batch_is_tried_a_limited_number_of_times(spark, runner, partner):
     partner.answers = [retryable] * 9
-    for n in (1, 2, 3, 3):
+    runner.retry_limit = 2
+    for n in (1, 2, 2):
         runner.run(SYNC, table(spark, rows(2)))
         assert ledger(runner)[0].attempt_count == n
 
@@ -266,6 +270,7 @@ def buys(spark, *made):
 
 
 def test_events_page_by_page(spark, runner, partner):
+    runner.page_rows = 3
     made = [(2, 1), (1, 1), (3, 2), (7, 3), (5, 3)]
     out = runner.run(EVENTS, buys(spark, *made))
     assert [k for _, k in flat(partner)] == [f'{{"buy":{i}}}' for i in (1, 2, 3, 5, 7)] and out.pages == 2 and [len(x) for x in partner.sent] == [2, 1, 2]
@@ -407,6 +412,7 @@ def test_many_appends_are_put_together(spark, tmp_path, monkeypatch):
 
 
 def test_store_operations(spark, runner, partner):
+    runner.page_rows = 3
     store = runner.store
     runner.collect(STATE, table(spark, rows(4)))
     partner.answers = [retryable] * 9
@@ -466,6 +472,7 @@ def test_clean_up_of_work_that_all_have_passed(spark, runner, partner):
 
 def test_clean_up_spares_what_was_not_sent(spark, runner, partner):
     """A collect counts as passed once its last row is, and an open batch holds its own."""
+    runner.page_rows = 3
     later = datetime.datetime.now() + datetime.timedelta(days=1)
     runner.run(SYNC, table(spark, rows(2)))
     partner.answers = [lambda n: Counts(n, confirmed=n), lambda n: Counts(n, confirmed=n), terminal]

@@ -111,6 +111,22 @@ def work_bounds(work: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def violations(ledger: DataFrame) -> DataFrame:
+    """batch_id and `broken`, the rules that a batch's row breaks; rows that keep all rules are left out."""
+    status, closed, tries = F.col("status"), F.col("completion_state") == "resolved", F.coalesce("attempt_count", F.lit(0))
+    rules = {
+        "status": ~F.coalesce(status.isin("pending", "failed", *RESOLVED), F.lit(False)),
+        "resolved_without_outcome": closed & status.isin("pending", "failed"),
+        "unresolved_success": ~closed & (status == "succeeded"),
+        "failed_without_attempt": (status == "failed") & (tries == 0),
+        "retry_of_a_closed_batch": closed & F.col("retry_eligible"),
+        "negative": (tries < 0) | (F.col("row_count") < 0),
+        "reversed_range": (F.col("first_collect_id") > F.col("last_collect_id")) | ((F.col("first_collect_id") == F.col("last_collect_id")) & (F.col("first_order") > F.col("last_order"))),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+    return ledger.withColumn("broken", broken).filter(F.size("broken") > 0)
+
+
 def collects(work: DataFrame) -> DataFrame:
     """declaration_name, collect_id, row_count, end (its last place), previous (the collect before it of that declaration)."""
     found = work.groupBy("declaration_name", "collect_id").agg(F.count("*").alias("row_count"), F.max("sequence_order").alias("end"))

@@ -143,6 +143,11 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", (F.row_number().over(Window.orderBy(*POSITION)) - 1).cast("long"))
 
 
+def before_collect(rows: DataFrame, collect_id: str) -> DataFrame:
+    """The rows of a page that belong to earlier collects."""
+    return rows.filter(F.col("collect_id") < collect_id)
+
+
 def edges(rows: DataFrame) -> DataFrame:
     """First and last position of a range, as one row."""
     at = F.struct(*POSITION)

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from weirgate.decisions import Counts
 from weirgate.declarations import Checkpoint, Event, Identifier, Source, State, Sync
 from weirgate.destinations import Destination, Registry, Surface
-from weirgate.functions import canonical, identifiers
+from weirgate.functions import canonical, identifiers, redaction, templates
 from weirgate.materialize import shared_dir
 from weirgate.operators import batching, ledger, paging, targets
 from weirgate.plans import inputs
 from weirgate.plans.inputs import COLLECT, VERSION, table
 from weirgate.runner import Runner
 from weirgate.sinks import files
-from weirgate.sources import keyset
+from weirgate.sources import artifacts, keyset
 from weirgate.sources.keyset import EventPosition
 from weirgate.store import Store
 
@@ -134,6 +134,50 @@ def request_byte_split(spark, sf_dir):
     return batching.weighted_batches(page, "sequence_order", ["kind"], 1000, 120).select("work_id", "batch_index")
 
 
+TEMPLATE = "/customers/{{key.customer}}/lists/{{target.value}}?v={{declaration_name}}"
+
+
+@query(f"WITH w AS ({inputs.WORK_LOG.sql}) SELECT work_id, concat('/customers/', json_extract_string(key_json, '$.customer'), '/lists/', json_extract_string(target_json, '$.value'), '?v=', declaration_name) AS path FROM w")
+def request_templates(spark, sf_dir):
+    """A template of a request's path, filled from each record."""
+    path = templates.expanded(TEMPLATE, {"key": F.col("key_json"), "target": F.col("target_json"), "declaration_name": F.col("declaration_name")})
+    return inputs.WORK_LOG.df(spark, sf_dir).select("work_id", path.alias("path"))
+
+
+@query("SELECT doc_id, coalesce(" + " OR ".join(f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for p, _ in redaction.RULES) + ", false) AS secret FROM documents")
+def request_secrets(spark, sf_dir):
+    """Texts that name a secret with its value, and so must not go into a request."""
+    return table(spark, sf_dir, "documents").select("doc_id", redaction.holds_secret(F.col("text")).alias("secret"))
+
+
+@query(f"WITH b AS (SELECT page_id, batch_index, row_count, payload_fingerprint AS p, request_fingerprint AS r FROM ({inputs.RANGED.sql})) SELECT page_id, count(*)::bigint AS batches, sum(row_count)::bigint AS row_count, count(DISTINCT p)::bigint AS payloads FROM b GROUP BY 1")
+def ledger_pages(spark, sf_dir):
+    """Batches, rows and different payloads of each page."""
+    return inputs.RANGED.df(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("batches"), F.sum("row_count").alias("row_count"), F.countDistinct("payload_fingerprint").alias("payloads"))
+
+
+BROKEN = """list_filter([CASE WHEN status = 'failed' AND attempt_count = 0 THEN 'failed_without_attempt' END, CASE WHEN completion_state = 'resolved' AND coalesce(retry_eligible, false) THEN 'retry_of_a_closed_batch' END], lambda x: x IS NOT NULL)"""
+
+
+@query(f"{RANGED} SELECT order_key, array_to_string({BROKEN}, ',') AS broken FROM b WHERE len({BROKEN}) > 0")
+def ledger_violations(spark, sf_dir):
+    """Rows of the ledger that can't be, and the rules they break."""
+    return ledger.violations(inputs.RANGED.df(spark, sf_dir)).select("order_key", F.concat_ws(",", "broken").alias("broken"))
+
+
+@query(f"WITH w AS ({inputs.WORK_LOG.sql}) SELECT work_id, collect_id FROM w WHERE collect_id < '018f-3'")
+def work_before_collect(spark, sf_dir):
+    return paging.before_collect(inputs.WORK_LOG.df(spark, sf_dir), "018f-3").select("work_id", "collect_id")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus IS NOT NULL")
+def source_artifact(spark, sf_dir):
+    """A source's rows kept with a manifest, checked and read again."""
+    folder = f"{shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    artifacts.kept(table(spark, sf_dir, "orders").filter("o_orderstatus is not null").select("o_orderkey", "o_custkey", "o_totalprice"), folder)
+    return artifacts.read(spark, folder)
+
+
 # Targets.
 
 
