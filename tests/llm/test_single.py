@@ -513,6 +513,13 @@ def test_hashes_of_words_by_either_way(monkeypatch):
     assert (words.hashes() == plain).all() and plain[0] == plain[3] and len(set(plain.tolist())) == len(plain) - 1
 
 
+def test_long_words_of_one_sum_have_hashes_of_their_own():
+    """A Thue-Morse word and its complement are equal as sums of powers modulo 2 ** 64."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    words = arrow_text.split_words(pa.array([f"{word} {word.translate({97: 98, 98: 97})} x"], pa.large_string()), arrow_text.SPACED)
+    assert len(set(words.hashes().tolist())) == 3
+
+
 def test_arrow_slices_keep_all_rows():
     column = pa.array(["a" * 300_000, None, "", "b", "c" * 10])
     got = [x for _, part in arrow_text.slices(column) for x in part.to_pylist()]

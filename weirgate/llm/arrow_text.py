@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -22,6 +23,7 @@ SLICE_BYTES = 1 << 18
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text up to which words are hashed by prefix sums; longer texts are hashed word by word, with the same result.
 POWERS = 1 << 21
+LONG_WORD = 256
 
 
 @lru_cache(1)
@@ -46,7 +48,17 @@ class Words:
         return [raw[s:e] for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every process."""
+        """A 64-bit hash of each word, the same in every process.
+
+        Powers modulo 2 ** 64 collide on certain words of 1,024 characters and more, whatever the prime, so
+        words of over LONG_WORD bytes have a BLAKE2 hash.
+        """
+        out = self._sums()
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.low[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
+
+    def _sums(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
         size = self.end - self.start
