@@ -128,3 +128,70 @@ def line_dedup(docs: list[tuple[int, str | None]], min_words: int) -> dict[int,
             if seen.setdefault(run, (doc_id, a)) != (doc_id, a):
                 gone[doc_id] |= {i for i, _ in lines[a : b + 1]}
     return {i: sorted(x) for i, x in gone.items()}
+
+
+MASK = (1 << 64) - 1
+
+
+def mix(h: int) -> int:
+    """The 64-bit finaliser of MurmurHash3."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ h >> 33) * factor & MASK
+    return h ^ h >> 33
+
+
+def letter_grams(text: str, orders: tuple[int, ...]) -> list[int]:
+    """Hashes of the n-grams of a text's lower-cased words, with one space around each."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in f" {text} ")
+    plain = re.sub(" +", " ", low)
+    out = []
+    for order in orders:
+        for i in range(len(plain) - order + 1):
+            h = order
+            for c in plain[i : i + order]:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c)) & MASK
+            out.append(mix(h))
+    return out
+
+
+def next_log10(model, ids, context: int, step: int, groups: int, side: int) -> list[float]:
+    """log10 probability of each id of one text, one place at a time."""
+    import numpy as np
+
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    before, out = [0, *model.class_of[ids].tolist()], []
+    for i, wanted in enumerate(model.class_of[ids].tolist()):
+        low = i // step * step - context
+        seen = [j for j in range(low, i + 1) if j >= 0]
+        x = np.stack([w["E"][before[j]] + w["P"][j - low] for j in seen])
+        s = (x @ w["K"]) @ (x[-1] @ w["Q"]) / w["Q"].shape[0] ** 0.5
+        s = np.exp(s - s.max())
+        h = x[-1] + (s / s.sum()) @ (x @ w["V"]) @ w["O"]
+        z = h + np.maximum(h @ w["A"] + w["a"], 0) @ w["B"]
+        g, m = divmod(wanted, side)
+        soft = lambda y, at: y[at] - y.max() - np.log(np.exp(y - y.max()).sum())
+        out.append((soft(z @ w["G"] + w["g"], g) + soft(z @ w["U"][g] + w["b"][g], m)) / np.log(10) + model.tail[ids[i]])
+    return out
+
+
+def licence_labels(docs: list[tuple[int, str | None]], templates, base, rare: int, weight: float, cover: float) -> dict[int, set[str]]:
+    """Labels of the phrases, and of the templates of which enough weight, words and all phrases stand at one start."""
+    import math
+
+    words = {i: alnum(t) for i, t in docs}
+    n = {w: sum(w in set(ws) for ws in words.values()) for _, t, _ in templates for w in t.split()}
+    idf = {w: math.log1p(len(docs) / (k + 1)) for w, k in n.items()}
+    holds = lambda ws, p: any(ws[i : i + len(p)] == p for i in range(len(ws) - len(p) + 1))
+    out = {}
+    for i, ws in words.items():
+        out[i] = {label for phrase, label in base if holds(ws, phrase.split())}
+        for label, t, phrases in templates:
+            t = t.split()
+            need = weight * sum(sorted((idf[w] for w in set(t)), reverse=True)[:rare])
+            for start in range(1 - len(t), len(ws)):
+                met = [w for j, w in enumerate(t) if 0 <= start + j < len(ws) and ws[start + j] == w]
+                inside = ws[max(0, start) : start + len(t)]
+                if met and sum(idf[w] for w in met) >= need - 1e-9 and len(met) >= cover * len(t) and all(holds(inside, p.split()) for p in phrases):
+                    out[i].add(label)
+                    break
+    return out

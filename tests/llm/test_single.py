@@ -77,6 +77,30 @@ def test_language_of_odd_texts(spark, folder):
     assert {r.lang_pred for r in langid.identify(df, langid.learn(df)).collect()} == {"und"}
 
 
+def test_languages_by_brute_force(spark):
+    """Per-language counts of the filter's hits, less what false positives would give; of equal languages the first in order."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.learn(docs)
+    texts = [r.text for r in docs.limit(40).collect()] + ["", "123", "É", "a b", None]
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    mask = (1 << langid.SLOTS_BITS) - 1
+    for r in got:
+        grams = brute.letter_grams(texts[r.doc_id] or "", langid.ORDERS)
+        sure = []
+        for n, lang in enumerate(model.langs):
+            hits = sum(all(int(model.slots[h >> (k * langid.SLOTS_BITS) & mask, 0]) >> n & 1 for k in range(langid.HASHES)) for h in grams)
+            sure.append(max(0, (hits - len(grams) * model.false[n]) / (1 - model.false[n])))
+        lettered = any(c.isalpha() for c in texts[r.doc_id] or "")
+        assert r.lang_pred == (model.langs[sure.index(max(sure))] if lettered else "und")
+        assert r.score == pytest.approx(max(sure) / max(sum(sure), 1e-9) if lettered else 0)
+
+
+def test_a_tie_goes_to_the_first_language():
+    h = np.arange(1, 500, dtype=np.uint64)
+    model = langid.Filter(["a", "b"], [h, h])
+    assert langid.decide(model, pa.array(["some text"], pa.large_string()))[0] == ["a"]
+
+
 def test_bit_sliced_filter_gives_all_languages():
     a, b = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(2000, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     model = langid.Filter(["a", "b"], [a, b])
@@ -103,6 +127,34 @@ def test_base_scores_and_counts(spark, folder):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_scores_by_brute_force(spark, monkeypatch, model):
+    """Each word's product over its ids, mixed with its share of the training tokens."""
+    docs = [(i, t, "en", "s", 0) for i, t, *_ in brute.rows(1) if i % 7 == 0 or not t] + [(900, "w " * 50 + "ä the end", "en", "s", 0)]
+    monkeypatch.setattr(attention_lm, "learn", lambda *_: model)
+    tokens = {i: brute.spaced(brute.lower(t)) for i, t, *_ in docs}
+    counts = Counter(x for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for x in [*ws, None])
+    total = sum(counts.values())
+    for r in attention_lm.score(frame(spark, docs)).collect():
+        ids, first = attention_lm.subwords([w.encode() for w in tokens[r.doc_id]], attention_lm.VOCABULARY)
+        ids = np.concatenate([ids, [attention_lm.END]]).astype(int)
+        one = brute.next_log10(model, ids, attention_lm.CONTEXT, attention_lm.STEP, attention_lm.GROUPS, attention_lm.SIDE)
+        want, ends = 0.0, [*first.tolist(), len(ids)]
+        for w, a, b in zip([*tokens[r.doc_id], None], ends[:-1], ends[1:], strict=True):
+            want += math.log10(attention_lm.SHARE * counts[w] / total + (1 - attention_lm.SHARE) * 10 ** sum(one[a:b]))
+        assert r.score == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
+def test_averaged_shards(spark, monkeypatch):
+    """More shards than one: weights are averaged, texts without ids are dealt one by one, and the model is one of all."""
+    monkeypatch.setattr(attention_lm, "SHARD_WORDS", 300)
+    for name, n in (("WARM", 20), ("SHARD_STEPS", 20)):
+        monkeypatch.setattr(attention_lm, name, n)
+    texts = spark.createDataFrame([(brute.lower(t),) for _, t, *_ in brute.rows(2)], "text string").repartition(3)
+    model = attention_lm.learn(texts, 1500)
+    ids = np.array([5, attention_lm.END])
+    assert np.isfinite(model.log10(ids, np.array([0, 2]))).all() and set(model.w) == set(attention_lm.fit(["a b"], steps=1).w)
+
+
 def test_held_out_texts_score_above_the_base(spark):
     got = [r for r in attention_lm.query(spark, MORE).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
@@ -398,6 +450,14 @@ def test_licences(spark, folder, tmp_path):
         assert got[1000 + i].labels == ",".join(sorted(labels)), t
 
 
+def test_labels_by_brute_force(spark):
+    docs = [(i, t) for i, t, *_ in brute.rows(1)] + [(1000 + i, t) for i, (t, _) in enumerate(NOTICES)]
+    docs += [(2000 + i, f"x {t} y") for i, (_, t, _) in enumerate(licenses.TEMPLATES)] + [(3000 + i, " ".join(w if k % 4 else "other" for k, w in enumerate(t.split()))) for i, (_, t, _) in enumerate(licenses.TEMPLATES)]
+    want = brute.licence_labels(docs, licenses.TEMPLATES, licenses.BASE, licenses.RARE, licenses.WEIGHT, licenses.COVER)
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: ",".join(sorted(x)) for i, x in want.items()}
+
+
 @pytest.mark.parametrize("between", ["", " the old word of " * 4000])
 def test_licences_of_several_notices(spark, between):
     """Each notice is found in front of, behind and far from any other."""

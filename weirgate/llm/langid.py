@@ -11,7 +11,8 @@ has SLOTS rows whatever the corpus.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; a null lang is not learned from; a null
 doc_id is held out only if crc32 of the empty text says so. Repeated rows each give a row. With no
-labelled rows every prediction is `und`. An empty table gives an empty result.
+labelled rows every prediction is `und`. Of languages that tie the first in code point order is predicted. An empty
+table gives an empty result. A very long text is read whole, as one row of Arrow; extra columns are passed over.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ Base labels are plain: every place where a phrase's words stand consecutively.
 
 One pass counts, one pass scans; no text is shuffled. The driver sees one row per licence word. Nulls: a
 null text is an empty one, with no words, no labels and score 0. Repeated rows each give a row. An empty
-table gives an empty result.
+table gives an empty result. A very long text is scanned whole, as one row of Arrow; extra columns are passed over.
 """
 
 from __future__ import annotations
