@@ -134,6 +134,17 @@ def request_byte_split(spark, sf_dir):
     return batching.weighted_batches(page, "sequence_order", ["kind"], 1000, 120).select("work_id", "batch_index")
 
 
+ALL_ISLANDS = f"""WITH w AS ({inputs.WORK_LOG.sql}), p AS (SELECT *, coalesce(lag(kind) OVER o <> kind OR lag(collect_id) OVER o <> collect_id, false)::int AS brk FROM w WINDOW o AS (ORDER BY collect_id, sequence_order)),
+i AS (SELECT *, sum(brk) OVER (ORDER BY collect_id, sequence_order) AS island FROM p), k AS (SELECT *, (row_number() OVER (PARTITION BY island ORDER BY sequence_order) - 1) // 2 AS part FROM i)"""
+
+
+@query(f"{ALL_ISLANDS} SELECT work_id, CAST(dense_rank() OVER (ORDER BY island, part) - 1 AS BIGINT) AS batch_index FROM k")
+def request_batches_of_all(spark, sf_dir):
+    """All collects at once, two records a request, never over the end of a collect: no window spans more than a range partition."""
+    work = inputs.WORK_LOG.df(spark, sf_dir).withColumn("at", F.struct("collect_id", "sequence_order"))
+    return batching.unit_batches(work, "at", ["kind", "collect_id"], 2).select("work_id", "batch_index")
+
+
 TEMPLATE = "/customers/{{key.customer}}/lists/{{target.value}}?v={{declaration_name}}"
 
 
@@ -150,12 +161,6 @@ def request_secrets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", redaction.holds_secret(F.col("text")).alias("secret"))
 
 
-@query(f"WITH b AS (SELECT page_id, batch_index, row_count, payload_fingerprint AS p, request_fingerprint AS r FROM ({inputs.RANGED.sql})) SELECT page_id, count(*)::bigint AS batches, sum(row_count)::bigint AS row_count, count(DISTINCT p)::bigint AS payloads FROM b GROUP BY 1")
-def ledger_pages(spark, sf_dir):
-    """Batches, rows and different payloads of each page."""
-    return inputs.RANGED.df(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("batches"), F.sum("row_count").alias("row_count"), F.countDistinct("payload_fingerprint").alias("payloads"))
-
-
 BROKEN = """list_filter([CASE WHEN status = 'failed' AND attempt_count = 0 THEN 'failed_without_attempt' END, CASE WHEN completion_state = 'resolved' AND coalesce(retry_eligible, false) THEN 'retry_of_a_closed_batch' END], lambda x: x IS NOT NULL)"""
 
 
