@@ -16,10 +16,8 @@ the totals. Empty tables give empty batches, which are committed all the same.
 
 from __future__ import annotations
 
-import base64
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +26,10 @@ from pyspark.sql import functions as F
 from weirgate import files
 from weirgate.llm.arrow_text import slices
 from weirgate.llm.shared import SPACED_WORD, join_hot, map_arrow, shared_dir, stage
+from weirgate.llm.vocabulary import VOCABULARY, encoder
 
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, docs long, tokens long"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def spaced(text: Column) -> Column:
@@ -39,18 +37,8 @@ def spaced(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("long")
 
 
-@lru_cache(2)
-def _encoder(vocabulary: str):
-    import public_tokenizers
-    import tiktoken
-
-    with open(vocabulary, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def _subwords(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    encode = _encoder(vocabulary).encode_ordinary
+    encode = encoder(vocabulary).encode_ordinary
     for batch in batches:
         at = batch.schema.get_field_index("text")
         n = [len(encode(t)) for _, part in slices(batch.column(at)) for t in part.to_pylist()]
