@@ -304,15 +304,14 @@ def archive(spark):
     return b"".join(r.record.encode() for r in warc.records(spark.createDataFrame(ROWS, PAGES)).collect())
 
 
-def written(spark, rows, tmp_path):
+def written(spark, rows, tmp_path, file_bytes=warc.FILE_BYTES):
     place = str(tmp_path / f"w{len(list(tmp_path.iterdir()))}")
-    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), place)
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), place, file_bytes)
     return [p.read_bytes() for p in sorted(type(tmp_path)(place).glob("part-*")) if p.stat().st_size]
 
 
-def test_written_files_are_gzip_members(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_BYTES", 700)
-    files = written(spark, ROWS, tmp_path)
+def test_written_files_are_gzip_members(spark, tmp_path):
+    files = written(spark, ROWS, tmp_path, 700)
     assert len(files) > 1 and b"".join(sorted(gzip.decompress(f) for f in files)).count(b"WARC/1.1\r\nWARC-Type") == len(ROWS)
     assert sum(len(cover(f)[0]) for f in files) == len(ROWS) and not any(cover(f)[1] for f in files)
 

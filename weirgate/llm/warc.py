@@ -92,8 +92,8 @@ def member(record: bytes) -> bytes:
     return out if out.endswith(b"\0") else out + NOTHING
 
 
-def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole files, each without its last byte."""
+def _files(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Whole files of about `most` bytes, each without its last byte."""
     parts, size = [], 0
 
     def whole() -> pa.RecordBatch:
@@ -103,16 +103,16 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batch.column("record"):
             parts.append(member(record.as_py().encode()))
             size += len(parts[-1])
-            if size >= FILE_BYTES:
+            if size >= most:
                 yield whole()
                 parts, size = [], 0
     if parts:
         yield whole()
 
 
-def write(pages: DataFrame, folder: str) -> None:
+def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
     """Write the archive files, each a row of the sink."""
-    files = map_arrow(records(pages), _files, "file binary")
+    files = map_arrow(records(pages), lambda b: _files(b, file_bytes), "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
 
 
