@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirgate.llm import attention_lm, decontam, fingerprints, hard_negatives, langid, lexical, licenses, line_dedup, mixing, rollups, simhash, warc
+from weirgate.llm import attention_lm, decontam, fingerprints, hard_negatives, jaccard, langid, lexical, licenses, line_dedup, mixing, rollups, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_scores": attention_lm.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": decontam.query,
     "op4_simhash": simhash.query,
     "op10_source_mix": mixing.query,
+    "op11_jaccard_join": jaccard.query,
     "op12_hard_negatives": hard_negatives.query,
     "op13_lexical_search": lexical.query,
 }
@@ -27,6 +28,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": decontam.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op7_warc_salvage": warc.ORACLE_SQL,
+    "op11_jaccard_join": jaccard.ORACLE_SQL,
     "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     "op13_lexical_search": lexical.ORACLE_SQL,
 }
