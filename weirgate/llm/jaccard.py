@@ -6,8 +6,8 @@ band of sizes, from one power of two to the next; a set so near to the next band
 as well. What a common passage shares is late in the order, so it seldom makes a tile.
 
 Equal sets meet as one node before anything is replicated. Tiles of one node go at once, by their least and greatest node, with sums made
-before the shuffle. Then each tile's nodes are compared with one of them, which links large groups of near
-copies by as many pairs as they have nodes; where a tile still has nodes of different components, all of its nodes are
+before the shuffle. Then each tile's nodes are compared with one of them, and again with the one that meets most others, which links large
+groups of near copies by as many pairs as they have nodes; where a tile still has nodes of different components, all of its nodes are
 compared with each other inside of a task. Tiles of over CELL nodes are cut into cells of residents by visitors. No pair is made
 that hashed bitmaps rule out: bits that differ are shingles of one set alone, so half of both sizes less the
 differing bits bounds the overlap from above. Pairs left are decided by the exact intersection of their sorted arrays.
@@ -34,8 +34,8 @@ from weirgate.llm.shared import SPACED_WORD, UPPER, join_hot, map_arrow, stage
 
 #: Buckets by which common shingles are told from rare ones: their counts are broadcast, 0.5 MB.
 BUCKETS = 1 << 16
-#: Bits of a bitmap for each shingle, at least; the least and greatest width of one. Wider ones are folded when two are compared.
-BITS, LEAST_WIDTH, MOST_WIDTH = 2, 64, 1 << 15
+#: Bits of a bitmap for each shingle, at least; the least and greatest width of one. Wider ones are folded when two are compared, and all of a cell first to COARSE bits.
+BITS, LEAST_WIDTH, MOST_WIDTH, COARSE = 8, 64, 1 << 17, 512
 CELL = 2048
 PAIRS_AT_ONCE = 1 << 16
 
@@ -187,15 +187,19 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Re
 def _cell(residents: tuple, visitors: tuple, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     width = 8 * min(len(m) for m in (*residents[3], *visitors[3]))
     mine, theirs = _folded(residents[3], width), _folded(visitors[3], width)
+    coarse = min(width, COARSE)
+    mine_first, theirs_first = _folded(residents[3], coarse), _folded(visitors[3], coarse)
     step = max(1, PAIRS_AT_ONCE // len(mine))
     for lo in range(0, len(theirs), step):
         node, label, size = (x[lo : lo + step, None] for x in visitors[:3])
         small, large = np.minimum(size, residents[2]), np.maximum(size, residents[2])
         # A pair is made where the visitor's node is the smaller one: in one of the two cells in which both meet.
         v, r = np.nonzero((node < residents[0]) & (label != residents[1]) & (100 * small >= rule.hundredths * large))
-        both = np.minimum(small[v, r], _most_overlap(theirs[lo + v], mine[r], size[v, 0], residents[2][r]))
-        hit = rule.similar(both, size[v, 0], residents[2][r])
-        yield node[v[hit], 0], residents[0][r[hit]]
+        for a, b in ((theirs_first, mine_first), (theirs, mine)):
+            x, y = size[v, 0], residents[2][r]
+            hit = rule.similar(np.minimum(np.minimum(x, y), _most_overlap(a[lo + v], b[r], x, y)), x, y)
+            v, r = v[hit], r[hit]
+        yield node[v, 0], residents[0][r]
 
 
 def _exact(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
@@ -252,6 +256,13 @@ class _Links:
         return True
 
 
+def _open(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tile, node, label of all members; and tile, size of the tiles of three nodes or more whose labels differ."""
+    labelled = stage(members.select("tile", "node").join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("label")), "jaccard-labelled")
+    tiles = labelled.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"))
+    return labelled, stage(tiles.filter("least < most and size > 2").select("tile", "size"), "jaccard-open")
+
+
 def link(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
     """The signatures of docs, and node, root for each node that has links."""
     signed, buckets = signatures(docs, rule)
@@ -272,8 +283,16 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
         return signed, members.select("node", F.col("node").alias("root")).limit(0)
     roots = components(links.found)
 
-    labelled = stage(members.select("tile", "node").join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("label")), "jaccard-labelled")
-    open_tiles = labelled.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.ceil(F.count("*") / CELL).cast("int").alias("cells")).filter("least < most").select("tile", "cells")
+    # Tiles of two nodes are done with. Of others, the node that meets most is likely the text that the rest was made from.
+    labelled, open_tiles = _open(members, roots)
+    met = labelled.join(open_tiles, "tile").groupBy("node").agg(F.sum("size").alias("met"))
+    at = labelled.join(open_tiles.select("tile"), "tile").join(met, "node")
+    centres = at.groupBy("tile").agg(F.max(F.struct("met", "node", "label")).alias("c")).select("tile", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
+    stars = labelled.join(centres, "tile").filter("label <> centre_label").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    if links.decide(map_arrow(stars.join(mapped("a"), "a").join(mapped("b"), "b"), lambda x: _maybe(x, rule), "a long, b long")):
+        roots = components(links.found)
+        labelled, open_tiles = _open(members, roots)
+    open_tiles = open_tiles.select("tile", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
     rows = labelled.join(open_tiles, "tile").join(nodes.select("node", "size", "bitmap"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
     rows = rows.select("tile", "node", "label", "size", "bitmap", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
