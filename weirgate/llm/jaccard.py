@@ -156,32 +156,49 @@ def _maybe(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordB
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Rows come by cell, residents first and each side by size. Residents are kept, visitors pass by: pairs of different labels that sizes and bitmaps let pass."""
+    """Rows come by cell, residents first. Residents are kept, visitors pass by; where cell i is j, residents meet each other. Pairs of different labels that sizes and bitmaps let pass."""
     cell, kept = None, []
     for batch in batches:
         at = list(zip(*(batch.column(c).to_pylist() for c in ("tile", "i", "j")), strict=True))
         visits, node, label, size, maps = (batch.column(c).to_pylist() for c in ("visits", "node", "label", "size", "bitmap"))
-        out_a, out_b, lo = [], [], 0
+        out, lo = [], 0
         while lo < len(at):
             hi = lo
             while hi < len(at) and at[hi] == at[lo]:
                 hi += 1
             if at[lo] != cell:
+                out += _among(cell, kept, rule)
                 cell, kept = at[lo], []
             cut = lo
             while cut < hi and not visits[cut]:
                 cut += 1
+            group = lambda a, b: (np.array(node[a:b]), np.array(label[a:b]), np.array(size[a:b], dtype=np.int64), maps[a:b])
             if cut > lo:
-                kept.append((np.array(node[lo:cut]), np.array(label[lo:cut]), np.array(size[lo:cut], dtype=np.int64), maps[lo:cut]))
+                kept.append(group(lo, cut))
             if cut < hi and kept:
-                residents = tuple(np.concatenate([k[c] for k in kept]) for c in range(3)) + ([m for k in kept for m in k[3]],)
-                kept = [residents]
-                for a, b in _cell(residents, (np.array(node[cut:hi]), np.array(label[cut:hi]), np.array(size[cut:hi], dtype=np.int64), maps[cut:hi]), rule):
-                    out_a.append(a)
-                    out_b.append(b)
+                kept = [_together(kept)]
+                out += _cell(kept[0], group(cut, hi), rule)
             lo = hi
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], names=["a", "b"])
+        yield from _pairs(out)
+    yield from _pairs(_among(cell, kept, rule))
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        x, y = (np.concatenate(side) for side in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _together(groups: list[tuple]) -> tuple:
+    return (*(np.concatenate([g[c] for g in groups]) for c in range(3)), [m for g in groups for m in g[3]])
+
+
+def _among(cell: tuple | None, kept: list[tuple], rule: Rule) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs among the residents of a cell that has no other visitors."""
+    if cell is None or cell[1] != cell[2] or not kept:
+        return []
+    own = _together(kept)
+    return [(x[x < y], y[x < y]) for x, y in _cell(own, own, rule)]
 
 
 def _cell(residents: tuple, visitors: tuple, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -193,8 +210,7 @@ def _cell(residents: tuple, visitors: tuple, rule: Rule) -> Iterator[tuple[np.nd
     for lo in range(0, len(theirs), step):
         node, label, size = (x[lo : lo + step, None] for x in visitors[:3])
         small, large = np.minimum(size, residents[2]), np.maximum(size, residents[2])
-        # A pair is made where the visitor's node is the smaller one: in one of the two cells in which both meet.
-        v, r = np.nonzero((node < residents[0]) & (label != residents[1]) & (100 * small >= rule.hundredths * large))
+        v, r = np.nonzero((label != residents[1]) & (100 * small >= rule.hundredths * large))
         for a, b in ((theirs_first, mine_first), (theirs, mine)):
             x, y = size[v, 0], residents[2][r]
             hit = rule.similar(np.minimum(np.minimum(x, y), _most_overlap(a[lo + v], b[r], x, y)), x, y)
@@ -257,10 +273,11 @@ class _Links:
 
 
 def _open(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """tile, node, label of all members; and tile, size of the tiles of three nodes or more whose labels differ."""
+    """tile, node, label of all members; and tile, size of the tiles of three nodes or more whose labels differ. Of tiles of the same nodes (by 128 bits of hashes, least and greatest) one is enough."""
     labelled = stage(members.select("tile", "node").join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("label")), "jaccard-labelled")
-    tiles = labelled.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"))
-    return labelled, stage(tiles.filter("least < most and size > 2").select("tile", "size"), "jaccard-open")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"h{i}") for i in range(2)] + [F.min("node").alias("first"), F.max("node").alias("last")]
+    tiles = labelled.groupBy("tile").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"), *same).filter("least < most and size > 2")
+    return labelled, stage(tiles.groupBy("h0", "h1", "first", "last", "size").agg(F.min("tile").alias("tile")).select("tile", "size"), "jaccard-open")
 
 
 def link(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
@@ -294,12 +311,10 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
         labelled, open_tiles = _open(members, roots)
     open_tiles = open_tiles.select("tile", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
     rows = labelled.join(open_tiles, "tile").join(nodes.select("node", "size", "bitmap"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+    own, other = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"), F.col("other")
     rows = rows.select("tile", "node", "label", "size", "bitmap", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
-    sides = rows.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("visits"))
-    i, j = (F.when(F.col("visits"), b).otherwise(a) for a, b in ((F.col("own"), F.col("other")), (F.col("other"), F.col("own"))))
-    cells = sides.select("tile", i.alias("i"), j.alias("j"), "visits", "node", "label", "size", "bitmap")
-    pairs = map_arrow(cells.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "visits", "size"), lambda x: _tile_pairs(x, rule), "a long, b long")
+    cells = rows.select("tile", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), (F.col("own") > other).alias("visits"), "node", "label", "size", "bitmap")
+    pairs = map_arrow(cells.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "visits"), lambda x: _tile_pairs(x, rule), "a long, b long")
     return signed, components(links.found) if links.decide(pairs) else roots
 
 
