@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import SPACED, gram_hashes, mix, slices, split_words
@@ -37,6 +37,7 @@ BUCKETS = 1 << 16
 #: Bits of a bitmap for each shingle, at least; the least and greatest width of one. Wider ones are folded when two are compared, and all of a cell first to COARSE bits.
 BITS, LEAST_WIDTH, MOST_WIDTH, COARSE = 8, 64, 1 << 17, 512
 CELL = 2048
+STARS = 2
 PAIRS_AT_ONCE = 1 << 16
 
 
@@ -235,11 +236,16 @@ def _whole_sets(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Re
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
+    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), F.col("text").cast("string").alias("text"))
+
+
+def _own_key() -> Column:
+    """A row's key that its copies do not share, unless they have its id too."""
+    return F.xxhash64("doc_id", "row_key")
 
 
 def signatures(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """doc_id, row_key (a hash of id and text), node, size, bitmap: one row per document; and bucket, n over all documents."""
+    """doc_id, row_key (a hash of the text), node, size, bitmap: one row per document; and bucket, n over all documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id array<{kind}>, row_key array<long>, node array<long>, size array<long>, bitmap array<binary>, held array<int>, count array<long>"
     signed = stage(map_arrow(_texts(docs), lambda b: _sign(b, rule), schema), "jaccard-signed")
@@ -262,8 +268,8 @@ class _Links:
         if pairs.isEmpty():
             return False
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "row_key"), "node")
-        texts = _texts(self.docs).join(wanted, "row_key").select("node", "text")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "own_key"), "node")
+        texts = _texts(self.docs).withColumn("own_key", _own_key()).join(wanted, "own_key").select("node", "text")
         rule = self.rule
         sets = stage(map_arrow(texts, lambda b: _whole_sets(b, rule), "node long, set binary").dropDuplicates(["node"]), "jaccard-sets")
         a, b = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
@@ -280,10 +286,10 @@ def _open(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labelled, stage(tiles.groupBy("h0", "h1", "first", "last", "size").agg(F.min("tile").alias("tile")).select("tile", "size"), "jaccard-open")
 
 
-def link(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
-    """The signatures of docs, and node, root for each node that has links."""
+def link(docs: DataFrame, rule: Rule = Rule(), stars: int = STARS) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, and node, root for each node that has links. stars: rounds in which the nodes of a tile are compared with one of them, before all are with all."""
     signed, buckets = signatures(docs, rule)
-    nodes = stage(signed.filter("size > 0").groupBy("node").agg(F.min(F.struct("row_key", "size", "bitmap")).alias("x")).select("node", "x.*"), "jaccard-nodes")
+    nodes = stage(signed.filter("size > 0").groupBy("node").agg(F.min(F.struct(_own_key().alias("own_key"), "size", "bitmap")).alias("x")).select("node", "x.*"), "jaccard-nodes")
     counts = buckets.toArrow()  # BUCKETS rows at most
     common = np.zeros(BUCKETS, dtype=np.int64)
     common[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
@@ -294,21 +300,19 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
 
     links = _Links(docs, nodes, rule)
     mapped = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bitmap").alias(f"map_{c}"))
-    stars = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links.decide(map_arrow(stars.join(mapped("a"), "a").join(mapped("b"), "b"), lambda x: _maybe(x, rule), "a long, b long"))
-    if links.found is None:
-        return signed, members.select("node", F.col("node").alias("root")).limit(0)
-    roots = components(links.found)
-
-    # Tiles of two nodes are done with. Of others, the node that meets most is likely the text that the rest was made from.
+    pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links.decide(map_arrow(pairs.join(mapped("a"), "a").join(mapped("b"), "b"), lambda x: _maybe(x, rule), "a long, b long"))
+    roots = components(links.found) if links.found is not None else members.select("node", F.col("node").alias("root")).limit(0)
     labelled, open_tiles = _open(members, roots)
-    met = labelled.join(open_tiles, "tile").groupBy("node").agg(F.sum("size").alias("met"))
-    at = labelled.join(open_tiles.select("tile"), "tile").join(met, "node")
-    centres = at.groupBy("tile").agg(F.max(F.struct("met", "node", "label")).alias("c")).select("tile", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
-    stars = labelled.join(centres, "tile").filter("label <> centre_label").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    if links.decide(map_arrow(stars.join(mapped("a"), "a").join(mapped("b"), "b"), lambda x: _maybe(x, rule), "a long, b long")):
-        roots = components(links.found)
-        labelled, open_tiles = _open(members, roots)
+    for _ in range(1, stars):
+        # Tiles of two nodes are done with. Of others, the node that meets most is likely the text that the rest was made from.
+        at = labelled.join(open_tiles, "tile")
+        at = at.select("tile", "node", "label").join(at.groupBy("node").agg(F.sum("size").alias("met")), "node")
+        centres = at.groupBy("tile").agg(F.max(F.struct("met", "node", "label")).alias("c")).select("tile", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
+        pairs = labelled.join(centres, "tile").filter("label <> centre_label").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+        if links.decide(map_arrow(pairs.join(mapped("a"), "a").join(mapped("b"), "b"), lambda x: _maybe(x, rule), "a long, b long")):
+            roots = components(links.found)
+            labelled, open_tiles = _open(members, roots)
     open_tiles = open_tiles.select("tile", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
     rows = labelled.join(open_tiles, "tile").join(nodes.select("node", "size", "bitmap"), "node")
     own, other = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"), F.col("other")
