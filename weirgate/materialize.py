@@ -26,11 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def written(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
-    """df as a table, in a folder for each value of `by`. Inside of scratch() it is removed at the end, unless it is to be kept."""
+def written(df: DataFrame, name: str, keep: bool = False, by: str | None = None, most: int = 0) -> DataFrame:
+    """df as a table, in a folder for each value of `by`, in files of at most `most` rows if given. Inside of scratch() it is removed at the end, unless it is to be kept."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    writer = df.write.option("maxRecordsPerFile", most)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     if not keep and _tables.get() is not None:
         _tables.get().append(path)
     return df.sparkSession.read.schema(schema).parquet(path)

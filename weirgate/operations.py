@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from weirgate.sources import keyset
 from weirgate.sources.keyset import Position, WorkPosition
 from weirgate.store import NOW, TABLES, Changes, Store
 
+#: No place of a collect is beyond this.
+_LAST = (1 << 63) - 1
 #: Scopes that an inspection lists.
 MOST_SCOPES = 20
 
@@ -65,15 +67,20 @@ def batches(store: Store, scope: Sequence[str], batch_id: str | None = None) ->
 def dismiss_unresolved(store: Store, scope: Sequence[str]) -> int:
     """Open batches of a scope become skipped; their number."""
     own = F.coalesce(ledger.in_scope(scope), F.lit(False))
-    n = store.read("destination_batches").filter(own & (F.col("completion_state") == "unresolved")).count()
-    if n:
-        with store.changes() as c:
-            c.rewrite("destination_batches", lambda rows: ledger.dismissed(rows, own))
-    return n
 
+    def change(c: Changes) -> int:
+        n = 0
+        for page in [r[0] for r in c.read("destination_batches").filter(own & (F.col("completion_state") == "unresolved")).select("page_id").distinct().collect()]:
+            rows = c.read("destination_batches", page)
+            n += rows.filter(own & (F.col("completion_state") == "unresolved")).count()
+            c.replace("destination_batches", ledger.dismissed(rows, own), page)
+        return n
 
-def _moved_on(store: Store, c: Changes, scope: Sequence[str], mode: str, new: Position) -> None:
-    found = store.read("destination_progress", digest(scope)).filter(F.col("mode") == mode).first()
+    return store.commit(change)
+
+
+def _moved_on(c: Changes, scope: Sequence[str], mode: str, new: Position) -> None:
+    found = c.read("destination_progress", digest(scope)).filter(F.col("mode") == mode).first()
     old = keyset.restored(found["position_json"]) if found and found["position_json"] else None
     values = dict(zip(ledger.SCOPE, scope, strict=True)) | {"mode": mode, "position_json": keyset.stored(decisions.advanced(old, new)), "updated_at": NOW}
     c.put("destination_progress", [values], ["mode"], digest(scope))
@@ -84,15 +91,17 @@ def skip_batch(store: Store, scope: Sequence[str], batch_id: str) -> None:
     found = batches(store, scope, batch_id).first()
     if found is None:
         raise ValueError(f"no batch {batch_id} in this scope")
-    with store.changes() as c:
+
+    def change(c: Changes) -> None:
         c.rewrite("destination_batches", lambda rows: ledger.dismissed(rows, F.col("batch_id") == batch_id), [found["page_id"]])
-        _moved_on(store, c, scope, found["mode"], keyset.restored(found["upper_json"]))
+        _moved_on(c, scope, found["mode"], keyset.restored(found["upper_json"]))
+
+    store.commit(change)
 
 
 def skip_range(store: Store, scope: Sequence[str], first: WorkPosition, last: WorkPosition) -> int:
     """A range of kept state work is never sent to a scope: a skipped batch of it enters the ledger, and progress goes to its end. The number of rows."""
-    work = store.read("ordered_work").filter(F.col("declaration_name") == scope[4])
-    found = paging.edges(paging.replay(work, first, last)).first()
+    found = paging.edges(store.work(scope[4], first.key, last.key)).first()
     if not found["row_count"]:
         raise ValueError("the range holds no work")
     upper = WorkPosition(found["last_collect_id"], found["last_sequence_order"])
@@ -100,23 +109,23 @@ def skip_range(store: Store, scope: Sequence[str], first: WorkPosition, last: Wo
     values |= {"first_collect_id": found["first_collect_id"], "first_order": found["first_sequence_order"], "last_collect_id": upper.collect_id, "last_order": upper.sequence_order, "upper_json": keyset.stored(upper)}
     values |= {"status": "skipped", "completion_state": "resolved", "retry_eligible": False, "attempt_count": 0}
     named = store.rows("destination_batches", [values]).withColumn("batch_id", ledger.batch_id()).first().asDict()
-    with store.changes() as c:
+
+    def change(c: Changes) -> None:
         c.put("destination_batches", [named | {"created_at": NOW}], ["batch_id"], "skip")
-        _moved_on(store, c, scope, "ordered_work", upper)
+        _moved_on(c, scope, "ordered_work", upper)
+
+    store.commit(change)
     return found["row_count"]
 
 
 def reset_scope(store: Store, scope: Sequence[str]) -> int:
     """Progress, cursors and batches of a scope go."""
     own = ledger.in_scope(scope)
-    with store.changes() as c:
-        return sum(c.delete(t, own) for t in ("destination_progress", "cursors", "destination_batches"))
+    return store.commit(lambda c: sum(c.delete(t, own) for t in ("destination_progress", "cursors", "destination_batches")))
 
 
 def reset(store: Store) -> None:
-    with store.changes() as c:
-        for table in TABLES:
-            c.replace(table, store.read(table).limit(0), None)
+    store.commit(lambda c: [c.drop(table) for table in TABLES])
 
 
 def _held(store: Store, name: str | None, first: str, last: str) -> bool:
@@ -132,22 +141,22 @@ def delete_collect(store: Store, collect_id: str, force: bool = False) -> int:
     held = _held(store, None, collect_id, collect_id) or not store.read("state_current").filter(F.col("collect_id") == collect_id).isEmpty()
     if held and not force:
         raise ValueError(f"collect {collect_id} is still in use")
-    return store.delete("ordered_work", F.col("collect_id") == collect_id)
+    names = sorted({d for d, x in store.collects() if x.collect_id == collect_id})
+    return store.commit(lambda c: sum(c.cut(d, (collect_id, 0), (collect_id, _LAST)) for d in names))
 
 
 def delete_range(store: Store, name: str, first: WorkPosition, last: WorkPosition, force: bool = False) -> int:
     """Work from first to last goes. While open batches reach into it, only by force."""
     if _held(store, name, first.collect_id, last.collect_id) and not force:
         raise ValueError("the range is still in use")
-    inside = keyset.between(["collect_id", "sequence_order"], list(first.key), list(last.key))
-    return store.delete("ordered_work", (F.col("declaration_name") == name) & inside)
+    return store.commit(lambda c: c.cut(name, first.key, last.key))
 
 
 def delete_work(store: Store, name: str, force: bool = False) -> int:
     """All work of a declaration goes, sent or not; by force alone."""
     if not force:
         raise ValueError("work that may not have been sent goes by force alone")
-    return store.delete("ordered_work", F.col("declaration_name") == name)
+    return store.commit(lambda c: c.cut(name))
 
 
 def rebaseline(store: Store, name: str) -> int:
@@ -161,26 +170,28 @@ def reset_targets(store: Store, binding: str | None = None) -> int:
 
 def delete_run(store: Store, run_id: str) -> int:
     own = F.col("run_id") == run_id
-    with store.changes() as c:
-        return c.delete("sync_reports", own) + c.delete("runs", own)
+    return store.commit(lambda c: c.delete("sync_reports", own) + c.delete("runs", own))
 
 
 def cleanup_evidence(store: Store, cutoff: datetime) -> int:
     """Reports and closed batches as old as the cutoff go, but for those of runs that still run. Open batches stay: they hold work."""
-    runs, gone = store.read("runs"), 0
+    runs = store.read("runs")
 
     def expired(rows: DataFrame) -> DataFrame:
         split = ledger.cleanup_split(rows, runs, cutoff)
         open_ = F.coalesce(F.col("completion_state") != "resolved", F.lit(True)) if "completion_state" in rows.columns else F.lit(False)
         return split.withColumn("expired", F.col("expired") & ~open_)
 
-    with store.changes() as c:
+    def change(c: Changes) -> int:
+        gone = 0
         for table in ("sync_reports", "destination_batches"):
-            n = expired(store.read(table)).filter("expired").count()
+            n = expired(c.read(table)).filter("expired").count()
             if n:
                 c.rewrite(table, lambda rows: expired(rows).filter("not expired").drop("expired"))
             gone += n
-    return gone
+        return gone
+
+    return store.commit(change)
 
 
 def cleanup_cursors(store: Store, cutoff: datetime) -> int:
@@ -189,9 +200,17 @@ def cleanup_cursors(store: Store, cutoff: datetime) -> int:
 
 
 def cleanup_work(store: Store, name: str, cutoff: datetime, through: str | None = None, dry_run: bool = False) -> int:
-    """Work up to the watermark that all consumers have passed, no younger than the cutoff, goes; the number of rows."""
+    """Work up to the watermark that all consumers have passed, no younger than the cutoff, goes; the number of rows.
+
+    What may go is found from the index of the log, which has a row for each collect. Collects go whole, so of folders
+    only one that also holds younger collects is read and written anew.
+    """
+    held = [c for _, c in store.collects(name)]
+    if not held:
+        return 0
+    rows = [{"declaration_name": name, "collect_id": c.collect_id, "sequence_order": c.last, "created_at": datetime.fromtimestamp(c.newest / 1e6, timezone.utc)} for c in held]
+    work = store.rows("ordered_work", rows)
     own = F.col("declaration_name") == name
-    work = store.read("ordered_work").filter(own)
     at = store.read("destination_progress").filter(own & (F.col("mode") == "ordered_work")).select("declaration_name", F.get_json_object("position_json", "$.collect_id").alias("collect_id"), F.get_json_object("position_json", "$.sequence_order").cast("long").alias("sequence_order"))
     passed = ledger.completed_collects(at, work).select("declaration_name", F.col("completed").alias("collect_id"))
     mark = ledger.retention_watermark(passed, store.read("destination_batches"), work).first()
@@ -199,5 +218,6 @@ def cleanup_work(store: Store, name: str, cutoff: datetime, through: str | None
     bounds = [mark["watermark"] if mark else None, age, *([through] if through else [])]
     if None in bounds:
         return 0
-    old = own & (F.col("collect_id") <= min(bounds))
-    return store.read("ordered_work").filter(old).count() if dry_run else store.delete("ordered_work", old)
+    if dry_run:
+        return sum(c.rows for c in held if c.collect_id <= min(bounds))
+    return store.commit(lambda c: c.cut(name, None, (min(bounds), _LAST)))

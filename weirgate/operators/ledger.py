@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+class LedgerError(ValueError):
+    """A row of the ledger that breaks a rule."""
+
+
 SCOPE = ("sync_name", "destination_name", "surface", "family", "declaration_name")
 RESOLVED = ("accepted", "succeeded", "skipped")
 
@@ -23,7 +28,7 @@ def batch_id() -> Column:
 
 
 #: Outcome of a batch that a replan of it keeps.
-OUTCOME = ("status", "completion_state", "retry_eligible", "attempt_count", "attempt_id", "error", "run_id", "created_at", "first_submitted_at", "updated_at")
+OUTCOME = ("status", "completion_state", "retry_eligible", "attempt_count", "attempt_id", "job_json", "error", "run_id", "created_at", "first_submitted_at", "updated_at")
 
 
 def kept_outcome() -> dict[str, Column]:
@@ -82,6 +87,11 @@ def retry_candidates(ledger: DataFrame, limit: int) -> DataFrame:
     return ledger.filter((F.col("completion_state") == "unresolved") & (F.coalesce(F.col("status") == "pending", F.lit(False)) | is_retryable(limit)))
 
 
+def open_jobs(ledger: DataFrame) -> DataFrame:
+    """Batches that a partner took and has not told the end of."""
+    return ledger.filter((F.col("completion_state") == "unresolved") & (F.col("status") == "accepted") & F.col("job_json").isNotNull())
+
+
 def rerun_plan(ledger: DataFrame, limit: int, page: Sequence[str] = ("page_id",)) -> DataFrame:
     """action per batch: skip, submit, or block; of a page with a blocked batch none is submitted."""
     plain = F.when(is_resolved(), "skip").when(is_retryable(limit) | F.coalesce((F.col("attempt_count") == 0) & (F.col("status") == "pending"), F.lit(False)), "submit").otherwise("block")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,39 @@ def ranged(df: DataFrame, order: Sequence[Column], name: str = "ordinal") -> Dat
     return fixed.withColumn("part", part).withColumn("place", F.col("_id") - F.shiftleft(part.cast("long"), 33)).drop("_id")
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A table in one order, of which ranges of places are read from their own files."""
+
+    rows: DataFrame
+    #: The place of each partition's first row, and its number.
+    firsts: list[int]
+    parts: list[int]
+    count: int
+
+    def _id(self, at: int) -> int:
+        i = bisect_right(self.firsts, at) - 1
+        return (self.parts[i] << 33) + at - self.firsts[i]
+
+    def between(self, a: int, b: int) -> DataFrame:
+        """Rows from place a up to, and without, place b. The predicate is on a column whose files hold ranges of it, so Parquet skips the others."""
+        a, b = max(a, 0), min(b, self.count)
+        if a >= b:
+            return self.rows.drop("_id").limit(0)
+        return self.rows.filter(F.col("_id").between(self._id(a), self._id(b - 1))).drop("_id")
+
+
+def staged(df: DataFrame, order: Sequence[Column], most: int, name: str = "staged") -> Staged:
+    """df in range partitions sorted by `order`, in files of at most `most` rows. Ranges are sampled first, so a plan that must be read once is to be written before."""
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), name, most=most)
+    found = sorted((r["part"], r["n"]) for r in rows.groupBy(F.shiftright("_id", 33).cast("int").alias("part")).agg(F.count("*").alias("n")).collect())
+    firsts, at = [], 0
+    for _, n in found:
+        firsts.append(at)
+        at += n
+    return Staged(rows, firsts, [p for p, _ in found], at)
+
+
 def with_ordinal(df: DataFrame, order: Sequence[Column], out: str = "sequence_order", start: int = 0, keep: bool = False) -> DataFrame:
     """Adds start, start + 1, ... in the order given; with keep, also `part`, as running() needs it.
 

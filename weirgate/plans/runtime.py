@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirgate.decisions import Counts
+from weirgate.decisions import Counts, Job
 from weirgate.declarations import Checkpoint, Event, Identifier, Source, State, Sync
 from weirgate.destinations import Destination, Registry, Surface
 from weirgate.functions import canonical, identifiers, redaction, templates
@@ -145,6 +146,42 @@ def request_batches_of_all(spark, sf_dir):
     return batching.unit_batches(work, "at", ["kind", "collect_id"], 2).select("work_id", "batch_index")
 
 
+@query(f"{ALL_ISLANDS} SELECT work_id, CAST(dense_rank() OVER (ORDER BY island, part) - 1 AS BIGINT) AS batch_index FROM k")
+def request_weighted_fill_of_all(spark, sf_dir):
+    """The same by weight, each record five of ten: cuts follow one from the other over all range partitions."""
+    work = inputs.WORK_LOG.df(spark, sf_dir).withColumns({"at": F.struct("collect_id", "sequence_order"), "item_count": F.lit(5), "byte_count": F.length("key_json")})
+    return batching.weighted_batches(work, "at", ["kind", "collect_id"], 10).select("work_id", "batch_index")
+
+
+def _filled(size: str, most: int) -> str:
+    """Rows w with work_id, kind, collect_id and nth, filled up to `most` bytes one after the other."""
+    return f"""p AS (SELECT *, strlen({size})::bigint AS n, row_number() OVER (ORDER BY collect_id, sequence_order) AS nth FROM w),
+f(nth, work_id, kind, collect_id, size, batch_index) AS (
+ SELECT nth, work_id, kind, collect_id, 2 + n, 0::bigint FROM p WHERE nth = 1
+ UNION ALL
+ SELECT p.nth, p.work_id, p.kind, p.collect_id, CASE WHEN p.kind <> f.kind OR p.collect_id <> f.collect_id OR f.size + 1 + p.n > {most} THEN 2 + p.n ELSE f.size + 1 + p.n END, f.batch_index + CASE WHEN p.kind <> f.kind OR p.collect_id <> f.collect_id OR f.size + 1 + p.n > {most} THEN 1 ELSE 0 END
+ FROM f JOIN p ON p.nth = f.nth + 1)"""
+
+
+@query(f"WITH RECURSIVE w AS ({inputs.WORK_LOG.sql}), {_filled('concat(key_json, target_json)', 120)} SELECT work_id, batch_index FROM f")
+def request_byte_split_of_all(spark, sf_dir):
+    """All collects at once in bodies of at most 120 bytes, none over the end of a collect."""
+    work = inputs.WORK_LOG.df(spark, sf_dir).withColumns({"at": F.struct("collect_id", "sequence_order"), "item_count": F.lit(1), "byte_count": F.octet_length(F.concat("key_json", "target_json"))})
+    return batching.weighted_batches(work, "at", ["kind", "collect_id"], 1000, 120).select("work_id", "batch_index")
+
+
+RECORD = """concat('{"operation":"', kind, '","key":', key_json, ',"target":', target_json, '}')"""
+
+
+@query(f"WITH RECURSIVE w AS ({inputs.WORK_LOG.sql}), {_filled(RECORD, 400)} SELECT f.batch_index, concat('[', string_agg({RECORD.replace('kind', 'p.kind')}, ',' ORDER BY p.nth), ']') AS body, strlen(body)::bigint AS byte_count FROM f JOIN p ON p.nth = f.nth GROUP BY 1")
+def request_bodies_of_all(spark, sf_dir):
+    """Rendered bodies of all collects, of 400 bytes at most with all they hold; none names a secret."""
+    work = inputs.WORK_LOG.df(spark, sf_dir).withColumns({"at": F.struct("collect_id", "sequence_order"), "item_count": F.lit(1), "operation": F.col("kind")})
+    work = work.withColumn("record_json", redaction.without_secrets(Destination("partner", [Surface("rows")], _takes_all).record(work)))
+    filled = batching.weighted_batches(work.withColumn("byte_count", F.octet_length("record_json")), "at", ["kind", "collect_id"], 1000, 400)
+    return batching.bodies(filled, F.col("record_json"), "at").withColumn("byte_count", F.octet_length("body").cast("long"))
+
+
 TEMPLATE = "/customers/{{key.customer}}/lists/{{target.value}}?v={{declaration_name}}"
 
 
@@ -247,9 +284,9 @@ CUSTOMERS = State("customers", Source("customers", "SELECT * FROM customer"), ke
 SYNC = Sync("sync", CUSTOMERS, "partner", "rows")
 
 
-def _runner(spark: SparkSession, submit: Callable, max_rows: int = 500, **options) -> Runner:
+def _runner(spark: SparkSession, submit: Callable, max_rows: int = 500, poll: Callable | None = None, **options) -> Runner:
     surfaces = [Surface("rows", max_rows=max_rows), Surface("events", family="event", operations=(), target_mode="unsupported", max_rows=max_rows)]
-    return Runner(spark, Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), Registry(Destination("partner", surfaces, submit)), sleep=lambda s: None, **options)
+    return Runner(spark, Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), Registry(Destination("partner", surfaces, submit, poll=poll)), sleep=lambda s: None, **options)
 
 
 def _takes_all(rows: DataFrame, batch: dict) -> Counts:
@@ -301,6 +338,61 @@ def run_with_a_retry_sweep(spark, sf_dir):
     return runner.store.read("destination_batches").select("row_count", "attempt_count", "status", "completion_state")
 
 
+@query("""WITH n AS (SELECT 'customers' AS sync_name, count(*) AS n FROM customer UNION ALL SELECT 'suppliers', count(*) FROM supplier)
+SELECT sync_name, least(500, n - 500 * i)::bigint AS row_count, 1::bigint AS attempt_count, 'succeeded' AS status, 1::bigint AS sent FROM (SELECT *, unnest(range((n + 499) // 500)) AS i FROM n)""")
+def run_of_two_writers(spark, sf_dir):
+    """Two syncs of one store at once, each with a state of its own: no outcome is lost and no batch is sent twice."""
+    sent: list[str] = []
+
+    def submit(rows: DataFrame, batch: dict) -> Counts:
+        sent.append(batch["batch_id"])
+        return Counts(batch["row_count"], confirmed=batch["row_count"])
+
+    runner = _runner(spark, submit)
+    suppliers = State("suppliers", Source("suppliers", "SELECT * FROM supplier"), key={"supplier": "s_suppkey"}, payload={"nation": "s_nationkey"})
+    customers = State("customers", CUSTOMERS.source, key={"customer": "c_custkey"}, payload={"nation": "c_nationkey"})
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(runner.run, Sync(made.name, made, "partner", "rows"), table(spark, sf_dir, of)) for made, of in ((customers, "customer"), (suppliers, "supplier"))]
+        for run in runs:
+            run.result()
+    times = spark.createDataFrame([(b, sent.count(b)) for b in sorted(set(sent))], "batch_id string, sent long")
+    return runner.store.read("destination_batches").join(times, "batch_id", "left").select("sync_name", "row_count", "attempt_count", "status", "sent")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT least(500, n - 500 * i)::bigint AS row_count, 1::bigint AS attempt_count, CASE WHEN i = 1 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN i = 1 THEN 'unresolved' ELSE 'resolved' END AS completion_state, 2::bigint AS polls FROM (SELECT n, unnest(range((n + 499) // 500)) AS i FROM n)")
+def run_with_deferred_outcomes(spark, sf_dir):
+    """The partner takes each batch as a job; the next run finds the jobs still running, the one after that finds them ended, the second of them badly."""
+    polls: dict[str, int] = {}
+
+    def poll(handle: str) -> str:
+        polls[handle] = polls.get(handle, 0) + 1
+        return "running" if polls[handle] == 1 else "failed" if handle.endswith("-1") else "done"
+
+    runner = _runner(spark, lambda rows, batch: Job(f"{batch['batch_id']}-{batch['batch_index']}"), poll=poll, attempts=1)
+    state = State("customers", CUSTOMERS.source, key={"customer": "c_custkey"}, payload={"nation": "c_nationkey"})
+    for _ in range(3):
+        runner.run(Sync("sync", state, "partner", "rows"), table(spark, sf_dir, "customer"))
+    times = spark.createDataFrame([(h.rpartition("-")[0], n) for h, n in polls.items()], "batch_id string, polls long")
+    return runner.store.read("destination_batches").join(times, "batch_id", "left").select("row_count", "attempt_count", "status", "completion_state", "polls")
+
+
+@query("""WITH e AS (SELECT (row_number() OVER (ORDER BY ts, event_id) - 1) // 500 AS b, event_id FROM events WHERE ts IS NOT NULL),
+g AS (SELECT b, count(*)::bigint AS row_count, bool_or(event_id % 4001 = 0) AS changed FROM e GROUP BY 1)
+SELECT b::bigint AS batch, row_count, CASE WHEN changed THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN changed THEN 1 ELSE 2 END::bigint AS attempt_count, CASE WHEN changed THEN 'the range of the batch gives other records' END AS error FROM g""")
+def run_with_a_changed_range(spark, sf_dir):
+    """Batches of events fail for now; before the next run a few events change. Its sweep sends the batches that are still what they were, and leaves the others open."""
+    failing = [True]
+    runner = _runner(spark, lambda rows, batch: Counts(batch["row_count"], **{"retryable" if failing[0] else "confirmed": batch["row_count"]}), attempts=1, page_rows=2_000)
+    sync = Sync("sync", EVENTS, "partner", "events")
+    rows = table(spark, sf_dir, "events")
+    runner.run(sync, rows)
+    failing[0] = False
+    runner.run(sync, rows.withColumn("event_type", F.when(F.col("event_id") % 4001 == 0, "changed").otherwise(F.col("event_type"))))
+    found = runner.store.read("destination_batches").withColumns({c: F.get_json_object("upper_json", f"$.{c}") for c in ("cursor", "primary_key")})
+    nth = F.row_number().over(inputs.by_position("cursor", F.col("primary_key").cast("long"))) - 1
+    return found.select(nth.cast("long").alias("batch"), "row_count", "status", "attempt_count", "error")
+
+
 @query(f"{PAIR} SELECT kind AS operation, concat('{{\"customer\":', k::varchar, '}}') AS key_json FROM work")
 def run_to_files(spark, sf_dir):
     """The same change set, delivered as CSV files and read back."""

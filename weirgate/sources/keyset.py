@@ -118,6 +118,13 @@ def after(columns: list[str], values: list) -> Column:
     return (a > x) | ((a == x) & (b > y))
 
 
+def before(columns: list[str], values: list) -> Column:
+    """Lexicographically less than the values."""
+    a, b = (F.col(c) for c in columns)
+    x, y = (F.lit(v) for v in values)
+    return (a < x) | ((a == x) & (b < y))
+
+
 def through(columns: list[str], values: list) -> Column:
     """Lexicographically not greater than the values."""
     a, b = (F.col(c) for c in columns)

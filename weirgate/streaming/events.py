@@ -1,4 +1,4 @@
-"""Events as a stream of files: each micro-batch is delivered in keyset order, and our own progress decides.
+"""Events as a stream of files: each micro-batch is delivered in keyset order, and our own progress decides. run_sync() goes through a runner and its store, run() through a progress of the caller's.
 
 The stream's checkpoint only says which files were read. What was delivered is the committed position: rows
 at or before it are passed over, so a batch that is sent again after a lost driver delivers nothing twice. As
@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.decisions import advanced
-from weirgate.declarations import Event
+from weirgate.declarations import Event, Sync
 from weirgate.functions import canonical
+from weirgate.runner import Report, Runner
 from weirgate.sources import keyset
 from weirgate.sources.keyset import EventPosition
 
@@ -51,6 +52,26 @@ def deliver_batch(rows: DataFrame, event: Event, progress: Progress, deliver: De
     return n
 
 
+def run_sync(stream: DataFrame, runner: Runner, sync: Sync, checkpoint: str) -> list[Report]:
+    """Run an event sync on each micro-batch of what is there now, through the runner's ledger and its progress; then stop. The reports of the runs.
+
+    A batch that the stream gives again, as after a lost driver, is known by the ledger: what was sent of it is passed over. The sync's failure
+    mode holds: a run that stops ends the stream, before the micro-batch counts as read.
+    """
+    reports: list[Report] = []
+
+    def deliver(rows: DataFrame, _: int) -> None:
+        reports.append(runner.run(sync, rows))
+        if reports[-1].stopped:
+            raise RuntimeError(f"{sync.name} stopped: {reports[-1].reason}")
+
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(deliver).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return reports
+
+
 def run(stream: DataFrame, event: Event, progress: Progress, deliver: Deliver, checkpoint: str) -> None:
     """Deliver all that is there now, batch by batch, and stop."""
     query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: deliver_batch(rows, event, progress, deliver) and None).start()
