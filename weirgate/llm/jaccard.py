@@ -5,9 +5,9 @@ link share one of the first n - ceil(bound * n) + 1 shingles of each, so those a
 band of sizes, from one power of two to the next; a set so near to the next band that it may link there visits that tile
 as well. What a common passage shares is late in the order, so it seldom makes a tile.
 
-Equal sets meet as one node before anything is replicated. Tiles of one node go at once, by their least and greatest node, with sums made
-before the shuffle. Then each tile's nodes are compared with one of them, and again with the one that meets most others, which links large
-groups of near copies by as many pairs as they have nodes; where a tile still has nodes of different components, all of its nodes are
+Equal sets meet as one node before anything is replicated. Tiles of one row go at once, by counts made before the shuffle. Then
+each tile's nodes are compared with one of them, and again with the one that meets most others, which links large groups of near
+copies by as many pairs as they have nodes; where a tile still has nodes of different components, all of its nodes are
 compared with each other inside of a task. Tiles of over CELL nodes are cut into cells of residents by visitors. No pair is made
 that hashed bitmaps rule out: bits that differ are shingles of one set alone, so half of both sizes less the
 differing bits bounds the overlap from above. Pairs left are decided by the exact intersection of their sorted arrays.
@@ -35,7 +35,7 @@ from weirgate.llm.shared import SPACED_WORD, UPPER, join_hot, map_arrow, stage
 #: Buckets by which common shingles are told from rare ones: their counts are broadcast, 0.5 MB.
 BUCKETS = 1 << 16
 #: Bits of a bitmap for each shingle, at least; the least and greatest width of one. Wider ones are folded when two are compared, and all of a cell first to COARSE bits.
-BITS, LEAST_WIDTH, MOST_WIDTH, COARSE = 8, 64, 1 << 17, 512
+BITS, LEAST_WIDTH, MOST_WIDTH, COARSE = 4, 64, 1 << 17, 512
 CELL = 2048
 STARS = 2
 PAIRS_AT_ONCE = 1 << 16
@@ -102,11 +102,11 @@ def _sign(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBa
 
 
 def _postings(batches: Iterator[pa.RecordBatch], rule: Rule, sent) -> Iterator[pa.RecordBatch]:
-    """tile, node, size for each set's first shingles in the common order; a task gives those of equal sets once."""
+    """tile, node for each set's first shingles in the common order; a task gives those of equal sets once."""
     common, seen = sent.value, set()
     for batch in batches:
         for _, part in slices(batch.column("text")):
-            tiles, nodes, sizes = [], [], []
+            tiles, nodes = [], []
             for h in rule.sets(part):
                 node, n = node_of(h), len(h)
                 if not n or node in seen:
@@ -121,9 +121,8 @@ def _postings(batches: Iterator[pa.RecordBatch], rule: Rule, sent) -> Iterator[p
                 for b in (band, band + 1) if 100 * n >= rule.hundredths << band else (band,):
                     tiles.append(mix(first + np.uint64(b)))
                     nodes.append(np.full(len(first), node))
-                    sizes.append(np.full(len(first), n, dtype=np.int32))
             if tiles:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["tile", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tiles).view(np.int64)), pa.array(np.concatenate(nodes))], names=["tile", "node"])
 
 
 def _most_overlap(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -294,9 +293,12 @@ def link(docs: DataFrame, rule: Rule = Rule(), stars: int = STARS) -> tuple[Data
     common = np.zeros(BUCKETS, dtype=np.int64)
     common[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(common)
-    postings = stage(map_arrow(_texts(docs).select("text"), lambda b: _postings(b, rule, sent), "tile long, node long, size int"), "jaccard-postings")
-    tiles = postings.groupBy("tile").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("tile", "centre")
-    members = stage(postings.select("tile", "node").join(tiles, "tile").distinct(), "jaccard-members")
+    postings = stage(map_arrow(_texts(docs).select("text"), lambda b: _postings(b, rule, sent), "tile long, node long"), "jaccard-postings")
+    # Most tiles have one row. Of those left, some have one node: equal sets from several tasks.
+    several = postings.groupBy("tile").agg(F.count("*").alias("n")).filter("n > 1").select("tile")
+    shared = stage(postings.join(several, "tile").distinct(), "jaccard-shared")
+    tiles = shared.groupBy("tile").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("tile", "centre")
+    members = stage(shared.join(tiles, "tile"), "jaccard-members")
 
     links = _Links(docs, nodes, rule)
     mapped = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bitmap").alias(f"map_{c}"))
