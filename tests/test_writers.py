@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tests.test_runner import EVENTS, STATE, SYNC, Partner, buys, flat, ledger, retryable, rows, small_plans, table  # noqa: F401
 from weirgate import operations, store as stores
-from weirgate.declarations import Source, State, Sync
+from weirgate.declarations import DeclarationError, Source, State, Sync
 from weirgate.decisions import Counts, Job
-from weirgate.destinations import Destination, Registry, Surface
+from weirgate.destinations import Destination, Registry, Surface, from_mapping
 from weirgate.materialize import written
-from weirgate.operators import batching, ordinal, paging
+from weirgate.operators import batching, diff, ordinal, paging
 from weirgate.operators.ledger import LedgerError
 from weirgate.runner import Fenced, Runner
 from weirgate.sources.keyset import WorkPosition
@@ -273,16 +273,20 @@ def test_no_credentials_are_sent(spark, runner, partner):
     assert not partner.sent and runner.store.read("destination_batches").count() == 0
 
 
-def test_no_body_is_over_the_limit(spark, tmp_path):
-    sizes = []
+@pytest.mark.parametrize("around", [("[", "]"), ('{"customers":[', '],"é":1}')])
+def test_no_body_is_over_the_limit(spark, tmp_path, around):
+    bodies = []
 
     def submit(got, batch):
-        sizes.append(got.groupBy(F.lit(0).alias("batch_index")).agg(F.octet_length(F.concat(F.lit("["), F.array_join(F.collect_list("record_json"), ","), F.lit("]"))).alias("n")).first()["n"])
+        bodies.append(to.rendered(got))
         return Counts(batch["row_count"], confirmed=batch["row_count"])
 
-    to = Registry(Destination("partner", [Surface("rows", max_rows=9, max_bytes=300)], submit))
-    Runner(spark, Store(spark, str(tmp_path)), to).run(SYNC, table(spark, [(str(i), "é" * (i % 5), "free", "a") for i in range(12)]))
+    to = Destination("partner", [Surface("rows", max_rows=9, max_bytes=300)], submit, body=around)
+    Runner(spark, Store(spark, str(tmp_path)), Registry(to)).run(SYNC, table(spark, [(str(i), "é" * (i % 5), "free", "a") for i in range(12)]))
+    sizes = [len(b.encode()) for b in bodies]
     assert len(sizes) > 4 and max(sizes) <= 300 and sorted(sizes)[len(sizes) // 2] > 150
+    records = [r for b in map(json.loads, bodies) for r in (b if isinstance(b, list) else b["customers"])]
+    assert [r["key"] for r in records] == [{"customer": str(i)} for i in sorted(range(12), key=str)] and {r["operation"] for r in records} == {"upsert"}
 
 
 # Pages.
@@ -320,6 +324,24 @@ def test_pages_of_work_open_the_folders_that_hold_them(spark, runner, partner):
     assert out.pages == 3 and len(flat(partner)) == 9 and runner.position(SYNC) == WorkPosition(first[2], 3)
 
 
+def test_pages_of_pending_work_by_cursors(spark, runner, partner):
+    runner.collect(STATE, table(spark, rows(5)))
+    runner.collect(STATE, table(spark, rows(7)))
+    places = lambda page: sorted((r.key_json for r in page.collect()))
+    page, token = runner.pending(SYNC, most=2)
+    assert len(places(page)) == 2 and token
+    page, again = runner.pending(SYNC, token, 2)
+    assert places(page) == ['{"customer":"2"}', '{"customer":"3"}'] and again
+    page, end = runner.pending(SYNC, again, 2)
+    assert places(page) == ['{"customer":"4"}'] and end is None
+    second = runner.store.collects(STATE.name)[1][1].collect_id
+    with pytest.raises(paging.PageError, match="first collect"):
+        runner.issue(SYNC, WorkPosition(second, 0))
+    assert not partner.sent and runner.position(SYNC) is None
+    out = runner.run_many([SYNC], {STATE.name: table(spark, rows(7))})
+    assert operations.run_evidence(runner.store, out.run_id)["confirmed"] == 7 and runner.pending(SYNC) == (None, None)
+
+
 def test_pages_of_a_collect_with_gaps(spark, runner, partner):
     at = runner.collect(STATE, table(spark, rows(7))).collect_id
     assert operations.delete_range(runner.store, STATE.name, WorkPosition(at, 2), WorkPosition(at, 3)) == 2
@@ -339,6 +361,82 @@ def test_ranges_of_a_staged_table(spark):
     assert read.value == 50 and len(staged.rows.inputFiles()) >= 8
 
 
+# The current state.
+
+
+def test_only_the_snapshot_is_shuffled(spark, runner):
+    """State and snapshot lie in the same buckets: neither the check of duplicates, nor the difference, nor the next state moves a row."""
+    runner.collect(STATE, table(spark, rows(6)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        snapshot = runner._projected(STATE, table(spark, rows(5)))
+        held, n = runner.store.state(runner.store.last(), stores.part_of(STATE.name, STATE.source.name))
+        changes = diff.changes(snapshot, held)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (changes, diff.duplicates(snapshot))]
+        assert n == 2 and not any("Exchange" in p for p in plans) and "SortMergeJoin" in plans[0]
+        assert [(r.kind, r.key_json) for r in changes.collect()] == [("remove", '{"customer":"5"}')]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_state_is_kept_in_more_buckets_as_the_session_asks(spark, runner):
+    runner.collect(STATE, table(spark, rows(6)))
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        assert runner.collect(STATE, table(spark, rows(7))).upserts == 1
+        assert runner.store.state(runner.store.last(), stores.part_of(STATE.name, STATE.source.name))[1] == 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert runner.collect(STATE, table(spark, rows(7))).upserts == 0
+
+
+# What a destination may say.
+
+
+def test_records_of_one_subtype_share_a_request(spark, tmp_path, partner):
+    to = Destination("partner", [Surface("rows", max_rows=9)], partner, subtype=lambda page: F.get_json_object("payload_json", "$.plan"))
+    Runner(spark, Store(spark, str(tmp_path)), Registry(to)).run(SYNC, table(spark, [("1", "@", "a", "t"), ("2", "@", "a", "t"), ("3", "@", "b", "t")]))
+    assert [len(x) for x in partner.sent] == [2, 1]
+
+
+def test_records_of_one_path_share_a_request(spark, tmp_path):
+    paths = []
+
+    def submit(got, batch):
+        paths.append([(r.request_path, r.key_json) for r in got.collect()])
+        return Counts(batch["row_count"], confirmed=batch["row_count"])
+
+    to = Registry(Destination("partner", [Surface("rows", max_rows=9)], submit, path="/lists/{{target.value}}/{{operation}}"))
+    Runner(spark, Store(spark, str(tmp_path)), to).run(SYNC, table(spark, [("1", "@", "a", "t"), ("2", "@", "a", "t"), ("3", "@", "b", "u")]))
+    assert [{p for p, _ in x} for x in paths] == [{"/lists/t/upsert"}, {"/lists/u/upsert"}] and sum(map(len, paths)) == 3
+
+
+def made_destination(url, token=None):
+    return Destination("made", [Surface("rows")], lambda got, batch: Counts(batch["row_count"], confirmed=batch["row_count"]), config={"url": url, "token": token})
+
+
+def test_destinations_are_loaded_by_reference():
+    registry = Registry()
+    values = from_mapping({"eu_url": "https://eu", "us_url": "https://us", "us_token": "t"})
+    reference = "tests.test_writers:made_destination"
+    for name in ("eu", "us"):
+        registry.load(reference, name, values, ["url"], ["token"])
+    assert registry.resolve("eu").config == {"url": "https://eu", "token": None} and registry.resolve("us").config["token"] == "t"
+    for bad in ((reference, "eu", values, ["url"]), (reference, "asia", values, ["url"]), ("tests.test_writers:nothing", "x", values), ("tests.nowhere:f", "x", values), ("plain", "x", values), ("builtins:dict", "x", values)):
+        with pytest.raises(DeclarationError):
+            registry.load(*bad)
+
+
+def test_what_was_delivered_before_is_evidence(spark, runner, partner, monkeypatch):
+    monkeypatch.setattr(Runner, "advance", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        runner.run(SYNC, table(spark, rows(3)))
+    monkeypatch.undo()
+    out = runner.run(SYNC, table(spark, rows(3)))
+    assert len(flat(partner)) == 3 and out.skipped == 2 and out.counts.confirmed == 3 and out.status == "succeeded"
+
+
 # The log.
 
 

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from weirgate import files
 
@@ -37,6 +38,34 @@ def written(df: DataFrame, name: str, keep: bool = False, by: str | None = None,
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, path: str, n: int, key: str) -> None:
+    """df as Parquet at a path, in n buckets by a column."""
+    name = f"weirgate_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # of a table at a path, its files stay
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: StructType, n: int, key: str) -> DataFrame:
+    """What bucketed() wrote: joins and groups by the column need no shuffle of it, where the other side has as many buckets."""
+    name = f"weirgate_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{place}'")
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def written_bucketed(df: DataFrame, name: str, n: int, key: str) -> DataFrame:
+    """df as a table in n buckets; inside of scratch() it is removed at the end."""
+    path, schema = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.schema
+    bucketed(df, path, n, key)
+    if _tables.get() is not None:
+        _tables.get().append(path)
+    return read_bucketed(df.sparkSession, path, schema, n, key)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are written inside go at the end. What is to be used later must be written with keep, or elsewhere."""

@@ -58,6 +58,12 @@ def inspect_run(store: Store, run_id: str) -> dict[str, int]:
     return {t: store.read(t).filter(F.col("run_id") == run_id).count() for t in ("runs", "sync_reports", "destination_batches")}
 
 
+def run_evidence(store: Store, run_id: str) -> dict | None:
+    """What the reports of a run's syncs come to."""
+    found = ledger.run_totals(store.read("sync_reports", run_id)).first()
+    return found.asDict() if found else None
+
+
 def batches(store: Store, scope: Sequence[str], batch_id: str | None = None) -> DataFrame:
     """The batches of a scope, or the one of an id, in the order of their ranges."""
     own = store.read("destination_batches").filter(ledger.in_scope(scope))
