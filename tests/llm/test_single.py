@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import itertools
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -466,6 +467,50 @@ def test_licences_of_several_notices(spark, between):
     assert not [(t[:60], a, b) for i, (t, a, b) in enumerate(texts) if not {a, b} <= got[i]]
 
 
+def _labels(spark, of: list[str], **by) -> list[set[str]]:
+    docs = spark.createDataFrame(list(enumerate(of)), "doc_id long, text string").repartition(3)
+    return [set(r.labels.split(",")) for r in licenses.scan(docs, **by).orderBy("doc_id").collect()]
+
+
+def test_full_licence_texts(spark):
+    """Each whole text is found, alone, within other words and beside others; its words alone, or fewer of its passages, are not."""
+    texts = [(label, " ".join(licenses.words_of(t))) for label, t, _ in licenses.TEXTS]
+    whole = [t for _, t in texts]
+    among = ["lorem ipsum " * 5000 + "Copyright (c) 2020 Somebody\n" + t.upper() + "\n" + "dolor sit " * 3000 for t in whole]
+    beside = [a + " and " + b for a, b in itertools.permutations(whole, 2)]
+    out = _labels(spark, whole + among + beside)
+    assert all(label in out[i] and label in out[len(texts) + i] for i, (label, _) in enumerate(texts))
+    assert all({a, b} <= out[2 * len(texts) + i] for i, (a, b) in enumerate(itertools.permutations([label for label, _ in texts], 2)))
+    assert [sum(label in x for label, _ in texts) for x in out[: len(texts)]] == [1] * len(texts)
+    shuffled = [" ".join(sorted(t.split())) for t in whole]
+    halves = [" ".join(t.split()[: len(t.split()) // 2]) for t in whole]
+    spread = [" filler words of another kind ".join([*(" ".join(t.split()[k : k + 16]) + " other" * len(t.split()) for k in range(0, len(t.split()), 16))]) for t in whole]
+    for x in _labels(spark, shuffled + halves + spread):
+        assert not x & ({label for label, _ in texts} - {t[0] for t in licenses.TEMPLATES})
+
+
+def test_full_licence_texts_that_were_changed(spark):
+    """Another holder and a few changed words leave the label; without its phrase a text has none."""
+    label, text, _ = licenses.TEXTS[1]
+    changed = text.replace("the copyright holder nor", "Example Incorporated nor").replace("THE COPYRIGHT HOLDER OR", "THE REGENTS OF THE UNIVERSITY OR")
+    lost = text.replace("endorse or promote", "advertise or sell")
+    assert changed != text and lost != text
+    got = _labels(spark, [changed, lost])
+    assert label in got[0] and label not in got[1] and "bsd" in got[1]
+
+
+def test_a_long_text_of_ones_own(spark):
+    """A text of many thousand words as a template, one word in forty changed in the document; its first half alone is none."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(900)}" for _ in range(12000)]
+    document = [w if k % 40 else "other" for k, w in enumerate(words)]
+    mine = (("mine", " ".join(words), (" ".join(words[1:5]),)),)
+    got = _labels(spark, ["x " * 999 + " ".join(document), " ".join(words[:6000]), " ".join(reversed(words)), "", None], texts=mine)
+    assert [("mine" in x) for x in got] == [True, False, False, False, False]
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), texts=(("mine", "a b", ("a c",)),))
+
+
 # Mixing.
 
 
@@ -553,6 +598,36 @@ def test_splitting_tree_keeps_quotas():
     assert (out == mixing.split_quotas([1000, 7, 0, 250], 16, 3)).all()
 
 
+def test_the_tree_as_a_table(spark):
+    """The table holds what the tree on one machine gives; quotas of many sources and shards are exact, and shards are of one size."""
+    sources = [None, "b", "a", "é", "z"]
+    quotas = {s: n for s, n in zip(sources, [70, 1000, 7, 0, 250], strict=True)}
+    order = [s for s in sorted(quotas, key=mixing.by_code_point) if quotas[s]]
+    table = spark.createDataFrame(list(quotas.items()), "source string, n long")
+    for shards in (1, 2, 3, 16, 37):
+        got = {(r.source, r.shard): r.n for r in mixing.shard_quotas(table, shards, 3).collect()}
+        # Steps leave out sources without blocks, which changes no draw of the root.
+        assert all(sum(n for (s, _), n in got.items() if s == x) == quotas[x] for x in order) and min(got.values()) > 0
+        sizes = [sum(n for (_, shard), n in got.items() if shard == k) for k in range(shards)]
+        assert max(sizes) - min(sizes) <= 6
+        assert got == {(r.source, r.shard): r.n for r in mixing.shard_quotas(table.repartition(5), shards, 3).collect()}
+    assert mixing.shard_quotas(table.limit(0), 16, 3).count() == 0
+    wide = spark.range(10_000).select(F.col("id").cast("string").alias("source"), (F.col("id") % 40 + 1).alias("n"))
+    out = mixing.shard_quotas(wide, 10_000, 1)
+    assert out.groupBy("source").agg(F.sum("n").alias("got")).join(wide, "source").filter("got <> n").count() == 0
+    ends = out.groupBy("shard").agg(F.sum("n").alias("got")).agg(F.min("got"), F.max("got"), F.count("*")).first()
+    assert ends[1] - ends[0] <= 15 and ends[2] == 10_000
+
+
+def test_a_draw_of_more_blocks_than_numpy_takes(monkeypatch):
+    have = np.array([5 * 10**9, 3, 10**9, 0], dtype=np.int64)
+    left = mixing.drawn_left(have, 3 * 10**9 + 1, np.random.default_rng(1))
+    assert left.sum() == 3 * 10**9 + 1 and (left >= 0).all() and (left <= have).all() and abs(left[2] - 5 * 10**8) < 10**6
+    monkeypatch.setattr(mixing, "MOST_DRAWN", 10)
+    out = mixing.split_quotas([1000, 7, 0, 250], 16, 3)
+    assert out.sum(axis=0).tolist() == [1000, 7, 0, 250] and out.sum(axis=1).max() - out.sum(axis=1).min() <= 5
+
+
 def test_line_dedup_is_its_oracle(spark):
     db = duckdb.connect()
     db.execute(f"create view documents as select * from '{DATA}/documents.parquet'")

@@ -9,8 +9,12 @@ each: a tree halves the shards again and again, and at each node one multivariat
 many of each source's blocks go left. Quotas are exact, blocks of different shards are disjoint, and each shard is
 ordered by a seeded hash.
 
-What reaches the driver is one row per source and the quotas of sources x shards. Documents are dealt by
-(source, block), never by source alone, so a hot source is spread over all of its blocks.
+The tree is a table of (shards from, to, source, blocks), grown in two steps: one task takes the root down to nodes of
+about the square root of all shards, then a task for each of these takes it down to the shards. A task holds a number for each source,
+and gives one row for each source and shard with blocks, so never more than there are blocks.
+
+What reaches the driver is one row per source. Documents are dealt by (source, block), never by source alone, so a
+hot source is spread over all of its blocks.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; documents without an id are
 dealt and ordered by a hash of their texts. Repeated rows are documents of their own; of those with one id and
@@ -20,9 +24,10 @@ very long text is one document: only the one at a source's edge is cut.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +38,8 @@ BLOCKS, BLOCK_DOCS = 1024, 1 << 16
 SHARDS, SHARD_WORDS = 16, 1 << 27
 #: The most blocks a source may have.
 FINEST = 1 << 20
+#: The most blocks that one draw is made from; numpy refuses 10 ** 9.
+MOST_DRAWN = 1 << 29
 SEED = 20
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -63,24 +70,57 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, share: flo
     return out
 
 
-def split_quotas(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
-    """shards x sources: how many blocks of each source each shard gets, by recursive hypergeometric draws."""
-    out = np.zeros((shards, len(quotas)), dtype=np.int64)
-
-    def node(lo: int, hi: int, have: np.ndarray) -> None:
-        if hi - lo == 1:
-            out[lo] = have
-            return
-        mid = (lo + hi) // 2
-        n = int(have.sum()) * (mid - lo) // (hi - lo)
-        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, n, method="marginals")
-        node(lo, mid, left)
-        node(mid, hi, have - left)
-
-    node(0, shards, np.asarray(quotas, dtype=np.int64))
+def drawn_left(have: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source's blocks are among n drawn of all. Where all are more than MOST_DRAWN, they are cut into strata of fewer, and each gives its share of n."""
+    strata = -(-int(have.sum()) // MOST_DRAWN)
+    if strata <= 1:
+        return rng.multivariate_hypergeometric(have, n, method="marginals")
+    out, taken, seen = np.zeros_like(have), 0, 0
+    for i in range(strata):
+        part = have * (i + 1) // strata - have * i // strata
+        seen += int(part.sum())
+        upto = n * seen // int(have.sum())
+        out += rng.multivariate_hypergeometric(part, upto - taken, method="marginals")
+        taken = upto
     return out
 
 
+def split_node(lo: int, hi: int, have: np.ndarray, width: int, seed: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The nodes of at most `width` shards below the node of shards lo to hi, with the blocks of each source, by recursive hypergeometric draws."""
+    if hi - lo <= width:
+        yield lo, hi, have
+        return
+    mid = (lo + hi) // 2
+    left = drawn_left(have, int(have.sum()) * (mid - lo) // (hi - lo), np.random.default_rng([seed, lo, hi]))
+    yield from split_node(lo, mid, left, width, seed)
+    yield from split_node(mid, hi, have - left, width, seed)
+
+
+def split_quotas(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
+    """shards x sources: how many blocks of each source each shard gets."""
+    return np.array([have for _, _, have in split_node(0, shards, np.asarray(quotas, dtype=np.int64), 1, seed)])
+
+
+def _grown(width: int, seed: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def grown(key, rows):
+        rows = rows.assign(at=[by_code_point(s) for s in rows["source"]]).sort_values("at", ignore_index=True)
+        parts = []
+        for lo, hi, have in split_node(int(key[0]), int(key[1]), rows["n"].to_numpy(), width, seed):
+            some = np.flatnonzero(have)
+            parts.append(pd.DataFrame({"lo": lo, "hi": hi, "source": rows["source"].to_numpy()[some], "n": have[some]}))
+        return pd.concat(parts, ignore_index=True)
+
+    return grown
+
+
+def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """quotas: source, n. Returns source, shard, n: the blocks of each source that each shard gets, where there are any."""
+    tree = quotas.filter("n > 0").select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "source", F.col("n").cast("long").alias("n"))
+    for width in (1 << (shards.bit_length() // 2), 1):
+        tree = tree.groupBy("lo", "hi").applyInPandas(_grown(width, seed), "lo int, hi int, source string, n long")
+    return tree.select("source", F.col("lo").alias("shard"), "n")
+
+
 PLAN = T.StructType(
     [
         T.StructField("source", T.StringType()),
@@ -132,12 +172,9 @@ def deal(docs: DataFrame, keep: Sequence[str] = (), shards: int | None = None, s
     )
     blocks = stage(blocks, "mix-plan")
 
-    quotas = sorted(blocks.groupBy("source").agg(F.sum("units").alias("n")).collect(), key=lambda r: by_code_point(r[0]))
-    ends = np.cumsum(split_quotas([r["n"] for r in quotas], shards, seed), axis=0) if quotas else np.zeros((shards, 0))
-    lows = ends - np.diff(ends, axis=0, prepend=0)
-    ranges = [(r["source"], shard, int(lows[shard, i]), int(ends[shard, i])) for i, r in enumerate(quotas) for shard in range(shards) if ends[shard, i] > lows[shard, i]]
-    places = spark.createDataFrame(ranges, "shard_source string, shard int, low long, high long")
-    places = places.select("shard_source", "shard", F.explode(F.sequence(F.col("low") + 1, F.col("high"))).alias("at"))
+    places = stage(shard_quotas(blocks.groupBy("source").agg(F.sum("units").alias("n")), shards, seed), "mix-tree")
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    places = places.withColumn("low", before).select(F.col("source").alias("shard_source"), "shard", F.explode(F.sequence(F.col("low") + 1, F.col("low") + F.col("n"))).alias("at"))
     drawn = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), F.col("unit"), F.col("block")), "unit", "block")
     unit_shards = (
         blocks.filter("units > 0")
