@@ -7,7 +7,7 @@ share GRAM + RUN - 1 words in a row share a kept hash. A text of fewer words tha
 The order of hashes is that of their upper 32 bits. Everything is arrays inside a row, so a text is never
 exploded or shuffled for its fingerprint. Neighbours in descending doc_id order come from one shuffle of the
 texts: a sort of (doc_id, hash of the text) alone gives the keys that begin each of at most CUTS buckets,
-of BUCKET documents or more; each bucket is sorted, and its first document is handed to the bucket above it.
+of BUCKET documents or more (fewer where ids are so long that the keys would exceed CUT_BYTES); each bucket is sorted, and its first document is handed to the bucket above it.
 
 Any orderable doc_id that JSON can carry will do: numbers, text, dates. Nulls: a null text counts as an empty
 one, with an empty fingerprint; null ids come last. Rows of one id, or of none, are ordered by a hash of their
@@ -26,6 +26,8 @@ GRAM = 3
 RUN = 4
 BUCKET = 64
 CUTS, WIDE = 1 << 16, 16
+#: The bytes that all keys of buckets may have in the plan; with long ids there are fewer, larger buckets.
+CUT_BYTES = 1 << 24
 #: Places are below this; hash and place fit a long.
 PLACES = 1 << 31
 
@@ -83,12 +85,15 @@ def with_hashes(docs: DataFrame) -> DataFrame:
 
 
 def _cuts(docs: DataFrame) -> list[str]:
-    """The first key (none, doc_id, row_key) of each bucket in ascending order, as JSON; one row each, CUTS at most."""
+    """The first key (none, doc_id, row_key) of each bucket in ascending order, as JSON; one row each, CUTS at most, and CUT_BYTES in all or one cut."""
     keys = docs.select(F.col("doc_id").isNotNull().alias("some"), "doc_id", "row_key")
     placed = stage(keys.repartitionByRange(*keys.columns).sortWithinPartitions(*keys.columns).withColumn("at", F.monotonically_increasing_id()), "fingerprint-keys")
     part = F.shiftright("at", 33)
-    counts = sorted((r["part"], r["n"]) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    each = max(BUCKET, -(-sum(n for _, n in counts) // CUTS))
+    json = F.to_json(F.struct("some", "doc_id", "row_key"), {"ignoreNullFields": "false"})
+    found = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.max(F.octet_length(json)).alias("longest")).collect()
+    counts = sorted((r["part"], r["n"]) for r in found)
+    most = max(1, min(CUTS, CUT_BYTES // max((r["longest"] for r in found), default=1)))
+    each = max(BUCKET, -(-sum(n for _, n in counts) // most))
     before, wanted = 0, []
     for p, n in counts:
         wanted.append((p, -before % each))
@@ -98,7 +103,7 @@ def _cuts(docs: DataFrame) -> list[str]:
     # In each partition every each-th row from its own first on, so that all partitions together are cut evenly.
     first = placed.sparkSession.createDataFrame(wanted, "part long, first long")
     cut = placed.withColumn("part", part).withColumn("nth", F.col("at") - F.shiftleft(part, 33)).join(F.broadcast(first), "part").filter((F.col("nth") >= F.col("first")) & ((F.col("nth") - F.col("first")) % each == 0))
-    return [r["cut"] for r in cut.groupBy("some", "doc_id", "row_key").agg(F.min("at").alias("at")).orderBy("at").select(F.to_json(F.struct("some", "doc_id", "row_key"), {"ignoreNullFields": "false"}).alias("cut")).collect()]
+    return [r["cut"] for r in cut.groupBy("some", "doc_id", "row_key").agg(F.min("at").alias("at")).orderBy("at").select(json.alias("cut")).collect()]
 
 
 def _with_bucket(docs: DataFrame, cuts: list[str]) -> DataFrame:
