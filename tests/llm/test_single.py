@@ -634,6 +634,27 @@ def test_line_dedup_is_its_oracle(spark):
     assert sorted(map(tuple, line_dedup.query(spark, DATA).collect())) == sorted(db.execute(line_dedup.ORACLE_SQL).fetchall())
 
 
+def test_word_rollups_are_their_oracle(spark, tmp_path):
+    db = duckdb.connect()
+    frame(spark, brute.rows(4, 150), clash=True).write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (DATA, tmp_path):
+        db.execute(f"create or replace view documents as select * from read_parquet('{folder}/documents.parquet{'' if folder == DATA else '/*.parquet'}')")
+        got = [tuple(r) for r in rollups.words_query(spark, str(folder)).select("source", "lang", "version", "docs", "tokens").collect()]
+        assert got and sorted(got, key=repr) == sorted(db.execute(rollups.WORDS_SQL).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("most", [1, 3000, 1 << 24])
+def test_neighbours_by_long_ids(spark, monkeypatch, most):
+    """Ids of thousands of letters make fewer buckets, one at the least, and the same neighbours."""
+    monkeypatch.setattr(fingerprints, "CUT_BYTES", most)
+    monkeypatch.setattr(fingerprints, "BUCKET", 4)
+    ids = [f"{i:03d}" + "x" * 900 for i in range(60)]
+    docs = spark.createDataFrame([(x, f"text of {x[:3]} a b c d e f") for x in ids], "doc_id string, text string").repartition(5)
+    assert len(fingerprints._cuts(docs.select("doc_id", "text", F.xxhash64("text").alias("row_key")))) <= max(1, min(15, most // len(ids[0])))
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(docs).collect()}
+    assert got == {x: f"text of {ids[i - 1][:3]} a b c d e f" for i, x in enumerate(ids)}
+
+
 def test_native_plans_hold_no_python(spark):
     for query in (fingerprints.query, line_dedup.query):
         plan = query(spark, DATA)._jdf.queryExecution().toString()

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_jaccard_join": jaccard.query,
     "op12_hard_negatives": hard_negatives.query,
     "op13_lexical_search": lexical.query,
+    "token_rollups_words": rollups.words_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op11_jaccard_join": jaccard.ORACLE_SQL,
     "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     "op13_lexical_search": lexical.ORACLE_SQL,
+    "token_rollups_words": rollups.WORDS_SQL,
 }

@@ -130,3 +130,20 @@ def query(spark, sf_dir: str) -> DataFrame:
     rollup.commit("revise", signed(old, -1, "spaced-1", "spaced").unionByName(signed(new, 1, "subwords-50k", "tokens")).unionByName(none))
     rollup.commit("load", signed(counts, 1, "spaced-1", "spaced"))
     return rollup.totals()
+
+
+def words_query(spark, sf_dir: str) -> DataFrame:
+    """The totals of the same batches by words alone, which SQL can express."""
+    return query(spark, sf_dir).filter("version = 'spaced-1'")
+
+
+WORDS_SQL = r"""
+WITH counted AS (
+    SELECT source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n,
+        coalesce(text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text), false) AS copy
+    FROM documents
+)
+SELECT source, lang, 'spaced-1' AS version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens
+FROM counted WHERE NOT copy AND NOT coalesce(lang <> 'en', false)
+GROUP BY source, lang
+"""
