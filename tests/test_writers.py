@@ -4,12 +4,13 @@ import datetime
 import json
 import os
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_runner import EVENTS, STATE, SYNC, Partner, buys, flat, ledger, retryable, rows, small_plans, table  # noqa: F401
-from weirgate import operations, store as stores
+from weirgate import files, operations, store as stores
 from weirgate.declarations import DeclarationError, Source, State, Sync
 from weirgate.decisions import Counts, Job
 from weirgate.destinations import Destination, Registry, Surface, from_mapping
@@ -53,6 +54,31 @@ def test_changes_of_other_parts_are_kept(spark, tmp_path):
     assert sorted(r.run_id for r in store.read("runs").collect()) == ["1", "2", "3"]
 
 
+def test_one_of_several_writers_takes_a_name(spark, tmp_path):
+    """Of writers at once one alone is told that its file or folder got the name, and that is what lies there, without a file of checksums that may be another's."""
+    (tmp_path / "heads").mkdir()
+    together = threading.Barrier(8)
+
+    def file(i, k):
+        together.wait()
+        return files.published(spark, f"{tmp_path}/heads/{i}.json", str(k) * 600 * (k + 1))
+
+    def folder(i, k):
+        together.wait()
+        return files.moved(spark, f"{tmp_path}/.{i}-{k}", f"{tmp_path}/{i}")
+
+    with ThreadPoolExecutor(8) as pool:
+        for i in range(40):
+            for k in range(8):
+                (tmp_path / f".{i}-{k}").mkdir()
+                (tmp_path / f".{i}-{k}" / str(k)).touch()
+            won = [k for k, first in enumerate(pool.map(lambda k, i=i: file(i, k), range(8))) if first]
+            assert [int(files.text_of(spark, f"{tmp_path}/heads/{i}.json")[0])] == won
+            won = [k for k, first in enumerate(pool.map(lambda k, i=i: folder(i, k), range(8))) if first]
+            assert [int(p.name) for p in (tmp_path / str(i)).iterdir()] == won
+    assert sorted(p.name for p in (tmp_path / "heads").iterdir()) == sorted(f"{i}.json" for i in range(40))
+
+
 def test_a_commit_is_made_again_after_another(spark, tmp_path):
     store, turns = Store(spark, str(tmp_path)), []
 
