@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,30 @@ def test_jaccard_join_of_hot_groups(spark, folder, monkeypatch, cell):
     assert got == linked(docs) and 5 < len({c for _, _, c in got}) < len(docs)
 
 
+def test_hot_tiles_give_a_forest_of_links(spark, monkeypatch):
+    """Groups of texts that all link, in tiles that neither star has joined: fewer pairs than nodes leave each cell, and nothing is lost."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(9000)}"
+    base = " ".join(word() for _ in range(200))
+    docs = [(i, varied(rng, base, n), "en", "s", 1) for i, n in enumerate([1] * 30 + [12] * 30)]
+    sets = jaccard.Rule().sets(pa.array([t for _, t, *_ in docs], pa.large_string()))
+    held = [jaccard.node_of(h) for h in sets]
+    rows = [pa.array([1] * 60), pa.array([0] * 60), pa.array([0] * 60), pa.array([False] * 60), pa.array(held), pa.array(held), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([len(h) for h in sets])]
+    batch = pa.RecordBatch.from_arrays(rows, names=["tile", "i", "j", "visits", "node", "label", "set", "size"])
+    got = sum(b.num_rows for b in jaccard._tile_pairs(iter([batch]), jaccard.Rule()))
+    assert got == 60 - len({c for *_, c in linked(docs)})
+    for cell, most in ((5, 64 << 20), (2048, 30_000)):
+        for name, n in (("HOT", 3), ("CELL", cell), ("CELL_BYTES", most)):
+            monkeypatch.setattr(jaccard, name, n)
+        assert found(jaccard.near_duplicates(frame(spark, docs)).withColumnRenamed("size", "n_shingles")) == linked(docs)
+
+
+@pytest.mark.parametrize("cell", [3, 2048])
+def test_jaccard_join_of_hot_tiles_beside_small_ones(spark, folder, monkeypatch, cell):
+    monkeypatch.setattr(jaccard, "HOT", 6)
+    test_jaccard_join_of_hot_groups(spark, folder, monkeypatch, cell)
+
+
 def test_jaccard_links_that_no_first_star_finds(spark, folder):
     """Texts that share tiles with one that links to none of them: without a link among the first pairs the rest is still compared."""
     rng = random.Random(5)

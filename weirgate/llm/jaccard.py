@@ -8,9 +8,11 @@ as well. What a common passage shares is late in the order, so it seldom makes a
 Equal sets meet as one node before anything is replicated. Tiles of one row go at once, by counts made before the shuffle. Then
 each tile's nodes are compared with one of them, and again with the one that meets most others, which links large groups of near
 copies by as many pairs as they have nodes; where a tile still has nodes of different components, all of its nodes are
-compared with each other inside of a task. Tiles of over CELL nodes are cut into cells of residents by visitors. No pair is made
-that hashed bitmaps rule out: bits that differ are shingles of one set alone, so half of both sizes less the
-differing bits bounds the overlap from above. Pairs left are decided by the exact intersection of their sorted arrays.
+compared with each other inside of a task. Tiles of over CELL nodes, or CELL_BYTES of sets, are cut into cells of residents by visitors.
+No pair is made that hashed bitmaps rule out: bits that differ are shingles of one set alone, so half of both sizes less the
+differing bits bounds the overlap from above. Pairs left are decided by the exact intersection of their sorted arrays: those
+of tiles of HOT nodes at most after a shuffle, so at most HOT / 2 a node and tile leave the task; to larger tiles the
+sets themselves come, which are compared in the task, and what leaves it is a forest of links, fewer than it has nodes.
 
 Words are lower-cased (A-Z) runs of `[^\\x20\\x09-\\x0D]`; fewer than the words of a shingle are one shingle; no words, or a null text, give
 an empty set, which links with nothing. Shingles and sets are compared by 64-bit hashes. A null doc_id is never the smallest
@@ -36,7 +38,9 @@ from weirgate.llm.shared import SPACED_WORD, UPPER, join_hot, map_arrow, stage
 BUCKETS = 1 << 16
 #: Bits of a bitmap for each shingle, at least; the least and greatest width of one. Wider ones are folded when two are compared, and all of a cell first to COARSE bits.
 BITS, LEAST_WIDTH, MOST_WIDTH, COARSE = 4, 64, 1 << 17, 512
-CELL = 2048
+CELL, CELL_BYTES = 2048, 64 << 20
+#: Nodes of a tile beyond which its links are decided in its task; bits of a bitmap for each shingle there.
+HOT, HOT_BITS = 64, 16
 STARS = 2
 PAIRS_AT_ONCE = 1 << 16
 
@@ -76,9 +80,9 @@ def node_of(h: np.ndarray) -> int:
     return int(mix(sums[:1] + sums[1:] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(h))).view(np.int64)[0])
 
 
-def bitmap_of(h: np.ndarray) -> bytes:
+def bitmap_of(h: np.ndarray, bits_each: int = BITS) -> bytes:
     """Bits of the shingles' hashes, as many as the set's size asks for."""
-    width = min(MOST_WIDTH, max(LEAST_WIDTH, 1 << (BITS * len(h) - 1).bit_length()))
+    width = min(MOST_WIDTH, max(LEAST_WIDTH, 1 << (bits_each * len(h) - 1).bit_length()))
     bits = np.zeros(width, dtype=np.uint8)
     bits[(h >> np.uint64(8)).astype(np.int64) & (width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -155,32 +159,80 @@ def _maybe(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordB
         yield batch.select(["a", "b"]).filter(pa.array(hit))
 
 
+@dataclass
+class _Group:
+    """Nodes of a cell; sets are there in tiles whose links are decided in their task."""
+
+    node: np.ndarray
+    label: np.ndarray
+    size: np.ndarray
+    maps: list[bytes]
+    sets: list[np.ndarray] | None = None
+
+
+def _group(rows: pa.RecordBatch) -> _Group:
+    node, label, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "size"))
+    if "set" not in rows.schema.names:
+        return _Group(node, label, size.astype(np.int64), rows.column("bitmap").to_pylist())
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("set").to_pylist()]
+    return _Group(node, label, size.astype(np.int64), [bitmap_of(h, HOT_BITS) for h in sets], sets)
+
+
 def _tile_pairs(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Rows come by cell, residents first. Residents are kept, visitors pass by; where cell i is j, residents meet each other. Pairs of different labels that sizes and bitmaps let pass."""
-    cell, kept = None, []
+    """Rows come by cell, residents first. Residents are kept, visitors pass by; where cell i is j, residents meet each other. Pairs of different labels that sizes and bitmaps let pass; with sets, a forest of those that link."""
+    cell, kept, forest = None, [], _Forest(rule)
     for batch in batches:
         at = list(zip(*(batch.column(c).to_pylist() for c in ("tile", "i", "j")), strict=True))
-        visits, node, label, size, maps = (batch.column(c).to_pylist() for c in ("visits", "node", "label", "size", "bitmap"))
+        visits = batch.column("visits").to_pylist()
         out, lo = [], 0
         while lo < len(at):
             hi = lo
             while hi < len(at) and at[hi] == at[lo]:
                 hi += 1
             if at[lo] != cell:
-                out += _among(cell, kept, rule)
-                cell, kept = at[lo], []
+                out += _among(cell, kept, rule, forest)
+                cell, kept, forest = at[lo], [], _Forest(rule)
             cut = lo
             while cut < hi and not visits[cut]:
                 cut += 1
-            group = lambda a, b: (np.array(node[a:b]), np.array(label[a:b]), np.array(size[a:b], dtype=np.int64), maps[a:b])
             if cut > lo:
-                kept.append(group(lo, cut))
+                kept.append(_group(batch.slice(lo, cut - lo)))
             if cut < hi and kept:
                 kept = [_together(kept)]
-                out += _cell(kept[0], group(cut, hi), rule)
+                out += _cell(kept[0], _group(batch.slice(cut, hi - cut)), rule, forest)
             lo = hi
         yield from _pairs(out)
-    yield from _pairs(_among(cell, kept, rule))
+    yield from _pairs(_among(cell, kept, rule, forest))
+
+
+class _Forest:
+    """The labels of a cell, joined by the links that were found in it."""
+
+    def __init__(self, rule: Rule) -> None:
+        self.rule, self.above = rule, {}
+
+    def top(self, label: int) -> int:
+        while (up := self.above.get(label, label)) != label:
+            self.above[label] = self.above.get(up, up)
+            label = up
+        return label
+
+    def labels(self, of: np.ndarray) -> np.ndarray:
+        return np.array([self.top(x) for x in of.tolist()], dtype=of.dtype) if self.above else of
+
+    def linked(self, visitors: _Group, residents: _Group, v: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that link and whose labels no link before has joined."""
+        hit = np.zeros(len(v), dtype=bool)
+        for n, (i, j) in enumerate(zip(v.tolist(), r.tolist(), strict=True)):
+            a, b = self.top(int(visitors.label[i])), self.top(int(residents.label[j]))
+            if a != b and _overlaps(visitors.sets[i], residents.sets[j], self.rule):
+                self.above[a], hit[n] = b, True
+        return v[hit], r[hit]
+
+
+def _overlaps(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return bool(rule.similar(int((y[at] == x).sum()), len(x), len(y)))
 
 
 def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -189,42 +241,48 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def _together(groups: list[tuple]) -> tuple:
-    return (*(np.concatenate([g[c] for g in groups]) for c in range(3)), [m for g in groups for m in g[3]])
+def _together(groups: list[_Group]) -> _Group:
+    flat = [np.concatenate([getattr(g, c) for g in groups]) for c in ("node", "label", "size")]
+    return _Group(*flat, [m for g in groups for m in g.maps], None if groups[0].sets is None else [h for g in groups for h in g.sets])
 
 
-def _among(cell: tuple | None, kept: list[tuple], rule: Rule) -> list[tuple[np.ndarray, np.ndarray]]:
+def _among(cell: tuple | None, kept: list[_Group], rule: Rule, forest: _Forest) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs among the residents of a cell that has no other visitors."""
     if cell is None or cell[1] != cell[2] or not kept:
         return []
     own = _together(kept)
-    return [(x[x < y], y[x < y]) for x, y in _cell(own, own, rule)]
+    if own.sets is not None:
+        return list(_cell(own, own, rule, forest))
+    return [(x[x < y], y[x < y]) for x, y in _cell(own, own, rule, forest)]
 
 
-def _cell(residents: tuple, visitors: tuple, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    width = 8 * min(len(m) for m in (*residents[3], *visitors[3]))
-    mine, theirs = _folded(residents[3], width), _folded(visitors[3], width)
+def _cell(residents: _Group, visitors: _Group, rule: Rule, forest: _Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    width = 8 * min(len(m) for m in (*residents.maps, *visitors.maps))
+    mine, theirs = _folded(residents.maps, width), _folded(visitors.maps, width)
     coarse = min(width, COARSE)
-    mine_first, theirs_first = _folded(residents[3], coarse), _folded(visitors[3], coarse)
+    mine_first, theirs_first = _folded(residents.maps, coarse), _folded(visitors.maps, coarse)
     step = max(1, PAIRS_AT_ONCE // len(mine))
+    own_label = forest.labels(residents.label)
     for lo in range(0, len(theirs), step):
-        node, label, size = (x[lo : lo + step, None] for x in visitors[:3])
-        small, large = np.minimum(size, residents[2]), np.maximum(size, residents[2])
-        v, r = np.nonzero((label != residents[1]) & (100 * small >= rule.hundredths * large))
+        label, size = forest.labels(visitors.label[lo : lo + step])[:, None], visitors.size[lo : lo + step, None]
+        small, large = np.minimum(size, residents.size), np.maximum(size, residents.size)
+        v, r = np.nonzero((label != own_label) & (100 * small >= rule.hundredths * large))
         for a, b in ((theirs_first, mine_first), (theirs, mine)):
-            x, y = size[v, 0], residents[2][r]
+            x, y = size[v, 0], residents.size[r]
             hit = rule.similar(np.minimum(np.minimum(x, y), _most_overlap(a[lo + v], b[r], x, y)), x, y)
             v, r = v[hit], r[hit]
-        yield node[v, 0], residents[0][r]
+        v = lo + v
+        if residents.sets is not None:
+            v, r = forest.linked(visitors, residents, v, r)
+            own_label = forest.labels(residents.label) if len(v) else own_label
+        yield visitors.node[v], residents.node[r]
 
 
 def _exact(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit = np.zeros(batch.num_rows, dtype=bool)
         for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-            x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            hit[i] = rule.similar(int((y[at] == x).sum()), len(x), len(y))
+            hit[i] = _overlaps(*(np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y)), rule)
         yield batch.select(["a", "b"]).filter(pa.array(hit))
 
 
@@ -267,15 +325,23 @@ class _Links:
         if pairs.isEmpty():
             return False
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "own_key"), "node")
-        texts = _texts(self.docs).withColumn("own_key", _own_key()).join(wanted, "own_key").select("node", "text")
         rule = self.rule
-        sets = stage(map_arrow(texts, lambda b: _whole_sets(b, rule), "node long, set binary").dropDuplicates(["node"]), "jaccard-sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         a, b = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-        found = stage(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), lambda x: _exact(x, rule), "a long, b long"), "jaccard-links")
-        self.found = found if self.found is None else self.found.unionByName(found)
+        self.add(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), lambda x: _exact(x, rule), "a long, b long"))
         return True
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node, set for each of the nodes, from a text that has it."""
+        wanted = nodes.distinct().join(self.nodes.select("node", "own_key"), "node")
+        texts = _texts(self.docs).withColumn("own_key", _own_key()).join(wanted, "own_key").select("node", "text")
+        rule = self.rule
+        return stage(map_arrow(texts, lambda b: _whole_sets(b, rule), "node long, set binary").dropDuplicates(["node"]), "jaccard-sets")
+
+    def add(self, links: DataFrame) -> None:
+        found = stage(links, "jaccard-links")
+        self.found = found if self.found is None else self.found.unionByName(found)
+
 
 def _open(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """tile, node, label of all members; and tile, size of the tiles of three nodes or more whose labels differ. Of tiles of the same nodes (by 128 bits of hashes, least and greatest) one is enough."""
@@ -285,6 +351,16 @@ def _open(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labelled, stage(tiles.groupBy("h0", "h1", "first", "last", "size").agg(F.min("tile").alias("tile")).select("tile", "size"), "jaccard-open")
 
 
+def _in_cells(members: DataFrame, tiles: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """a, b: what _tile_pairs finds in the tiles. nodes: node, size, and bitmap or set."""
+    rows = members.join(tiles.select("tile", "cells"), "tile").join(nodes, "node")
+    own, other = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"), F.col("other")
+    held = ["node", "label", *(c for c in nodes.columns if c != "node")]
+    rows = rows.select("tile", *held, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    cells = rows.select("tile", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), (F.col("own") > other).alias("visits"), *held)
+    return map_arrow(cells.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "visits"), lambda x: _tile_pairs(x, rule), "a long, b long")
+
+
 def link(docs: DataFrame, rule: Rule = Rule(), stars: int = STARS) -> tuple[DataFrame, DataFrame]:
     """The signatures of docs, and node, root for each node that has links. stars: rounds in which the nodes of a tile are compared with one of them, before all are with all."""
     signed, buckets = signatures(docs, rule)
@@ -315,12 +391,17 @@ def link(docs: DataFrame, rule: Rule = Rule(), stars: int = STARS) -> tuple[Data
         if links.decide(map_arrow(pairs.join(mapped("a"), "a").join(mapped("b"), "b"), lambda x: _maybe(x, rule), "a long, b long")):
             roots = components(links.found)
             labelled, open_tiles = _open(members, roots)
-    open_tiles = open_tiles.select("tile", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
-    rows = labelled.join(open_tiles, "tile").join(nodes.select("node", "size", "bitmap"), "node")
-    own, other = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"), F.col("other")
-    rows = rows.select("tile", "node", "label", "size", "bitmap", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
-    cells = rows.select("tile", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), (F.col("own") > other).alias("visits"), "node", "label", "size", "bitmap")
-    pairs = map_arrow(cells.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "visits"), lambda x: _tile_pairs(x, rule), "a long, b long")
+    # What hot tiles link joins labels first, so that small ones have less left to compare.
+    hot = stage(open_tiles.filter(F.col("size") > HOT).select("tile"), "jaccard-hot")
+    if not hot.isEmpty():
+        at = stage(labelled.join(hot, "tile"), "jaccard-hot-members")
+        sized = at.join(nodes.select("node", "size"), "node").groupBy("tile").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+        cells = sized.select("tile", F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("shingles") * 8 / CELL_BYTES)).cast("int").alias("cells"))
+        links.add(_in_cells(at, cells, links.sets(at.select("node")).withColumn("size", (F.octet_length("set") / 8).cast("long")), rule))
+        roots = components(links.found)
+        labelled, open_tiles = _open(members.join(hot, "tile", "left_anti"), roots)
+    cells = open_tiles.select("tile", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
+    pairs = _in_cells(labelled, cells, nodes.select("node", "size", "bitmap"), rule)
     return signed, components(links.found) if links.decide(pairs) else roots
 
 
