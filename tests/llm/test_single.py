@@ -156,6 +156,50 @@ def test_averaged_shards(spark, monkeypatch):
     assert np.isfinite(model.log10(ids, np.array([0, 2]))).all() and set(model.w) == set(attention_lm.fit(["a b"], steps=1).w)
 
 
+def test_all_training_texts_are_learned_from(spark, monkeypatch):
+    """In shards or not: each text's ids are counted, and each window is learned from once in all rounds; in a lone shard once at least."""
+    texts = [brute.lower(t) for _, t, *_ in brute.rows(2) if t]
+    column = pa.array(texts, pa.large_string())
+    ids, first, n = attention_lm.ids_of(column, attention_lm.VOCABULARY)
+    assert n == sum(len(brute.spaced(t)) for t in texts)
+    parts = list(attention_lm._shards(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), attention_lm.VOCABULARY, 300))
+    assert b"".join(p.column("ids")[0].as_py() for p in parts) == ids.astype(np.uint16).tobytes()
+    seen, plain = [], attention_lm.windows
+
+    def watched(model, *args):
+        seen.append(len(args[0]))
+        return {k: np.zeros_like(x) for k, x in model.w.items()}, 0.0
+
+    monkeypatch.setattr(attention_lm.Attention, "gradients", watched)
+    monkeypatch.setattr(attention_lm, "BATCH", 1)
+    model = attention_lm.untrained(np.bincount(ids, minlength=attention_lm.SUBWORDS + 1).astype(float))
+    whole = len(plain(model.class_of[ids], first)[0])
+    for turn in range(3):
+        model.train(ids, first, 1, part=(turn, 3))
+    assert len(seen) == whole
+    model.train(ids, first, 1)
+    assert len(seen) == 2 * whole
+    counted = {}
+    # A corpus of many times the words of a shard, of which a share of 1/32 was learned from before.
+    monkeypatch.setattr(attention_lm, "SHARD_WORDS", n // 40)
+    with pytest.raises(Found):
+        monkeypatch.setattr(attention_lm, "untrained", found_counts(counted))
+        attention_lm.learn(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 40 * n)
+    assert np.array_equal(counted["n"], np.bincount(ids, minlength=attention_lm.SUBWORDS + 1))
+
+
+class Found(Exception):
+    pass
+
+
+def found_counts(into):
+    def untrained(counts):
+        into["n"] = counts.copy()
+        raise Found
+
+    return untrained
+
+
 def test_held_out_texts_score_above_the_base(spark):
     got = [r for r in attention_lm.query(spark, MORE).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)

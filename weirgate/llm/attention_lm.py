@@ -9,11 +9,12 @@ before by CONTEXT; a window scores its last STEP ids, so each id is scored once,
 under a mask. A word's probability mixes the product over its ids with its share of the training tokens,
 counted over the whole corpus, which weighs SHARE.
 
-Training: TRAIN_SHARE of the training documents, chosen row by row, so what is learned from grows with the corpus;
-of a small one as many as have TRAIN_LEAST words. They are dealt to shards of about SHARD_WORDS words, one task each,
-which cut their words into subwords once. One shard's task trains a first model for WARM steps; then in ROUNDS
-rounds each shard's task trains it on for its share of SHARD_STEPS, and the weights are averaged by an aggregation over
-(weight, value) rows. The driver sees the counts of the subword ids and one averaged model a round, never a text.
+Training: all training documents. Each task cuts the words of its documents into subwords once and gives shards of
+about SHARD_WORDS words; few words are one shard. The first shard's task trains a first model for WARM steps; then in ROUNDS
+rounds each shard trains it on with its share of the shard's windows, so that every window of every shard is learned from once
+in all rounds (more often in a shard of fewer than SHARD_STEPS batches), and the weights are averaged by an aggregation over
+(weight, value) rows. A lone shard is gone through in whole for STEPS steps or once, whichever is more. The driver sees the counts of
+the subword ids and one averaged model a round, never a text.
 
 Base: add-one unigram scores of words and the end of each text, from the same counts.
 
@@ -30,6 +31,7 @@ its words and scores are held at once.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 from weirgate.llm.arrow_text import SPACED, Words, slices, split_words
 from weirgate.llm.shared import ascii_lower, bucket_of, map_arrow, stage
 from weirgate.llm.vocabulary import VOCABULARY, encoder
+from weirgate.materialize import scratch
 
 FOLDS, HELD_OUT = 7, 2
 SUBWORDS = 50_257
@@ -48,10 +51,10 @@ CLASSES, GROUPS = 1024, 32
 SIDE = CLASSES // GROUPS
 WIDTH, HIDDEN = 16, 32
 CONTEXT, STEP = 8, 32
-#: Steps of a model that has one shard alone; else of the first model, and of each shard after it.
+#: Least steps of a model that has one shard alone; else the first model's, and the least of each shard after it.
 STEPS, WARM, SHARD_STEPS, ROUNDS = 3000, 1500, 200, 2
 BATCH, RATE, LATE_RATE = 64, 0.008, 0.002
-TRAIN_SHARE, TRAIN_LEAST, SHARD_WORDS = 1 / 32, 600_000, 600_000
+SHARD_WORDS = 600_000
 SHARE = 0.2
 BUCKET_BYTES = 12 << 20
 AT_ONCE = 256
@@ -96,8 +99,10 @@ class Attention:
     def gradients(self, seen: np.ndarray, hidden: np.ndarray, wanted: np.ndarray, counts: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Of the mean negative log likelihood of `wanted` where `counts`."""
         w, f = self.w, self.forward(seen, hidden)
-        z, want = f["z"][counts], wanted[counts]
-        group, side = np.divmod(want, SIDE)
+        want = wanted[counts]
+        # In the order of the groups, so that each is a slice.
+        order = np.argsort(want // SIDE, kind="stable")
+        z, (group, side) = f["z"][counts][order], np.divmod(want[order], SIDE)
         each, n = np.arange(len(want)), max(1, len(want))
 
         def errors(y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
@@ -108,10 +113,11 @@ class Attention:
             return p / n, lost
 
         dg, lost_group = errors(z @ w["G"] + w["g"], group)
-        members = [np.flatnonzero(group == i) for i in range(GROUPS)]
-        y = np.empty((len(want), SIDE), dtype=z.dtype)
+        ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        members = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        y = w["b"][group]
         for i, own in enumerate(members):
-            y[own] = z[own] @ w["U"][i] + w["b"][i]
+            y[own] += z[own] @ w["U"][i]
         dy, lost_side = errors(y, side)
         loss = lost_group + lost_side
         g = {"G": z.T @ dg, "g": dg.sum(axis=0), "U": np.zeros_like(w["U"]), "b": np.zeros_like(w["b"])}
@@ -120,7 +126,9 @@ class Attention:
             g["U"][i], g["b"][i] = z[own].T @ dy[own], dy[own].sum(axis=0)
             late[own] += dy[own] @ w["U"][i].T
         dz = np.zeros_like(f["z"])
-        dz[counts] = late
+        back = np.empty_like(late)
+        back[order] = late
+        dz[counts] = back
 
         def outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
@@ -139,17 +147,27 @@ class Attention:
         dx[:, CONTEXT:] += dh + dq @ w["Q"].T
         g["P"] = dx.sum(axis=0)
         g["E"] = np.zeros_like(w["E"])
-        np.add.at(g["E"], seen.ravel(), dx.reshape(-1, WIDTH))
+        order = np.argsort(seen, axis=None, kind="stable")
+        classes = seen.ravel()[order]
+        new = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+        g["E"][classes[new]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], new, axis=0)
         return g, float(loss)
 
-    def train(self, ids: np.ndarray, first: np.ndarray, steps: int = STEPS, seed: int = 6, top_rate: float = RATE) -> list[float]:
-        """ids of texts, each with its end; Adam over random windows."""
+    def train(self, ids: np.ndarray, first: np.ndarray, steps: int = STEPS, seed: int = 6, top_rate: float = RATE, part: tuple[int, int] | None = (0, 1)) -> list[float]:
+        """ids of texts, each with its end; Adam over windows in random order.
+
+        part: the i-th of n parts of the windows, all of which is gone through, in `steps` steps or more, again from its start where
+        it is short; None: `steps` steps and no more.
+        """
         seen, hidden, wanted, counts, _ = windows(self.class_of[ids], first)
-        rng = np.random.default_rng(seed)
+        order = np.random.default_rng(seed).permutation(len(seen))
+        if part is not None:
+            order = order[len(order) * part[0] // part[1] : len(order) * (part[0] + 1) // part[1]]
+            steps = max(steps, -(-len(order) // BATCH)) if len(order) else 0
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         losses = []
         for step in range(1, steps + 1):
-            at = rng.integers(0, len(seen), BATCH)
+            at = order[np.arange((step - 1) * BATCH, step * BATCH) % len(order)]
             g, loss = self.gradients(seen[at], hidden[at], wanted[at], counts[at])
             losses.append(loss)
             rate = top_rate * min(1, step / 50) * (1 - 0.9 * step / steps)
@@ -268,34 +286,50 @@ def untrained(counts: np.ndarray) -> Attention:
     return Attention.fresh(class_of, tail, np.log(share / share.sum()))
 
 
-def ids_of(column: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the texts of a column, END after each, and where each text begins; each distinct word is cut into subwords once."""
+def ids_of(column: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids of the texts of a column, END after each, where each text begins, and the number of words; each distinct word is cut into subwords once."""
     words = split_words(pc.fill_null(column.cast(pa.large_string()), ""), SPACED)
-    distinct, known = np.unique(np.array(words.text(0, len(words.start)), dtype=object), return_inverse=True) if len(words.start) else (np.array([], dtype=object), np.zeros(0, dtype=np.int64))
-    ids, first = subwords(list(distinct), vocabulary)
+    _, at, known = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    ids, first = subwords([words.low[s:e].tobytes() for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)], vocabulary)
     ids, text_first, _ = spelled(words, known, ids, first)
-    return ids, text_first
+    return ids, text_first, len(words.start)
 
 
 def fit(texts: list[str], vocabulary: str = VOCABULARY, steps: int = STEPS) -> Attention:
     """A model of a few texts, here and now."""
-    ids, first = ids_of(pa.array(texts, pa.large_string()), vocabulary)
+    ids, first, _ = ids_of(pa.array(texts, pa.large_string()), vocabulary)
     model = untrained(np.bincount(ids, minlength=SUBWORDS + 1).astype(np.float64))
     if len(texts):
         model.train(ids, first, steps)
     return model
 
 
-def _shard(texts: pa.Table, vocabulary: str) -> pa.Table:
-    ids, first = ids_of(texts.column("text").combine_chunks(), vocabulary)
-    return pa.table({"shard": texts.column("shard").slice(0, 1), "ids": pa.array([ids.astype(np.int32).tobytes()], pa.binary()), "first": pa.array([first.astype(np.int64).tobytes()], pa.binary())})
+def _shards(batches: Iterator[pa.RecordBatch], vocabulary: str, most: float) -> Iterator[pa.RecordBatch]:
+    """Shards of so many words or a little more, and one of what is left: a number by content, the ids of the texts in 16 bits, and where each text begins."""
+
+    def row() -> pa.RecordBatch:
+        ids = np.concatenate([x for x, _ in kept]).astype(np.uint16).tobytes()
+        size = np.concatenate([np.diff(f) for _, f in kept])
+        return pa.RecordBatch.from_arrays([pa.array([zlib.crc32(ids)], pa.int64()), pa.array([ids], pa.binary()), pa.array([np.concatenate([[0], np.cumsum(size)]).astype(np.int64).tobytes()], pa.binary())], names=["shard", "ids", "first"])
+
+    kept, words = [], 0
+    for batch in batches:
+        for _, texts in slices(batch.column("text"), SLICE):
+            ids, first, n = ids_of(texts, vocabulary)
+            kept.append((ids, first))
+            words += n + len(texts)
+            if words >= most:
+                yield row()
+                kept, words = [], 0
+    if kept:
+        yield row()
 
 
 def _id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = np.zeros(SUBWORDS + 1, dtype=np.int64)
         for raw in batch.column("ids"):
-            n += np.bincount(np.frombuffer(raw.as_py(), dtype=np.int32), minlength=SUBWORDS + 1)
+            n += np.bincount(np.frombuffer(raw.as_py(), dtype=np.uint16), minlength=SUBWORDS + 1)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["id", "n"])
 
@@ -312,28 +346,30 @@ def _unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.nda
     return out
 
 
-def _trained(batches: Iterator[pa.RecordBatch], shared, steps: int, rate: float, turn: int) -> Iterator[pa.RecordBatch]:
-    """Each shard's weights after `steps`, times the shard's number of ids."""
+def _trained(batches: Iterator[pa.RecordBatch], shared, steps: int, rate: float, part: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
+    """Each shard's weights after training on its part, times the shard's number of ids."""
     for batch in batches:
         for shard, raw, starts in zip(*(batch.column(c).to_pylist() for c in ("shard", "ids", "first")), strict=True):
             start = shared.value
             model = Attention({k: v.copy() for k, v in start.w.items()}, start.class_of, start.tail)
-            ids = np.frombuffer(raw, dtype=np.int32).astype(np.int64)
-            model.train(ids, np.frombuffer(starts, dtype=np.int64), steps, seed=6 + 1000 * turn + shard, top_rate=rate)
+            ids = np.frombuffer(raw, dtype=np.uint16).astype(np.int64)
+            model.train(ids, np.frombuffer(starts, dtype=np.int64), steps, seed=6 + shard, top_rate=rate, part=part)
             values = _flat(model.w).astype(np.float64) * len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), len(ids)))], names=["weight", "value", "n"])
 
 
 def learn(texts: DataFrame, words: int, vocabulary: str = VOCABULARY) -> Attention:
-    """A model of training texts (column text, lower-cased) of so many words in all."""
+    """A model of all training texts (column text, lower-cased), of so many words in all."""
+    with scratch(texts.sparkSession):
+        return _learned(texts, words, vocabulary)
+
+
+def _learned(texts: DataFrame, words: int, vocabulary: str) -> Attention:
     spark = texts.sparkSession
-    rate = min(1.0, max(TRAIN_SHARE, TRAIN_LEAST / max(1, words)))
-    shards = max(1, round(words * rate / SHARD_WORDS))
-    # A hash of the row's place, so that rows of one id or text are chosen and dealt one by one.
-    row = F.xxhash64(F.lit("language model"), F.monotonically_increasing_id())
-    sample = texts.withColumn("row", row).filter(F.pmod(F.col("row"), F.lit(1 << 30)) < rate * (1 << 30))
-    dealt = sample.select(F.pmod(F.shiftright("row", 31), F.lit(shards)).cast("int").alias("shard"), "text")
-    ids = stage(dealt.groupBy("shard").applyInArrow(lambda t: _shard(t, vocabulary), "shard int, ids binary, first binary"), "lm-shards")
+    shards = max(1, round(words / SHARD_WORDS))
+    # No task has much less than a shard's words.
+    most = SHARD_WORDS if shards > 1 else float("inf")
+    ids = stage(map_arrow(texts.select("text").coalesce(shards), lambda b: _shards(b, vocabulary, most), "shard long, ids binary, first binary"), "lm-shards")
     counts = np.zeros(SUBWORDS + 1)
     for r in map_arrow(ids.select("ids"), _id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
@@ -341,19 +377,20 @@ def learn(texts: DataFrame, words: int, vocabulary: str = VOCABULARY) -> Attenti
     if not counts.sum():
         return model
 
-    def averaged(part: DataFrame, n: int, steps: int, rate: float, turn: int) -> None:
-        """The model's weights become the mean of those that the part's shards come to, each in a task of its own."""
+    def averaged(rows: DataFrame, steps: int, rate: float, part: tuple[int, int] | None) -> None:
+        """The model's weights become the mean of those that the shards come to."""
         shared = spark.sparkContext.broadcast(model)
-        rows = map_arrow(part.repartitionByRange(n, "shard"), lambda b: _trained(b, shared, steps, rate, turn), "weight long, value double, n long")
+        rows = map_arrow(rows, lambda b: _trained(b, shared, steps, rate, part), "weight long, value double, n long")
         mean = rows.groupBy("weight").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
         values = np.zeros(len(mean))
         values[mean.column("weight").to_numpy()] = mean.column("value").to_numpy()
         model.w = _unflat(values, model.w)
 
     lone = shards == 1
-    averaged(ids.orderBy("shard").limit(1), 1, STEPS if lone else WARM, RATE, 0)
-    for turn in range(1, 1 if lone else ROUNDS + 1):
-        averaged(ids, shards, SHARD_STEPS // ROUNDS, LATE_RATE, turn)
+    # The largest shard, so that it is not what one task had left.
+    averaged(ids.orderBy(F.octet_length("ids").desc(), "shard").limit(1), STEPS if lone else WARM, RATE, (0, 1) if lone else None)
+    for turn in range(0 if lone else ROUNDS):
+        averaged(ids, SHARD_STEPS // ROUNDS, LATE_RATE, (turn, ROUNDS))
     return model
 
 
