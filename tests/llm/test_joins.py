@@ -152,6 +152,29 @@ def test_near_copies_hold_for_long_texts_and_repeats(spark):
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
+def test_near_copies_come_through_fingerprints_first(spark, monkeypatch):
+    """Texts whose fingerprints operator 4 links are the first pairs that are decided; those that are not similar enough still part."""
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(9000)}" for _ in range(3000))
+    alike = [base, varied(rng, base, 1), varied(rng, base, 2), varied(rng, base, 60)]
+    other = [" ".join(f"v{rng.randrange(9000)}" for _ in range(50)) for _ in range(3)]
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate([*alike, *other, base.upper()])]
+    decided, plain = [], jaccard._Links.decide
+
+    def decide(self, pairs):
+        decided.append({(r.a, r.b) for r in pairs.collect()})
+        return plain(self, pairs)
+
+    monkeypatch.setattr(jaccard._Links, "decide", decide)
+    kept = near_copies.keep_one(frame(spark, docs)).collect()
+    rule = jaccard.Rule(5, 80)
+    nodes = [jaccard.node_of(h) for h in rule.sets(pa.array([brute.lower(t) for _, t, *_ in docs], pa.large_string()))]
+    marks = [brute.simhash(t) for _, t, *_ in docs]
+    close = {tuple(sorted((nodes[i], nodes[j]))) for i in range(len(docs)) for j in range(i) if (marks[i] ^ marks[j]).bit_count() <= 4 and nodes[i] != nodes[j]}
+    assert close and decided[0] and decided[0] <= close and {n for p in decided[0] for n in p} == {n for p in close for n in p}
+    assert sorted(r.doc_id for r in kept) == [0, 4, 5, 6]
+
+
 def mined(rows, step=50, k=5, most=3):
     """Rows of (id, label, vector), each once."""
     kept = []

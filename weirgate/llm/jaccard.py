@@ -22,7 +22,7 @@ Arrow each. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -361,8 +361,8 @@ def _in_cells(members: DataFrame, tiles: DataFrame, nodes: DataFrame, rule: Rule
     return map_arrow(cells.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "visits"), lambda x: _tile_pairs(x, rule), "a long, b long")
 
 
-def link(docs: DataFrame, rule: Rule = Rule(), stars: int = STARS) -> tuple[DataFrame, DataFrame]:
-    """The signatures of docs, and node, root for each node that has links. stars: rounds in which the nodes of a tile are compared with one of them, before all are with all."""
+def link(docs: DataFrame, rule: Rule = Rule(), stars: int = STARS, likely: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, and node, root for each node that has links. stars: rounds in which the nodes of a tile are compared with one of them, before all are with all. likely: pairs a < b of nodes, found in another way from the signatures, that are decided first."""
     signed, buckets = signatures(docs, rule)
     nodes = stage(signed.filter("size > 0").groupBy("node").agg(F.min(F.struct(_own_key().alias("own_key"), "size", "bitmap")).alias("x")).select("node", "x.*"), "jaccard-nodes")
     counts = buckets.toArrow()  # BUCKETS rows at most
@@ -377,6 +377,8 @@ def link(docs: DataFrame, rule: Rule = Rule(), stars: int = STARS) -> tuple[Data
     members = stage(shared.join(tiles, "tile"), "jaccard-members")
 
     links = _Links(docs, nodes, rule)
+    if likely is not None:
+        links.decide(likely(signed))
     mapped = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bitmap").alias(f"map_{c}"))
     pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links.decide(map_arrow(pairs.join(mapped("a"), "a").join(mapped("b"), "b"), lambda x: _maybe(x, rule), "a long, b long"))

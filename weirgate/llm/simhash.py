@@ -186,9 +186,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
-def link(fps: DataFrame) -> DataFrame:
-    """fps: doc_id, fp. Returns fp, n_docs, component_id, component_key for each distinct fingerprint; the key, one fingerprint of the component, is unique to it."""
-    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs")), "simhash-distinct")
+def edges(distinct: DataFrame) -> DataFrame:
+    """distinct: fp, each once. Returns a, b: for each cell a spanning forest of the fingerprints that link in it."""
     hot = map_arrow(distinct.select("fp"), _homes, "anchor long").groupBy("anchor").count().filter(F.col("count") > CELL)
     hot = stage(hot.select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("count") / CELL).cast("int").alias("cells")), "simhash-hot")
     hot = F.broadcast(hot) if hot.count() <= FEW_HOT else hot
@@ -198,8 +197,13 @@ def link(fps: DataFrame) -> DataFrame:
     copies = copies.select("anchor", "visits", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
     resident = F.col("visits") == 0
     copies = copies.select("anchor", F.when(resident, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(resident, F.col("other")).otherwise(F.col("own")).alias("j"), "visits", "fp")
-    edges = map_arrow(copies.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "visits"), _compare, "a long, b long")
-    roots = components(edges)
+    return map_arrow(copies.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "visits"), _compare, "a long, b long")
+
+
+def link(fps: DataFrame) -> DataFrame:
+    """fps: doc_id, fp. Returns fp, n_docs, component_id, component_key for each distinct fingerprint; the key, one fingerprint of the component, is unique to it."""
+    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs")), "simhash-distinct")
+    roots = components(edges(distinct))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
     linked = linked.join(least, "root").select("fp", "root", "linked_id")
