@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,27 @@ def test_line_dedup_of_repeated_rows_and_clashing_names(spark):
     kept = line_dedup.keep_new(df)
     assert kept.columns == df.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text) == [(1, text), (2, "short"), (2, "short")]
+
+
+def test_common_prefixes_of_suffixes(spark):
+    """Every suffix in order, and its whole common prefix with the one before, to the end of its segment."""
+    rng = random.Random(6)
+    lines = {d: [(i, rng.choice([3, 5, 5, 5, 8])) for i in range(40) if i % 13] for d in range(6)}
+    lines[6] = list(lines[2])
+    rows = [(d, i, r, 1) for d, of in lines.items() for i, r in of]
+    got = line_dedup.common_prefixes(spark.createDataFrame(rows, "doc long, idx int, r0 long, size int").repartition(3)).collect()
+
+    def suffix(d, i):
+        of = dict(lines[d])
+        out = []
+        while i in of:
+            out.append(of[i])
+            i += 1
+        return out
+
+    want = sorted((suffix(d, i), d, i) for d, i, *_ in rows)
+    got = sorted(got, key=lambda r: r.at)
+    assert [(r.doc, r.idx) for r in got] == [(d, i) for _, d, i in want]
+    for (x, *_), (y, *_), r in zip(want[:-1], want[1:], got[1:], strict=True):
+        n = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        assert r.lcp == n

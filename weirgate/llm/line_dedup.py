@@ -1,12 +1,12 @@
 """Operator 8: repeated runs of lines, by a suffix array over line ids and distributed prefix doubling.
 
-A document is the sequence of its lines that hold a word. Lines get ranks in the order of their ids, then
-runs of 2, 4, 8 ... lines from every place get the rank of their pair of half runs: prefix doubling, one
-range-partitioned sort of the distinct pairs a round. A suffix that no other shares so far has no rank and
-leaves. Rounds end when runs are as long as the shortest run that counts: the fewest lines with MIN_WORDS
-words. Places whose runs have equal ranks (a run of L lines has those of its first and last 2^j lines) form
-an interval whose common prefix is at least that run; how much longer it is needs no computing, as the places after
-it give it. All but an interval's first place, by doc_id and line, are later copies. What later copies cover is
+A document is the sequence of its lines that hold a word; lines that occur once part it into segments. Lines get ranks in the
+order of their ids, then runs of 2, 4, 8 ... lines from every place, or of fewer up to the segment's end, get the rank of
+their pair of half runs: prefix doubling, one range-partitioned sort of the distinct pairs a round. Rounds end when no run
+within its segment is shared, so that the last ranks are the order of all suffixes. Each suffix's longest common prefix with the one before
+it in that order is found from the longest runs to the shortest: where both have one of equal rank, the prefix grows by
+it. A run counts if it holds MIN_WORDS words; suffixes whose common prefixes hold the shortest run that counts form
+an interval. All but its first place, by doc_id and line, are later copies. What later copies cover is
 deleted; overlapping copies together make up the maximal repeated runs.
 
 Only DataFrame functions. No window spans more than one document; counts and minima combine before the
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.llm.shared import SPACED_WORD, packed, stage
+from weirgate.operators.ordinal import lagged, running, with_ordinal
 
 MIN_WORDS = 25
 
@@ -68,37 +69,54 @@ def shortest_runs(places: DataFrame, min_words: int) -> DataFrame:
     return found.withColumn("size", F.when(whole, F.col("run.n").cast("int"))).drop("before", "run")
 
 
-def doubled(places: DataFrame, level: int) -> DataFrame:
-    """Adds the rank r<level + 1> of the 2 ** (level + 1) lines from each place, null where no other place has them."""
+def doubled(ranks: DataFrame, level: int) -> DataFrame:
+    """doc, idx, rank, whole of the runs of 2 ** (level + 1) lines from each place, of those of half as many; whole: the segment has so many."""
     reach = 1 << level
     by_line = Window.partitionBy("doc").orderBy("idx")
-    second = F.when(F.lead("idx", reach).over(by_line) == F.col("idx") + reach, F.lead(f"r{level}", reach).over(by_line))
-    paired = stage(places.withColumn("second", second), "lines-paired")
-    pairs = paired.filter(F.col(f"r{level}").isNotNull() & F.col("second").isNotNull()).groupBy(F.col(f"r{level}").alias("a"), F.col("second").alias("b")).count()
-    ranks = ranked(pairs.filter("count > 1").select("a", "b"), f"line-runs-{level}").withColumnRenamed("rank", f"r{level + 1}")
-    return paired.join(ranks, (F.col(f"r{level}") == F.col("a")) & (F.col("second") == F.col("b")), "left").drop("a", "b", "second")
+    on = lambda n, c: F.when(F.lead("idx", n).over(by_line) == F.col("idx") + n, F.lead(c, n).over(by_line))
+    paired = ranks.select("doc", "idx", F.col("rank").alias("a"), F.coalesce(on(reach, "rank"), F.lit(-1)).alias("b"), on(2 * reach - 1, "idx").isNotNull().alias("whole"))
+    paired = stage(paired, "lines-paired")
+    pairs = ranked(paired.select("a", "b").distinct(), f"line-runs-{level}")
+    return stage(paired.join(pairs, ["a", "b"]).select("doc", "idx", "rank", "whole"), "lines-doubled")
+
+
+def suffix_ranks(places: DataFrame) -> list[DataFrame]:
+    """Ranks by level, 2 ** level lines each; the last are the order of the suffixes, equal ones together."""
+    levels = [places.select("doc", "idx", F.col("r0").alias("rank"), F.lit(True).alias("whole"))]
+    while not levels[-1].filter("whole").groupBy("rank").count().filter("count > 1").isEmpty():
+        levels.append(doubled(levels[-1], len(levels) - 1))
+    return levels
+
+
+def common_prefixes(places: DataFrame) -> DataFrame:
+    """places in the order of their suffixes, with `at` from 0, its `part`, and lcp: the lines of the longest common prefix with the suffix before; null on the first, and for places without a size."""
+    levels = suffix_ranks(places)
+    ordered = places.join(levels[-1].select("doc", "idx", "rank"), ["doc", "idx"]).select("doc", "idx", "size", "rank")
+    ordered = with_ordinal(ordered, [F.col(c) for c in ("rank", "doc", "idx")], "at", keep=True).withColumn("here", F.struct("doc", "idx"))
+    ordered = stage(lagged(ordered, "here", "at", "above").drop("here", "rank"), "line-suffixes")
+    pairs = ordered.filter("size is not null and above is not null").select("at", "doc", "idx", F.col("above.doc").alias("doc_2"), F.col("above.idx").alias("idx_2"), F.lit(0).alias("lcp"))
+    for level in reversed(range(len(levels))):
+        runs = levels[level].filter("whole")
+        first, second = (runs.select(F.col("doc").alias(f"d{i}"), F.col("idx").alias(f"i{i}"), F.col("rank").alias(f"k{i}")) for i in (1, 2))
+        met = pairs.join(first, (F.col("doc") == F.col("d1")) & (F.col("idx") + F.col("lcp") == F.col("i1")), "left")
+        met = met.join(second, (F.col("doc_2") == F.col("d2")) & (F.col("idx_2") + F.col("lcp") == F.col("i2")), "left")
+        longer = F.col("lcp") + F.when(F.col("k1") == F.col("k2"), 1 << level).otherwise(0)
+        pairs = stage(met.select("at", "doc", "idx", "doc_2", "idx_2", longer.alias("lcp")), "line-prefixes")
+    return ordered.drop("above").join(pairs.select("at", "lcp"), "at", "left")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, row_key, lines: the numbers of the lines of each document that a later copy covers."""
     places, order = repeated_lines(docs)
     places = stage(shortest_runs(places, min_words), "lines-sized")
-    longest = places.agg(F.max("size").alias("n")).first()["n"] or 1
-    levels = longest.bit_length()
-    for level in range(levels - 1):
-        places = stage(doubled(places, level), "lines-doubled")
-    # A run of `size` lines: the ranks of its first and its last 2 ** level lines.
-    ranks = F.array(*[f"r{i}" for i in range(levels)])
-    level = F.floor(F.log2("size") + 1e-9).cast("int")
-    starts = places.filter("size is not null").withColumn("level", level).withColumn("head", F.get(ranks, F.col("level"))).filter("head is not null")
-    starts = starts.select("doc", "idx", "size", "level", "head", (F.col("idx") + F.col("size") - F.pow(F.lit(2), F.col("level")).cast("int")).alias("tail_idx"))
-    tails = places.select(F.col("doc").alias("tail_doc"), F.col("idx").alias("at"), ranks.alias("ranks"))
-    runs = starts.join(tails, (F.col("doc") == F.col("tail_doc")) & (F.col("tail_idx") == F.col("at"))).withColumn("tail", F.get("ranks", F.col("level"))).filter("tail is not null")
-    runs = stage(runs.select("doc", "idx", "size", "head", "tail"), "line-runs")
-    first = runs.groupBy(F.col("size").alias("s"), F.col("head").alias("h"), F.col("tail").alias("t")).agg(F.min(F.struct("doc", "idx")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # An interval begins where the common prefix does not hold the shortest run that counts.
+    begins = F.when(F.coalesce(F.col("lcp") >= F.col("size"), F.lit(False)), F.lit(None)).otherwise(F.col("at"))
+    found = stage(common_prefixes(places).withColumn("begins", begins), "line-intervals")
+    runs = stage(running(found, "begins", "at", "interval", most=True).filter("size is not null").select("doc", "idx", "size", "interval"), "line-runs")
+    first = runs.groupBy(F.col("interval").alias("of")).agg(F.min(F.struct("doc", "idx")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # A table, so that the join reads two plain shuffles, whose hot keys adaptive execution can split.
     first = stage(first, "line-firsts")
-    later = runs.join(first, (F.col("size") == F.col("s")) & (F.col("head") == F.col("h")) & (F.col("tail") == F.col("t"))).filter(F.struct("doc", "idx") != F.col("first"))
+    later = runs.join(first, F.col("interval") == F.col("of")).filter(F.struct("doc", "idx") != F.col("first"))
     covered = later.select("doc", F.explode(F.sequence(F.col("idx"), F.col("idx") + F.col("size") - 1)).alias("idx")).distinct()
     covered = covered.join(places.select("doc", "idx", "line_no"), ["doc", "idx"]).groupBy("doc").agg(F.collect_list("line_no").alias("lines"))
     return covered.join(order, "doc").select("doc_id", "row_key", "lines")
