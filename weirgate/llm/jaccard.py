@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import SPACED, gram_hashes, mix, slices, split_words
 from weirgate.llm.components import components
-from weirgate.llm.shared import SPACED_WORD, UPPER, join_hot, map_arrow, stage
+from weirgate.llm.shared import SPACED_WORD, UPPER, few, join_hot, map_arrow, stage
+from weirgate.materialize import scratch
 
 #: Buckets by which common shingles are told from rare ones: their counts are broadcast, 0.5 MB.
 BUCKETS = 1 << 16
@@ -322,18 +323,19 @@ class _Links:
         """Pairs that may link, each decided once; whether there were any new ones."""
         pairs = pairs.distinct()
         pairs = stage(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if pairs.isEmpty():
+        if not (n := pairs.count()):
             return False
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         rule = self.rule
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * n)
         a, b = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
         self.add(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), lambda x: _exact(x, rule), "a long, b long"))
         return True
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """node, set for each of the nodes, from a text that has it."""
-        wanted = nodes.distinct().join(self.nodes.select("node", "own_key"), "node")
+    def sets(self, nodes: DataFrame, most: int) -> DataFrame:
+        """node, set for each of the nodes, `most` at most, from a text that has it."""
+        # A table, so that texts are not shuffled where it is small.
+        wanted = stage(few(nodes.distinct().join(self.nodes.select("node", "own_key"), "node"), most), "jaccard-wanted")
         texts = _texts(self.docs).withColumn("own_key", _own_key()).join(wanted, "own_key").select("node", "text")
         rule = self.rule
         return stage(map_arrow(texts, lambda b: _whole_sets(b, rule), "node long, set binary").dropDuplicates(["node"]), "jaccard-sets")
@@ -364,17 +366,25 @@ def _in_cells(members: DataFrame, tiles: DataFrame, nodes: DataFrame, rule: Rule
 def link(docs: DataFrame, rule: Rule = Rule(), stars: int = STARS, likely: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The signatures of docs, and node, root for each node that has links. stars: rounds in which the nodes of a tile are compared with one of them, before all are with all. likely: pairs a < b of nodes, found in another way from the signatures, that are decided first."""
     signed, buckets = signatures(docs, rule)
+    with scratch(docs.sparkSession):
+        return signed, stage(_roots(docs, signed, buckets, rule, stars, likely), "jaccard-roots", outer=True)
+
+
+def _roots(docs: DataFrame, signed: DataFrame, buckets: DataFrame, rule: Rule, stars: int, likely: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """node, root for each node that has links; its tables are scratch."""
     nodes = stage(signed.filter("size > 0").groupBy("node").agg(F.min(F.struct(_own_key().alias("own_key"), "size", "bitmap")).alias("x")).select("node", "x.*"), "jaccard-nodes")
     counts = buckets.toArrow()  # BUCKETS rows at most
     common = np.zeros(BUCKETS, dtype=np.int64)
     common[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(common)
-    postings = stage(map_arrow(_texts(docs).select("text"), lambda b: _postings(b, rule, sent), "tile long, node long"), "jaccard-postings")
-    # Most tiles have one row. Of those left, some have one node: equal sets from several tasks.
-    several = postings.groupBy("tile").agg(F.count("*").alias("n")).filter("n > 1").select("tile")
-    shared = stage(postings.join(several, "tile").distinct(), "jaccard-shared")
-    tiles = shared.groupBy("tile").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("tile", "centre")
-    members = stage(shared.join(tiles, "tile"), "jaccard-members")
+    # Postings are the largest of the tables, so they go first.
+    with scratch(docs.sparkSession):
+        postings = stage(map_arrow(_texts(docs).select("text"), lambda b: _postings(b, rule, sent), "tile long, node long"), "jaccard-postings")
+        # Most tiles have one row. Of those left, some have one node: equal sets from several tasks.
+        several = postings.groupBy("tile").agg(F.count("*").alias("n")).filter("n > 1").select("tile")
+        shared = stage(postings.join(several, "tile").distinct(), "jaccard-shared")
+        tiles = shared.groupBy("tile").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("tile", "centre")
+        members = stage(shared.join(tiles, "tile"), "jaccard-members", outer=True)
 
     links = _Links(docs, nodes, rule)
     if likely is not None:
@@ -399,12 +409,12 @@ def link(docs: DataFrame, rule: Rule = Rule(), stars: int = STARS, likely: Calla
         at = stage(labelled.join(hot, "tile"), "jaccard-hot-members")
         sized = at.join(nodes.select("node", "size"), "node").groupBy("tile").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
         cells = sized.select("tile", F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("shingles") * 8 / CELL_BYTES)).cast("int").alias("cells"))
-        links.add(_in_cells(at, cells, links.sets(at.select("node")).withColumn("size", (F.octet_length("set") / 8).cast("long")), rule))
+        links.add(_in_cells(at, cells, links.sets(at.select("node"), at.count()).withColumn("size", (F.octet_length("set") / 8).cast("long")), rule))
         roots = components(links.found)
         labelled, open_tiles = _open(members.join(hot, "tile", "left_anti"), roots)
     cells = open_tiles.select("tile", F.ceil(F.col("size") / CELL).cast("int").alias("cells"))
     pairs = _in_cells(labelled, cells, nodes.select("node", "size", "bitmap"), rule)
-    return signed, components(links.found) if links.decide(pairs) else roots
+    return components(links.found) if links.decide(pairs) else roots
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
