@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
+from weirgate import materialize
 from weirgate.llm import components, decontam, fingerprints, line_dedup, near_copies, simhash
 
 SEEDS = (1, 2)
@@ -283,3 +284,41 @@ def test_common_prefixes_of_suffixes(spark):
     for (x, *_), (y, *_), r in zip(want[:-1], want[1:], got[1:], strict=True):
         n = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
         assert r.lcp == n
+
+
+def test_components_of_hubs_take_a_round_and_few_files(spark, tmp_path, monkeypatch):
+    """Leaves of a hub are one label after one round; a small table is not spread over all of a shuffle's partitions, and only the last one stays."""
+    from pathlib import Path
+
+    monkeypatch.setattr(materialize, "shared_dir", lambda _: str(tmp_path))
+    rounds, plain = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name: rounds.append((name, plain(df, name))) or rounds[-1][1])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(old, ("40", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(2000).selectExpr("id % 3 - 3 as a", "id as b")
+        got = components.components(edges)
+        assert got.select("root").distinct().count() == 3 and got.count() == 2003
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [name for name, _ in rounds].count("labels") == 1
+    assert max(len(df.inputFiles()) for name, df in rounds if name in ("labels", "roots")) <= spark.sparkContext.defaultParallelism
+    assert len(list(Path(tmp_path).iterdir())) == 1
+
+
+def test_tables_on_the_way_go(spark, tmp_path, monkeypatch):
+    """What a stage of the pipeline leaves is what its result is read from."""
+    from pathlib import Path
+
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(10)) for i in range(6))
+    df = spark.createDataFrame([(1, text, 5), (2, text + "\nmore of it", 5), (3, "a b c d e f g", 7)], "doc_id long, text string, n_chars int")
+    monkeypatch.setattr(materialize, "shared_dir", lambda _: str(tmp_path))
+    left = lambda: sorted(p.name.rsplit("-", 1)[0] for p in Path(tmp_path).iterdir())
+    lines = line_dedup.keep_new(df)
+    assert left() == ["line-later"]
+    assert lines.count() == 3
+    one = near_copies.keep_one(df)
+    assert left() == ["jaccard-roots", "jaccard-signed", "line-later"]
+    assert sorted(r.doc_id for r in one.collect()) == [1, 3]

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirgate.llm.shared import SPACED_WORD, packed, stage
+from weirgate.materialize import scratch
 from weirgate.operators.ordinal import lagged, running, with_ordinal
 
 MIN_WORDS = 25
@@ -106,7 +107,12 @@ def common_prefixes(places: DataFrame) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, row_key, lines: the numbers of the lines of each document that a later copy covers."""
+    """doc_id, row_key, lines: the numbers of the lines of each document that a later copy covers. A table; those on the way go."""
+    with scratch(docs.sparkSession):
+        return stage(_later_copies(docs, min_words), "line-later", outer=True)
+
+
+def _later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     places, order = repeated_lines(docs)
     places = stage(shortest_runs(places, min_words), "lines-sized")
     # An interval begins where the common prefix does not hold the shortest run that counts.
