@@ -221,6 +221,25 @@ def test_probabilities_of_all_ids_sum_to_one(model):
     assert np.allclose(some, 10.0 ** every[::13], rtol=1e-3)
 
 
+def test_words_are_cut_in_lots(monkeypatch):
+    """Few calls of the encoder for many words, with the ids of each word alone, whatever white space beside ASCII's stands in one."""
+    plain, calls = attention_lm.encoder(attention_lm.VOCABULARY), []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return plain.encode_ordinary(text)
+
+    monkeypatch.setattr(attention_lm, "encoder", lambda _: Counted())
+    words = [w.encode() for _, t, *_ in brute.rows(2) if t for w in brute.spaced(t) if not any(c.isspace() for c in w)]
+    words += [b"it's", b"12ab!?", "\u00e9\u0301".encode(), b"'s", b"\x00"]
+    for some, most in ((words, 1 + len(words) // attention_lm.LOT), ([], 0), ([*words[:50], "a\u00a0".encode(), "\u3000b".encode(), b"\x1c", b"c"], 54)):
+        calls.clear()
+        ids, first = attention_lm.subwords(some, attention_lm.VOCABULARY)
+        assert len(calls) <= most and len(first) == len(some) + 1
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [plain.encode_ordinary(" " + w.decode()) for w in some]
+
+
 def test_windows_score_each_id_once_whatever_stands_beside(model):
     rng = np.random.default_rng(1)
     sizes = [1, 15, 16, 17, 32, 33, 200]

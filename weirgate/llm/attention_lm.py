@@ -31,6 +31,7 @@ its words and scores are held at once.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import SPACED, Words, slices, split_words
 from weirgate.llm.shared import ascii_lower, bucket_of, map_arrow, stage
-from weirgate.llm.vocabulary import VOCABULARY, encoder
+from weirgate.llm.vocabulary import VOCABULARY, encoder, sizes
 from weirgate.materialize import scratch
 
 FOLDS, HELD_OUT = 7, 2
@@ -61,6 +62,9 @@ AT_ONCE = 256
 #: Bytes of text that are scored at once, and distinct words that a task tallies before it gives them out.
 SLICE = 1 << 20
 TALLY = 1 << 19
+#: Words that are cut into subwords in one call.
+LOT = 4096
+_OTHER_SPACE = re.compile(r"[^\S ]")
 
 
 class Attention:
@@ -79,79 +83,97 @@ class Attention:
         return cls(w, class_of, tail)
 
     def forward(self, seen: np.ndarray, hidden: np.ndarray) -> dict[str, np.ndarray]:
-        """seen: windows x (CONTEXT + STEP) classes; hidden: which of them are padding. What comes before the logits of the STEP last places."""
-        w = self.w
-        x = w["E"][seen] + w["P"]
-        late = x[:, CONTEXT:]
-        q, k, v = late @ w["Q"], x @ w["K"], x @ w["V"]
-        s = (q @ k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5)
-        s += _MASK
-        s += hidden[:, None, :] * np.float32(-1e9)
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        o = s @ v
+        """seen: windows x (CONTEXT + STEP) classes; hidden: which of them are padding. What comes before the logits of the STEP last places.
+
+        x, q, kv and e by window, the rest a row for each late place; e: exponents of what is seen, 1 / inv their sum over a row.
+        """
+        w, n = self.w, len(seen)
+        x = w["E"].take(seen, axis=0)
+        x += w["P"]
+        late = x[:, CONTEXT:].reshape(-1, WIDTH)
+        q = (late @ (w["Q"] * _SCALE)).reshape(n, STEP, WIDTH)
+        kv = (x.reshape(-1, WIDTH) @ np.concatenate([w["K"], w["V"]], axis=1)).reshape(n, CONTEXT + STEP, 2 * WIDTH)
+        e = _exp(q @ kv[..., :WIDTH].transpose(0, 2, 1))
+        _hide(e, hidden)
+        # A row that sees nothing is padding, and is not counted.
+        inv = 1 / np.maximum(_row_sums(e), np.float32(1e-30))
+        o = (e @ kv[..., WIDTH:]).reshape(-1, WIDTH)
+        o *= inv
         h = late + o @ w["O"]
-        m = np.maximum(h @ w["A"] + w["a"], 0)
+        m = h @ w["A"]
+        m += w["a"]
+        np.maximum(m, 0, out=m)
         z = h + m @ w["B"]
-        return {"x": x, "q": q, "k": k, "v": v, "s": s, "o": o, "h": h, "m": m, "z": z}
+        return {"x": x, "late": late, "q": q, "kv": kv, "e": e, "inv": inv, "o": o, "h": h, "m": m, "z": z}
 
     def gradients(self, seen: np.ndarray, hidden: np.ndarray, wanted: np.ndarray, counts: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Of the mean negative log likelihood of `wanted` where `counts`."""
         w, f = self.w, self.forward(seen, hidden)
-        want = wanted[counts]
-        # In the order of the groups, so that each is a slice.
-        order = np.argsort(want // SIDE, kind="stable")
-        z, (group, side) = f["z"][counts][order], np.divmod(want[order], SIDE)
+        rows, want, group, members = _by_group(wanted, counts)
+        z, side = f["z"].take(rows, axis=0), want - group * SIDE
         each, n = np.arange(len(want)), max(1, len(want))
 
         def errors(y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-            p = np.exp(y - y.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            lost = -np.log(np.maximum(p[each, at], 1e-30)).sum() / n
-            p[each, at] -= 1
-            return p / n, lost
+            own = y[each, at]
+            p = _exp(y)
+            total = _row_sums(p)
+            p *= 1 / (total * n)
+            p[each, at] -= 1 / n
+            return p, float((np.log(total[:, 0]) - own).sum()) / n
 
         dg, lost_group = errors(z @ w["G"] + w["g"], group)
-        ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
-        members = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        y = w["b"][group]
-        for i, own in enumerate(members):
-            y[own] += z[own] @ w["U"][i]
-        dy, lost_side = errors(y, side)
+        dy, lost_side = errors(self._sides(z, members), side)
         loss = lost_group + lost_side
-        g = {"G": z.T @ dg, "g": dg.sum(axis=0), "U": np.zeros_like(w["U"]), "b": np.zeros_like(w["b"])}
-        late = dg @ w["G"].T
+        ones = np.ones(len(want), z.dtype)
+        g = {"G": z.T @ dg, "g": ones @ dg, "U": np.empty_like(w["U"]), "b": np.empty_like(w["b"])}
+        late, inner = dg @ w["G"].T, np.empty_like(z)
         for i, own in enumerate(members):
-            g["U"][i], g["b"][i] = z[own].T @ dy[own], dy[own].sum(axis=0)
-            late[own] += dy[own] @ w["U"][i].T
+            np.matmul(z[own].T, dy[own], out=g["U"][i])
+            np.matmul(ones[own], dy[own], out=g["b"][i])
+            np.matmul(dy[own], w["U"][i].T, out=inner[own])
+        late += inner
         dz = np.zeros_like(f["z"])
-        back = np.empty_like(late)
-        back[order] = late
-        dz[counts] = back
-
-        def outer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
+        dz[rows] = late
 
-        dm = (dz @ w["B"].T) * (f["m"] > 0)
-        g |= {"B": outer(f["m"], dz), "A": outer(f["h"], dm), "a": dm.sum(axis=(0, 1))}
+        dm = dz @ w["B"].T
+        dm *= f["m"] > 0
+        g |= {"B": f["m"].T @ dz, "A": f["h"].T @ dm, "a": np.ones(len(dm), dm.dtype) @ dm}
         dh = dz + dm @ w["A"].T
+        g["O"] = f["o"].T @ dh
+        # The sums of exponents are divided out in rows of WIDTH, not in those of all places seen.
         do = dh @ w["O"].T
-        g["O"] = outer(f["o"], dh)
-        ds = do @ f["v"].transpose(0, 2, 1)
-        dv = f["s"].transpose(0, 2, 1) @ do
-        ds = f["s"] * (ds - (ds * f["s"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        g |= {"Q": outer(f["x"][:, CONTEXT:], dq), "K": outer(f["x"], dk), "V": outer(f["x"], dv)}
-        dx = dk @ w["K"].T + dv @ w["V"].T
-        dx[:, CONTEXT:] += dh + dq @ w["Q"].T
+        do *= f["inv"]
+        within = np.einsum("ij,ij->i", do, f["o"]).reshape(len(seen), STEP, 1)
+        do = do.reshape(len(seen), STEP, WIDTH)
+        ds = do @ f["kv"][..., WIDTH:].transpose(0, 2, 1)
+        ds -= within
+        ds *= f["e"]
+        dkv = np.empty_like(f["kv"])
+        dkv[..., :WIDTH] = ds.transpose(0, 2, 1) @ f["q"]
+        dkv[..., WIDTH:] = f["e"].transpose(0, 2, 1) @ do
+        dq = (ds @ f["kv"][..., :WIDTH]).reshape(-1, WIDTH)
+        dkv = dkv.reshape(-1, 2 * WIDTH)
+        g["Q"] = (f["late"].T @ dq) * _SCALE
+        g["K"], g["V"] = np.split(f["x"].reshape(-1, WIDTH).T @ dkv, 2, axis=1)
+        dx = (dkv @ np.concatenate([w["K"], w["V"]], axis=1).T).reshape(f["x"].shape)
+        dx[:, CONTEXT:] += (dh + dq @ (w["Q"] * _SCALE).T).reshape(len(seen), STEP, WIDTH)
         g["P"] = dx.sum(axis=0)
         g["E"] = np.zeros_like(w["E"])
-        order = np.argsort(seen, axis=None, kind="stable")
-        classes = seen.ravel()[order]
+        classes = seen.ravel().astype(np.int16)
+        order = np.argsort(classes, kind="stable")
+        classes = classes[order]
         new = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
-        g["E"][classes[new]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], new, axis=0)
-        return g, float(loss)
+        g["E"][classes[new]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), new, axis=0)
+        return g, loss
+
+    def _sides(self, z: np.ndarray, members: list[slice]) -> np.ndarray:
+        """Logits within their groups of rows in the order of the groups."""
+        w = self.w
+        y = np.empty((len(z), SIDE), z.dtype)
+        for i, own in enumerate(members):
+            np.matmul(z[own], w["U"][i], out=y[own])
+        y += np.repeat(w["b"], [own.stop - own.start for own in members], axis=0)
+        return y
 
     def train(self, ids: np.ndarray, first: np.ndarray, steps: int = STEPS, seed: int = 6, top_rate: float = RATE, part: tuple[int, int] | None = (0, 1)) -> list[float]:
         """ids of texts, each with its end; Adam over windows in random order.
@@ -164,17 +186,29 @@ class Attention:
         if part is not None:
             order = order[len(order) * part[0] // part[1] : len(order) * (part[0] + 1) // part[1]]
             steps = max(steps, -(-len(order) // BATCH)) if len(order) else 0
-        m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
+        flat = _flat(self.w)
+        self.w = _views(flat, self.w)
+        m, v = np.zeros_like(flat), np.zeros_like(flat)
         losses = []
         for step in range(1, steps + 1):
             at = order[np.arange((step - 1) * BATCH, step * BATCH) % len(order)]
             g, loss = self.gradients(seen[at], hidden[at], wanted[at], counts[at])
             losses.append(loss)
             rate = top_rate * min(1, step / 50) * (1 - 0.9 * step / steps)
-            for k in self.w:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                self.w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            slope = _flat(g)
+            m *= 0.9
+            m += 0.1 * slope
+            v *= 0.99
+            slope *= slope
+            slope *= 0.01
+            v += slope
+            # In place: slope is the divisor from here on.
+            np.multiply(v, 1 / (1 - 0.99**step), out=slope)
+            np.sqrt(slope, out=slope)
+            slope += 1e-8
+            np.divide(m, slope, out=slope)
+            slope *= rate / (1 - 0.9**step)
+            flat -= slope
         return losses
 
     def log10(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -182,49 +216,72 @@ class Attention:
 
         What depends on a class or a place alone is multiplied out once; exponents are small enough to need no shift.
         """
-        w, scale = self.w, np.float32(WIDTH**-0.5)
-        late = np.concatenate([w["E"], w["E"] @ w["Q"] * scale], axis=1)
-        late_place = np.concatenate([w["P"], w["P"] @ w["Q"] * scale], axis=1)[CONTEXT:]
+        w = self.w
+        late = np.concatenate([w["E"], w["E"] @ w["Q"] * _SCALE], axis=1)
+        late_place = np.concatenate([w["P"], w["P"] @ w["Q"] * _SCALE], axis=1)[CONTEXT:]
         pair = np.concatenate([w["E"] @ w["K"], w["E"] @ w["V"] @ w["O"]], axis=1)
         pair_place = np.concatenate([w["P"] @ w["K"], w["P"] @ w["V"] @ w["O"]], axis=1)
-        mask = np.exp(_MASK)
         out = np.zeros(len(ids))
         seen, hidden, wanted, counts, place = windows(self.class_of[ids], first)
         for lo in range(0, len(seen), AT_ONCE):
             part = slice(lo, lo + AT_ONCE)
-            x = late[seen[part, CONTEXT:]] + late_place
-            kv = pair[seen[part]] + pair_place
-            s = np.matmul(x[..., WIDTH:], kv[..., :WIDTH].transpose(0, 2, 1))
-            np.exp(s, out=s)
-            s *= mask
-            s *= ~hidden[part, None, :]
-            o = np.matmul(s, kv[..., WIDTH:])
+            x = late.take(seen[part, CONTEXT:], axis=0)
+            x += late_place
+            kv = pair.take(seen[part], axis=0)
+            kv += pair_place
+            e = _exp(x[..., WIDTH:] @ kv[..., :WIDTH].transpose(0, 2, 1))
+            _hide(e, hidden[part])
+            h = (e @ kv[..., WIDTH:]).reshape(-1, WIDTH)
             # A row that sees nothing is padding, and is not counted.
-            o /= np.maximum(s.sum(axis=2, keepdims=True), np.float32(1e-30))
-            use = counts[part]
-            h = (x[..., :WIDTH] + o)[use]
-            z = h + np.maximum(h @ w["A"] + w["a"], 0) @ w["B"]
-            group, side = np.divmod(wanted[part][use], SIDE)
-            y = z @ w["G"] + w["g"]
-            got = y[np.arange(len(y)), group]
-            np.exp(y, out=y)
-            got -= np.log(y.sum(axis=1))
-            order = np.argsort(group, kind="stable")
-            z, side = z[order], side[order]
-            ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-            inner = np.empty((len(z), SIDE), dtype=z.dtype)
-            for i in np.unique(group).tolist():
-                own = slice(ends[i], ends[i + 1])
-                np.matmul(z[own], w["U"][i], out=inner[own])
-                inner[own] += w["b"][i]
-            own_log = inner[np.arange(len(inner)), side]
-            np.exp(inner, out=inner)
-            got[order] += own_log - np.log(inner.sum(axis=1))
-            out[place[part][use]] = got
+            h /= np.maximum(_row_sums(e), np.float32(1e-30))
+            h += x[..., :WIDTH].reshape(-1, WIDTH)
+            rows, want, group, members = _by_group(wanted[part], counts[part])
+            h = h.take(rows, axis=0)
+            m = h @ w["A"]
+            m += w["a"]
+            z = h + np.maximum(m, 0, out=m) @ w["B"]
+            each = np.arange(len(want))
+            got = np.zeros(len(want), z.dtype)
+            for y, at in ((z @ w["G"] + w["g"], group), (self._sides(z, members), want - group * SIDE)):
+                got += y[each, at]
+                got -= np.log(_row_sums(_exp(y))[:, 0])
+            out[place[part].ravel()[rows]] = got
         return out / np.log(10) + self.tail[ids]
 
 
-_MASK = np.where(np.arange(CONTEXT + STEP)[None, :] > CONTEXT + np.arange(STEP)[:, None], np.float32(-1e9), np.float32(0))
+_SEEN = (np.arange(CONTEXT + STEP)[None, :] <= CONTEXT + np.arange(STEP)[:, None]).astype(np.float32)
+_SCALE = np.float32(WIDTH**-0.5)
+#: Logits are small and need no shift before they are exponents; none of a model that went astray makes them infinite.
+MOST_LOGIT = np.float32(80)
+
+
+def _exp(y: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.minimum(y, MOST_LOGIT, out=y)
+    return np.exp(y, out=y)
+
+
+def _row_sums(y: np.ndarray) -> np.ndarray:
+    """Of the last axis, as one column; a product with ones, which takes a fifth of a sum's time."""
+    return y.reshape(-1, y.shape[-1]) @ np.ones((y.shape[-1], 1), y.dtype)
+
+
+def _hide(e: np.ndarray, hidden: np.ndarray) -> None:
+    """What a place can't see counts nothing, in place: later places, and padding, which few windows have."""
+    e *= _SEEN
+    some = np.flatnonzero(hidden.any(axis=1))
+    e[some] *= ~hidden[some, None, :]
+
+
+def _by_group(wanted: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[slice]]:
+    """The late places that count, in the order of their wanted classes' groups; those classes, their groups, and each group's slice."""
+    rows = np.flatnonzero(counts)
+    want = wanted.ravel()[rows]
+    group = want // SIDE
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    rows, want, group = rows[order], want[order], group[order]
+    ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    return rows, want, group, [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def windows(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -245,11 +302,25 @@ def windows(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def subwords(words: list[bytes], vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words, each with a space before it, and where each word's begin."""
-    encode = encoder(vocabulary).encode_ordinary
-    ids = [encode(" " + w.decode()) for w in words]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-    return np.array([i for x in ids for i in x], dtype=np.int64), first
+    """Ids of the words, each with a space before it, and where each word's begin.
+
+    Many words are cut in one call: no piece of the vocabulary's pattern goes on over a space into the next word. It may where a
+    word has other white space; such words' lots are cut word by word.
+    """
+    encode, size = encoder(vocabulary).encode_ordinary, sizes(vocabulary)
+    ids, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for lo in range(0, len(words), LOT):
+        lot = words[lo : lo + LOT]
+        text = b" ".join([b"", *lot]).decode()
+        if _OTHER_SPACE.search(text):
+            each = [encode(" " + w.decode()) for w in lot]
+            ids.append(np.array([i for x in each for i in x], dtype=np.int64))
+            counts.append(np.array([len(x) for x in each], dtype=np.int64))
+        else:
+            ids.append(np.array(encode(text), dtype=np.int64))
+            upto = np.searchsorted(np.cumsum(size[ids[-1]]), np.cumsum([len(w) + 1 for w in lot]), side="right")
+            counts.append(np.diff(upto, prepend=0))
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
 
 
 END = SUBWORDS
@@ -338,10 +409,10 @@ def _flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in sorted(weights)])
 
 
-def _unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def _views(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = values[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = values[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
@@ -384,7 +455,7 @@ def _learned(texts: DataFrame, words: int, vocabulary: str) -> Attention:
         mean = rows.groupBy("weight").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
         values = np.zeros(len(mean))
         values[mean.column("weight").to_numpy()] = mean.column("value").to_numpy()
-        model.w = _unflat(values, model.w)
+        model.w = _views(values.astype(np.float32), model.w)
 
     lone = shards == 1
     # The largest shard, so that it is not what one task had left.
