@@ -691,6 +691,24 @@ def test_a_draw_of_more_blocks_than_numpy_takes(monkeypatch):
     assert out.sum(axis=0).tolist() == [1000, 7, 0, 250] and out.sum(axis=1).max() - out.sum(axis=1).min() <= 5
 
 
+def test_line_dedup_shuffles_texts_once(spark):
+    """Also where the copies found are no small table; null ids find their copies as others do."""
+    run = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(4))
+    docs = spark.createDataFrame([(1, run), (None, run + "\nz"), (None, run + "\ny"), (3, "a"), (3, run), (3, run), (4, None), (None, None)], "doc_id long, text string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = line_dedup.dedup(docs)
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        got = sorted(((r.doc_id, r.text, r.lines_deleted) for r in found.collect()), key=repr)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(part.split(" ", 1)[1].startswith("Exchange") and "packed#" in part for part in plan.split("\n(") if " " in part) == 1
+    assert got == sorted([(1, run, 0), (None, "z", 4), (None, "y", 4), (3, "a", 0), (3, "", 4), (3, "", 4), (4, None, 0), (None, None, 0)], key=repr)
+
+
 def test_line_dedup_is_its_oracle(spark):
     db = duckdb.connect()
     db.execute(f"create view documents as select * from '{DATA}/documents.parquet'")

@@ -130,10 +130,12 @@ def _later_copies(docs: DataFrame, min_words: int) -> DataFrame:
 
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
     """packed, kept (the text with the lines that stay), before and deleted: one row per document."""
-    copies = later_copies(docs, min_words).select(F.col("doc_id").alias("copy_id"), F.col("row_key").alias("copy_key"), F.col("lines").alias("copy_lines"))
-    joined = packed(docs).join(copies, F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("row_key") == F.col("copy_key")), "left")
+    # A null id is a key like any other inside of a struct. Window and join have the same keys, so texts are shuffled once.
+    key = F.struct("doc_id").alias("key")
+    copies = later_copies(docs, min_words).select(key, "row_key", F.col("lines").alias("copy_lines"))
     # Of rows that are wholly equal in id and text, all but one lose every run that counts.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "row_key").orderBy(F.xxhash64("packed")))
+    nth = F.row_number().over(Window.partitionBy("key", "row_key").orderBy(F.xxhash64("packed")))
+    joined = packed(docs).select(key, "row_key", "packed").withColumn("nth", nth).join(copies, ["key", "row_key"], "left")
     text = F.col("packed.text").cast("string")
     worded = F.transform(_worded(text), lambda s: s["line_no"])
     again = (F.col("nth") > 1) & (F.regexp_count(text, F.lit(SPACED_WORD)) >= min_words)
@@ -141,7 +143,7 @@ def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
     gone = F.when(text.isNull(), none).when(again, worded).otherwise(F.coalesce("copy_lines", none))
     stay = F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), F.col("gone"))
     left = F.when(F.size("gone") == 0, text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
-    joined = joined.withColumn("nth", nth).withColumn("gone", gone).withColumn("lines", _lines(text))
+    joined = joined.withColumn("gone", gone).withColumn("lines", _lines(text))
     return joined.select("packed", left.alias("kept"), F.coalesce(F.size(worded), F.lit(0)).alias("before"), F.size("gone").alias("deleted"))
 
 
