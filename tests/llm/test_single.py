@@ -240,6 +240,38 @@ def test_words_are_cut_in_lots(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [plain.encode_ordinary(" " + w.decode()) for w in some]
 
 
+def test_each_word_is_cut_once_and_each_text_split_once(monkeypatch, model):
+    """In all slices of a task, for shards as for scores; and a part of a shard's windows is made without the others."""
+    texts = [brute.lower(t) for _, t, *_ in brute.rows(2) if t]
+    column, distinct = pa.array(texts, pa.large_string()), {w for t in texts for w in brute.spaced(t)}
+    monkeypatch.setattr(attention_lm, "SLICE", 4096)
+    cut, split = [], []
+    plain, plain_split, plain_windows = attention_lm.subwords, attention_lm.split_words, attention_lm.windows
+    monkeypatch.setattr(attention_lm, "subwords", lambda words, vocabulary: (cut.extend(words), plain(words, vocabulary))[1])
+    monkeypatch.setattr(attention_lm, "split_words", lambda column, table: (split.append(len(column)), plain_split(column, table))[1])
+    batches = [pa.RecordBatch.from_arrays([x], names=["text"]) for x in (column, column)]
+    (shard,) = attention_lm._shards(iter(batches), attention_lm.VOCABULARY, float("inf"))
+    assert sorted(cut) == sorted(w.encode() for w in distinct)
+    ids, first, _ = attention_lm.ids_of(column, attention_lm.VOCABULARY)
+    assert shard.column("ids")[0].as_py() == np.tile(ids, 2).astype(np.uint16).tobytes()
+    docs = pa.table({"doc_id": pa.array(range(len(texts))), "held_out": pa.array([False] * len(texts)), "text": column})
+    none = pa.table({"word": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+    cut.clear(), split.clear()
+    got = attention_lm._score(docs, none, model, 0, 0, attention_lm.VOCABULARY)
+    assert sorted(cut) == sorted(w.encode() for w in distinct) and sum(split) == len(texts)
+    assert np.allclose(got.column("score").to_numpy(), np.add.reduceat(model.log10(ids, first), first[:-1]), rtol=1e-4)
+    # What is forgotten is cut again, with the same ids.
+    monkeypatch.setattr(attention_lm, "KEPT_WORDS", 5)
+    (again,) = attention_lm._shards(iter(batches), attention_lm.VOCABULARY, float("inf"))
+    assert again.equals(shard)
+    made = []
+    monkeypatch.setattr(attention_lm, "windows", lambda *args: (made.append(plain_windows(*args)), made[-1])[1])
+    whole = len(plain_windows(model.class_of[ids], first)[0])
+    for turn in range(2):
+        attention_lm.untrained(np.ones(attention_lm.SUBWORDS + 1)).train(ids, first, 1, part=(turn, 2))
+    assert sum(len(x[0]) for x in made) == whole
+
+
 def test_windows_score_each_id_once_whatever_stands_beside(model):
     rng = np.random.default_rng(1)
     sizes = [1, 15, 16, 17, 32, 33, 200]

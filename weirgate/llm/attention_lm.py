@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.llm.arrow_text import SPACED, Words, slices, split_words
-from weirgate.llm.shared import ascii_lower, bucket_of, map_arrow, stage
+from weirgate.llm.shared import bucket_of, map_arrow, stage
 from weirgate.llm.vocabulary import VOCABULARY, encoder, sizes
 from weirgate.materialize import scratch
 
@@ -62,6 +62,8 @@ AT_ONCE = 256
 #: Bytes of text that are scored at once, and distinct words that a task tallies before it gives them out.
 SLICE = 1 << 20
 TALLY = 1 << 19
+#: Distinct words whose subwords a task that makes shards remembers, before it begins anew.
+KEPT_WORDS = 1 << 19
 #: Words that are cut into subwords in one call.
 LOT = 4096
 _OTHER_SPACE = re.compile(r"[^\S ]")
@@ -85,94 +87,96 @@ class Attention:
     def forward(self, seen: np.ndarray, hidden: np.ndarray) -> dict[str, np.ndarray]:
         """seen: windows x (CONTEXT + STEP) classes; hidden: which of them are padding. What comes before the logits of the STEP last places.
 
-        x, q, kv and e by window, the rest a row for each late place; e: exponents of what is seen, 1 / inv their sum over a row.
+        Keys and values are not made: a query times QK' meets what is seen as it is, and V with O is one product after the sum over places.
+        Rows have a last column of ones, which takes in the biases and the sums of exponents. x, es and ts by window, the rest a row for
+        each late place; es begins with the exponents of what is seen, and ts ends with the queries; their other halves are for the gradients.
         """
         w, n = self.w, len(seen)
-        x = w["E"].take(seen, axis=0)
-        x += w["P"]
-        late = x[:, CONTEXT:].reshape(-1, WIDTH)
-        q = (late @ (w["Q"] * _SCALE)).reshape(n, STEP, WIDTH)
-        kv = (x.reshape(-1, WIDTH) @ np.concatenate([w["K"], w["V"]], axis=1)).reshape(n, CONTEXT + STEP, 2 * WIDTH)
-        e = _exp(q @ kv[..., :WIDTH].transpose(0, 2, 1))
+        x = _bordered(w["E"], 1, 0).take(seen, axis=0)
+        x += _bordered(w["P"], 0, 0)
+        late, plain = x[:, CONTEXT:].reshape(-1, WIDTH + 1), x[..., :WIDTH]
+        es, ts = np.empty((n, 2 * STEP, CONTEXT + STEP), x.dtype), np.empty((n, 2 * STEP, WIDTH + 1), x.dtype)
+        e = es[:, :STEP]
+        t = ts[:, STEP:, :WIDTH]
+        t[:] = (late[:, :WIDTH] @ (w["Q"] @ w["K"].T * _SCALE)).reshape(n, STEP, WIDTH)
+        np.matmul(t, plain.transpose(0, 2, 1), out=e)
+        _exp(e)
         _hide(e, hidden)
+        o = (e @ x).reshape(-1, WIDTH + 1)
         # A row that sees nothing is padding, and is not counted.
-        inv = 1 / np.maximum(_row_sums(e), np.float32(1e-30))
-        o = (e @ kv[..., WIDTH:]).reshape(-1, WIDTH)
+        inv = 1 / np.maximum(o[:, WIDTH:], np.float32(1e-30))
         o *= inv
-        h = late + o @ w["O"]
-        m = h @ w["A"]
-        m += w["a"]
-        np.maximum(m, 0, out=m)
-        z = h + m @ w["B"]
-        return {"x": x, "late": late, "q": q, "kv": kv, "e": e, "inv": inv, "o": o, "h": h, "m": m, "z": z}
+        h = o @ _bordered(w["V"] @ w["O"], 0, 1)
+        h += late
+        m = h @ np.concatenate([w["A"], w["a"][None]])
+        signs = m.view(f"i{m.itemsize}")
+        keep = ~(signs >> (8 * m.itemsize - 1))
+        signs &= keep
+        z = m @ _bordered(w["B"], 0, 0)
+        z += h
+        return {"x": x, "late": late, "es": es, "ts": ts, "inv": inv, "o": o, "h": h, "m": m, "keep": keep, "z": z}
 
     def gradients(self, seen: np.ndarray, hidden: np.ndarray, wanted: np.ndarray, counts: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Of the mean negative log likelihood of `wanted` where `counts`."""
-        w, f = self.w, self.forward(seen, hidden)
+        w, f, many = self.w, self.forward(seen, hidden), len(seen)
         rows, want, group, members = _by_group(wanted, counts)
-        z, side = f["z"].take(rows, axis=0), want - group * SIDE
-        each, n = np.arange(len(want)), max(1, len(want))
+        z = f["z"].take(rows, axis=0)
+        n, begin = max(1, len(want)), np.arange(0, SIDE * len(want), SIDE)
 
         def errors(y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-            own = y[each, at]
+            at, flat = at + begin, y.reshape(-1)
+            own = flat.take(at)
             p = _exp(y)
             total = _row_sums(p)
             p *= 1 / (total * n)
-            p[each, at] -= 1 / n
-            return p, float((np.log(total[:, 0]) - own).sum()) / n
-
-        dg, lost_group = errors(z @ w["G"] + w["g"], group)
-        dy, lost_side = errors(self._sides(z, members), side)
-        loss = lost_group + lost_side
-        ones = np.ones(len(want), z.dtype)
-        g = {"G": z.T @ dg, "g": ones @ dg, "U": np.empty_like(w["U"]), "b": np.empty_like(w["b"])}
-        late, inner = dg @ w["G"].T, np.empty_like(z)
-        for i, own in enumerate(members):
-            np.matmul(z[own].T, dy[own], out=g["U"][i])
-            np.matmul(ones[own], dy[own], out=g["b"][i])
-            np.matmul(dy[own], w["U"][i].T, out=inner[own])
+            flat[at] = flat.take(at) - 1 / n
+            return p, float(np.log(total[:, 0]).sum() - own.sum()) / n
+
+        dg, lost_group = errors(z @ np.concatenate([w["G"], w["g"][None]]), group)
+        dy, lost_side = errors(self._sides(z, members), want - group * SIDE)
+        late, inner, du = dg @ w["G"].T, np.empty((len(z), WIDTH), z.dtype), np.empty((GROUPS, WIDTH + 1, SIDE), z.dtype)
+        for own, u, into in zip(members, w["U"], du, strict=True):
+            np.dot(z[own].T, dy[own], out=into)
+            np.dot(dy[own], u.T, out=inner[own])
         late += inner
-        dz = np.zeros_like(f["z"])
+        dz = np.zeros((len(f["z"]), WIDTH), z.dtype)
         dz[rows] = late
+        dg = z.T @ dg
+        g = {"G": dg[:WIDTH], "g": dg[WIDTH], "U": du[:, :WIDTH], "b": du[:, WIDTH]}
 
         dm = dz @ w["B"].T
-        dm *= f["m"] > 0
-        g |= {"B": f["m"].T @ dz, "A": f["h"].T @ dm, "a": np.ones(len(dm), dm.dtype) @ dm}
-        dh = dz + dm @ w["A"].T
-        g["O"] = f["o"].T @ dh
-        # The sums of exponents are divided out in rows of WIDTH, not in those of all places seen.
-        do = dh @ w["O"].T
+        signs = dm.view(f["keep"].dtype)
+        signs &= f["keep"]
+        da = f["h"].T @ dm
+        g |= {"B": f["m"].T @ dz, "A": da[:WIDTH], "a": da[WIDTH]}
+        dh = dm @ w["A"].T
+        dh += dz
+        dvo = (f["o"].T @ dh)[:WIDTH]
+        g["V"], g["O"] = dvo @ w["O"].T, w["V"].T @ dvo
+        # The sums of exponents are divided out in rows of WIDTH, not in those of all places seen; the column beside takes off each row's mean.
+        do = dh @ _bordered((w["V"] @ w["O"]).T, 0, 0)
         do *= f["inv"]
-        within = np.einsum("ij,ij->i", do, f["o"]).reshape(len(seen), STEP, 1)
-        do = do.reshape(len(seen), STEP, WIDTH)
-        ds = do @ f["kv"][..., WIDTH:].transpose(0, 2, 1)
-        ds -= within
-        ds *= f["e"]
-        dkv = np.empty_like(f["kv"])
-        dkv[..., :WIDTH] = ds.transpose(0, 2, 1) @ f["q"]
-        dkv[..., WIDTH:] = f["e"].transpose(0, 2, 1) @ do
-        dq = (ds @ f["kv"][..., :WIDTH]).reshape(-1, WIDTH)
-        dkv = dkv.reshape(-1, 2 * WIDTH)
-        g["Q"] = (f["late"].T @ dq) * _SCALE
-        g["K"], g["V"] = np.split(f["x"].reshape(-1, WIDTH).T @ dkv, 2, axis=1)
-        dx = (dkv @ np.concatenate([w["K"], w["V"]], axis=1).T).reshape(f["x"].shape)
-        dx[:, CONTEXT:] += (dh + dq @ (w["Q"] * _SCALE).T).reshape(len(seen), STEP, WIDTH)
+        do[:, WIDTH:] = -_row_sums(do * f["o"])
+        f["ts"][:, :STEP] = do.reshape(many, STEP, WIDTH + 1)
+        ds = f["es"][:, STEP:]
+        np.matmul(f["ts"][:, :STEP], f["x"].transpose(0, 2, 1), out=ds)
+        ds *= f["es"][:, :STEP]
+        dt = (ds @ f["x"][..., :WIDTH]).reshape(-1, WIDTH)
+        # What is seen gets both e' do and ds' t, in one product.
+        dx = f["es"].transpose(0, 2, 1) @ f["ts"][..., :WIDTH]
+        dqk = f["late"][:, :WIDTH].T @ dt * _SCALE
+        g["Q"], g["K"] = dqk @ w["K"], dqk.T @ w["Q"]
+        dh += dt @ (w["K"] @ w["Q"].T * _SCALE)
+        dx[:, CONTEXT:] += dh.reshape(many, STEP, WIDTH)
         g["P"] = dx.sum(axis=0)
-        g["E"] = np.zeros_like(w["E"])
-        classes = seen.ravel().astype(np.int16)
-        order = np.argsort(classes, kind="stable")
-        classes = classes[order]
-        new = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
-        g["E"][classes[new]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), new, axis=0)
-        return g, loss
+        g["E"] = np.bincount(_PLACES.take(seen, axis=0).reshape(-1), dx.reshape(-1), _PLACES.size).astype(dx.dtype).reshape(_PLACES.shape)
+        return g, lost_group + lost_side
 
     def _sides(self, z: np.ndarray, members: list[slice]) -> np.ndarray:
-        """Logits within their groups of rows in the order of the groups."""
-        w = self.w
+        """Logits within their groups of rows in the order of the groups; the last column of z is ones."""
         y = np.empty((len(z), SIDE), z.dtype)
-        for i, own in enumerate(members):
-            np.matmul(z[own], w["U"][i], out=y[own])
-        y += np.repeat(w["b"], [own.stop - own.start for own in members], axis=0)
+        for own, u in zip(members, np.concatenate([self.w["U"], self.w["b"][:, None]], axis=1), strict=True):
+            np.dot(z[own], u, out=y[own])
         return y
 
     def train(self, ids: np.ndarray, first: np.ndarray, steps: int = STEPS, seed: int = 6, top_rate: float = RATE, part: tuple[int, int] | None = (0, 1)) -> list[float]:
@@ -181,17 +185,18 @@ class Attention:
         part: the i-th of n parts of the windows, all of which is gone through, in `steps` steps or more, again from its start where
         it is short; None: `steps` steps and no more.
         """
-        seen, hidden, wanted, counts, _ = windows(self.class_of[ids], first)
-        order = np.random.default_rng(seed).permutation(len(seen))
+        order = np.random.default_rng(seed).permutation(int((-(-np.diff(first) // STEP)).sum()))
         if part is not None:
             order = order[len(order) * part[0] // part[1] : len(order) * (part[0] + 1) // part[1]]
             steps = max(steps, -(-len(order) // BATCH)) if len(order) else 0
+        # Those that no step comes to are not made.
+        seen, hidden, wanted, counts, _ = windows(self.class_of[ids], first, order[: steps * BATCH])
         flat = _flat(self.w)
         self.w = _views(flat, self.w)
         m, v = np.zeros_like(flat), np.zeros_like(flat)
         losses = []
         for step in range(1, steps + 1):
-            at = order[np.arange((step - 1) * BATCH, step * BATCH) % len(order)]
+            at = np.arange((step - 1) * BATCH, step * BATCH) % len(seen)
             g, loss = self.gradients(seen[at], hidden[at], wanted[at], counts[at])
             losses.append(loss)
             rate = top_rate * min(1, step / 50) * (1 - 0.9 * step / steps)
@@ -217,10 +222,10 @@ class Attention:
         What depends on a class or a place alone is multiplied out once; exponents are small enough to need no shift.
         """
         w = self.w
-        late = np.concatenate([w["E"], w["E"] @ w["Q"] * _SCALE], axis=1)
-        late_place = np.concatenate([w["P"], w["P"] @ w["Q"] * _SCALE], axis=1)[CONTEXT:]
-        pair = np.concatenate([w["E"] @ w["K"], w["E"] @ w["V"] @ w["O"]], axis=1)
-        pair_place = np.concatenate([w["P"] @ w["K"], w["P"] @ w["V"] @ w["O"]], axis=1)
+        # Beside the places' own rows a column for the sums of exponents, which are ones once divided by themselves and so take in the biases.
+        late, late_place = (np.concatenate([_bordered(y, 0, 0), y @ w["Q"] * _SCALE], axis=1) for y in (w["E"], w["P"][CONTEXT:]))
+        pair, pair_place = (np.concatenate([y @ w["K"], _bordered(y @ w["V"] @ w["O"], one, 0)], axis=1) for y, one in ((w["E"], 1), (w["P"], 0)))
+        inner, outer, of_group = np.concatenate([w["A"], w["a"][None]]), _bordered(w["B"], 0, 0), np.concatenate([w["G"], w["g"][None]])
         out = np.zeros(len(ids))
         seen, hidden, wanted, counts, place = windows(self.class_of[ids], first)
         for lo in range(0, len(seen), AT_ONCE):
@@ -229,38 +234,46 @@ class Attention:
             x += late_place
             kv = pair.take(seen[part], axis=0)
             kv += pair_place
-            e = _exp(x[..., WIDTH:] @ kv[..., :WIDTH].transpose(0, 2, 1))
+            e = _exp(x[..., WIDTH + 1 :] @ kv[..., :WIDTH].transpose(0, 2, 1))
             _hide(e, hidden[part])
-            h = (e @ kv[..., WIDTH:]).reshape(-1, WIDTH)
+            h = (e @ kv[..., WIDTH:]).reshape(-1, WIDTH + 1)
             # A row that sees nothing is padding, and is not counted.
-            h /= np.maximum(_row_sums(e), np.float32(1e-30))
-            h += x[..., :WIDTH].reshape(-1, WIDTH)
+            h /= np.maximum(h[:, WIDTH:], np.float32(1e-30))
+            h += x[..., : WIDTH + 1].reshape(-1, WIDTH + 1)
             rows, want, group, members = _by_group(wanted[part], counts[part])
             h = h.take(rows, axis=0)
-            m = h @ w["A"]
-            m += w["a"]
-            z = h + np.maximum(m, 0, out=m) @ w["B"]
-            each = np.arange(len(want))
-            got = np.zeros(len(want), z.dtype)
-            for y, at in ((z @ w["G"] + w["g"], group), (self._sides(z, members), want - group * SIDE)):
-                got += y[each, at]
-                got -= np.log(_row_sums(_exp(y))[:, 0])
+            m = h @ inner
+            z = np.maximum(m, 0, out=m) @ outer
+            z += h
+            begin, got = np.arange(0, SIDE * len(want), SIDE), 0
+            for y, at in ((z @ of_group, group), (self._sides(z, members), want - group * SIDE)):
+                got += y.reshape(-1).take(at + begin) - np.log(_row_sums(_exp(y))[:, 0])
             out[place[part].ravel()[rows]] = got
         return out / np.log(10) + self.tail[ids]
 
 
 _SEEN = (np.arange(CONTEXT + STEP)[None, :] <= CONTEXT + np.arange(STEP)[:, None]).astype(np.float32)
 _SCALE = np.float32(WIDTH**-0.5)
+#: Where each class's weights lie in E.
+_PLACES = np.arange(CLASSES * WIDTH).reshape(CLASSES, WIDTH)
 #: Logits are small and need no shift before they are exponents; none of a model that went astray makes them infinite.
 MOST_LOGIT = np.float32(80)
 
 
 def _exp(y: np.ndarray) -> np.ndarray:
     """In place."""
-    np.minimum(y, MOST_LOGIT, out=y)
+    if y.size and y.max() > MOST_LOGIT:
+        np.minimum(y, MOST_LOGIT, out=y)
     return np.exp(y, out=y)
 
 
+def _bordered(a: np.ndarray, beside: float, below: int) -> np.ndarray:
+    """a with a column beside it, and with so many rows of zeros below."""
+    out = np.zeros((len(a) + below, a.shape[1] + 1), a.dtype)
+    out[: len(a), :-1], out[: len(a), -1] = a, beside
+    return out
+
+
 def _row_sums(y: np.ndarray) -> np.ndarray:
     """Of the last axis, as one column; a product with ones, which takes a fifth of a sum's time."""
     return y.reshape(-1, y.shape[-1]) @ np.ones((y.shape[-1], 1), y.dtype)
@@ -284,12 +297,13 @@ def _by_group(wanted: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows, want, group, [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def windows(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows of inputs (the class before each place), padding, wanted classes, which count, and their places."""
+def windows(classes: np.ndarray, first: np.ndarray, some: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, ...]:
+    """Windows of inputs (the class before each place), padding, wanted classes, which count, and their places; of all windows or of some, in their order."""
     size = np.diff(first)
     n = -(-size // STEP)
     doc = np.repeat(np.arange(len(size)), n)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    nth = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n))[some]
+    doc = doc[some]
     inside = (nth[:, None] * STEP - CONTEXT + np.arange(CONTEXT + STEP)).astype(np.int32)
     hidden = (inside < 0) | (inside > size[doc][:, None])
     place = first[doc][:, None] + inside
@@ -329,20 +343,49 @@ END = SUBWORDS
 def spelled(words: Words, known: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of whole texts, END after each; begins of texts; begins of words and ends of text among them. known: number of each word in ids, first."""
     docs = len(words.first) - 1
-    entry = np.full(len(known) + docs, -1)
+    # The end counts as one more word.
+    ids, first = np.append(ids, END), np.append(first, len(ids) + 1)
+    entry = np.full(len(known) + docs, len(first) - 2)
     ends = words.first[1:] + np.arange(docs)
     own = np.ones(len(entry), dtype=bool)
     own[ends] = False
     entry[own] = known
-    size = np.where(own, first[np.clip(entry, 0, len(first) - 2) + 1] - first[np.clip(entry, 0, len(first) - 2)], 1) if len(first) > 1 else np.ones(len(entry), dtype=np.int64)
-    at = np.cumsum(size) - size
-    out = np.full(int(size.sum()), END)
-    inside = np.arange(len(out)) - np.repeat(at, size)
-    source = np.repeat(np.where(own, first[np.clip(entry, 0, len(first) - 1)], 0), size) + inside
-    is_word = np.repeat(own, size)
-    out[is_word] = ids[source[is_word]]
-    text_first = np.concatenate([[0], at[ends] + 1])
-    return out, text_first, at
+    size = np.diff(first).take(entry)
+    upto = np.cumsum(size)
+    at = upto - size
+    source = np.repeat(first.take(entry) - at, size)
+    source += np.arange(len(source))
+    return ids.take(source), np.concatenate([[0], upto[ends]]), at
+
+
+class Cutter:
+    """Cuts words into subwords, each once as long as it remembers it: it forgets all words so far once they are `most`."""
+
+    def __init__(self, vocabulary: str, most: float) -> None:
+        self.vocabulary, self.most = vocabulary, most
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, dtype=np.int64)
+        self.words = self.hashes = none.view(np.uint64)
+        self.number, self.ids, self.first = none, none, np.zeros(1, dtype=np.int64)
+
+    def numbers(self, words: Words) -> np.ndarray:
+        """Of each word, its number in ids, first and words, which has the hashes; hashes and number are the same in the order of hashes."""
+        if len(self.hashes) >= self.most:
+            self.forget()
+        h, at, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, h)
+        met = self.hashes.take(place, mode="clip") == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
+        new = ~met
+        number = np.empty(len(h), dtype=np.int64)
+        number[met] = self.number[place[met]]
+        number[new] = len(self.first) - 1 + np.arange(int(new.sum()))
+        ids, first = subwords([words.low[s:e].tobytes() for s, e in zip(words.start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True)], self.vocabulary)
+        self.first = np.concatenate([self.first, self.first[-1] + first[1:]])
+        self.ids, self.words = np.concatenate([self.ids, ids]), np.concatenate([self.words, h[new]])
+        self.hashes, self.number = (np.insert(x, place[new], y[new]) for x, y in ((self.hashes, h), (self.number, number)))
+        return number.take(inverse)
 
 
 def untrained(counts: np.ndarray) -> Attention:
@@ -357,12 +400,12 @@ def untrained(counts: np.ndarray) -> Attention:
     return Attention.fresh(class_of, tail, np.log(share / share.sum()))
 
 
-def ids_of(column: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray, int]:
+def ids_of(column: pa.Array, vocabulary: str, cutter: Cutter | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids of the texts of a column, END after each, where each text begins, and the number of words; each distinct word is cut into subwords once."""
+    cutter = cutter or Cutter(vocabulary, KEPT_WORDS)
     words = split_words(pc.fill_null(column.cast(pa.large_string()), ""), SPACED)
-    _, at, known = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    ids, first = subwords([words.low[s:e].tobytes() for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)], vocabulary)
-    ids, text_first, _ = spelled(words, known, ids, first)
+    known = cutter.numbers(words)
+    ids, text_first, _ = spelled(words, known, cutter.ids, cutter.first)
     return ids, text_first, len(words.start)
 
 
@@ -379,15 +422,15 @@ def _shards(batches: Iterator[pa.RecordBatch], vocabulary: str, most: float) ->
     """Shards of so many words or a little more, and one of what is left: a number by content, the ids of the texts in 16 bits, and where each text begins."""
 
     def row() -> pa.RecordBatch:
-        ids = np.concatenate([x for x, _ in kept]).astype(np.uint16).tobytes()
+        ids = np.concatenate([x for x, _ in kept]).tobytes()
         size = np.concatenate([np.diff(f) for _, f in kept])
         return pa.RecordBatch.from_arrays([pa.array([zlib.crc32(ids)], pa.int64()), pa.array([ids], pa.binary()), pa.array([np.concatenate([[0], np.cumsum(size)]).astype(np.int64).tobytes()], pa.binary())], names=["shard", "ids", "first"])
 
-    kept, words = [], 0
+    kept, words, cutter = [], 0, Cutter(vocabulary, KEPT_WORDS)
     for batch in batches:
         for _, texts in slices(batch.column("text"), SLICE):
-            ids, first, n = ids_of(texts, vocabulary)
-            kept.append((ids, first))
+            ids, first, n = ids_of(texts, vocabulary, cutter)
+            kept.append((ids.astype(np.uint16), first))
             words += n + len(texts)
             if words >= most:
                 yield row()
@@ -430,7 +473,7 @@ def _trained(batches: Iterator[pa.RecordBatch], shared, steps: int, rate: float,
 
 
 def learn(texts: DataFrame, words: int, vocabulary: str = VOCABULARY) -> Attention:
-    """A model of all training texts (column text, lower-cased), of so many words in all."""
+    """A model of all training texts (column text; A-Z is lower-cased where it is cut into words), of so many words in all."""
     with scratch(texts.sparkSession):
         return _learned(texts, words, vocabulary)
 
@@ -498,30 +541,26 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*_summed(*(np.concatenate(x) for x in zip(*kept, strict=True))))
 
 
+def _looked_up(table: np.ndarray, values: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The value of each word in a sorted table of words; 0 where it isn't there."""
+    if not len(table):
+        return np.zeros(len(words), dtype=values.dtype)
+    where = np.searchsorted(table, words)
+    return np.where(table.take(where, mode="clip") == words, values.take(where, mode="clip"), 0)
+
+
 def _score(docs: pa.Table, counts: pa.Table, model: Attention, total: int, ends: int, vocabulary: str) -> pa.Table:
     table = counts.column("word").to_numpy().view(np.uint64)
     order = np.argsort(table)
     table, n = table[order], counts.column("c").to_numpy()[order]
     # Each word of the bucket is cut into subwords once.
-    distinct, spelling = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=object)
-    for _, part in slices(docs.column("text"), SLICE):
-        words = split_words(part, SPACED)
-        h, at = np.unique(words.hashes(), return_index=True)
-        new = ~np.isin(h, distinct, assume_unique=True)
-        at = at[new]
-        spelled_now = np.empty(len(at), dtype=object)
-        spelled_now[:] = [words.low[s:e].tobytes() for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
-        distinct, spelling = np.concatenate([distinct, h[new]]), np.concatenate([spelling, spelled_now])
-    order = np.argsort(distinct)
-    distinct, spelling = distinct[order], spelling[order]
-    bucket_ids, first = subwords(spelling.tolist(), vocabulary)
+    cutter, c = Cutter(vocabulary, float("inf")), np.zeros(0, dtype=np.int64)
     out = []
     for lo, part in slices(docs.column("text"), SLICE):
         words = split_words(part, SPACED)
-        known = np.searchsorted(distinct, words.hashes())
-        where = np.clip(np.searchsorted(table, distinct), 0, max(0, len(table) - 1))
-        c = np.where(table[where] == distinct, n[where], 0) if len(table) else np.zeros(len(distinct), dtype=np.int64)
-        ids, text_first, word_at = spelled(words, known, bucket_ids, first)
+        known = cutter.numbers(words)
+        c = np.concatenate([c, _looked_up(table, n, cutter.words[len(c) :])])
+        ids, text_first, word_at = spelled(words, known, cutter.ids, cutter.first)
         p = np.add.reduceat(model.log10(ids, text_first), word_at)
         tokens = np.full(len(word_at), ends)
         own = np.ones(len(word_at), dtype=bool)
@@ -559,7 +598,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     sums = counts.agg(F.count("*").alias("known"), F.sum("c").alias("n")).first()
     known, total = sums["known"] + (ends > 0), (sums["n"] or 0) + ends
 
-    model = learn(rows.filter(~F.col("held_out")).select(ascii_lower(F.col("text")).alias("text")), total, vocabulary)
+    model = learn(rows.filter(~F.col("held_out")).select("text"), total, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     counted = words.select("bucket", "word").join(counts, "word")
