@@ -520,6 +520,17 @@ def test_syncs_to_files_and_memory(spark, tmp_path):
     assert len(kept.rows) == 3 and files.delivered(spark, str(next((tmp_path / "csv").iterdir()))).count() == 3
 
 
+def test_deliveries_of_several_batches_are_read_together(spark, tmp_path):
+    to = files.destination(str(tmp_path / "csv"), "csv")
+    runner = Runner(spark, Store(spark, str(tmp_path / "store")), Registry(to), page_rows=3)
+    sync = Sync("s", STATE, "csv", "state")
+    runner.run(sync, table(spark, rows(5)))
+    runner.run(sync, table(spark, rows(4)))
+    assert len(list((tmp_path / "csv").iterdir())) == 3
+    got = files.delivered(spark, str(tmp_path / "csv" / "*")).collect()
+    assert sorted((r.operation, r.key_json) for r in got) == [("remove", '{"customer":"4"}'), *(("upsert", f'{{"customer":"{i}"}}') for i in range(5))]
+
+
 def test_event_stream_delivers_once(spark, tmp_path):
     schema, place = "id long, at timestamp, n int", str(tmp_path / "in")
     saved: list[str] = []

@@ -46,9 +46,11 @@ def deliver(rows: DataFrame, folder: str, columns: Sequence[str] = COLUMNS, max_
 
 
 def delivered(spark, folder: str, columns: Sequence[str] = COLUMNS) -> DataFrame:
-    """The rows of a delivery, as text, with `operation`."""
+    """The rows of a delivery, or of all whose folders a pattern names, as text, with `operation`."""
     schema = ", ".join(f"{c} {'long' if c == 'sequence_order' else 'string'}" for c in columns)
-    return spark.read.schema(f"{schema}, operation string").option("header", True).option("escape", '"').csv(f"{folder.rstrip('/')}/rows")
+    # The operation is read from the file's place: folders of several deliveries have no common root to find partitions below.
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("recursiveFileLookup", True).csv(f"{folder.rstrip('/')}/rows")
+    return rows.withColumn("operation", F.regexp_extract(F.col("_metadata.file_path"), "/operation=([^/]+)/[^/]+$", 1))
 
 
 def destination(folder: str, name: str = "files") -> Destination:
