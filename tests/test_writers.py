@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tests.test_runner import EVENTS, STATE, SYNC, Partner, buys, flat, ledger, retryable, rows, small_plans, table  # noqa: F401
 from weirgate import files, operations, store as stores
-from weirgate.declarations import DeclarationError, Source, State, Sync
+from weirgate.declarations import DeclarationError, Event, Source, State, Sync
 from weirgate.decisions import Counts, Job
 from weirgate.destinations import Destination, Registry, Surface, from_mapping
 from weirgate.materialize import written
 from weirgate.operators import batching, diff, ordinal, paging
+from weirgate.operators.diff import DuplicateIdentity
 from weirgate.operators.ledger import LedgerError
-from weirgate.runner import Fenced, Runner
+from weirgate.runner import Fenced, Runner, _Send
 from weirgate.sources.keyset import WorkPosition
 from weirgate.store import Conflict, Store
 from weirgate.streaming import events
@@ -337,6 +338,55 @@ def test_pages_of_events_read_the_source_once(spark, runner, partner):
     assert flat(partner) == sorted(flat(partner), key=lambda x: int(x[1][7:-1]))
 
 
+def test_pages_of_events_are_planned_together(spark, runner, partner, monkeypatch):
+    """One table for all pages, and few changes of the store; positions, pages and batches are those of pages one by one."""
+    runner.page_rows, calls = 3, []
+    plain = _Send.batched
+    monkeypatch.setattr(_Send, "batched", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    made = [(i, 1 + i // 4) for i in range(20)]
+    heads = runner.store.last().n
+    out = runner.run(EVENTS, buys(spark, *made))
+    assert out.pages == 7 and len(calls) == 1 and runner.store.last().n - heads < 3 * out.pages
+    assert [k for _, k in flat(partner)] == [f'{{"buy":{i}}}' for i in range(20)] and [len(x) for x in partner.sent] == [2, 1] * 6 + [2]
+    found = sorted(ledger(runner), key=lambda b: json.loads(b.upper_json)["primary_key"])
+    assert [b.lower_json for b in found] == [None, *(b.upper_json for b in found[:-1])] and runner.position(EVENTS, "event").primary_key == 19
+    assert [(b.batch_index, b.row_count, b.first_order, b.last_order) for b in found[2:4]] == [(0, 2, 0, 1), (1, 1, 2, 2)] and {b.status for b in found} == {"succeeded"}
+    by_one = Runner(spark, Store(spark, runner.store.folder + "-one"), runner.registry, page_rows=3, attempts=1)
+    monkeypatch.setattr("weirgate.runner.MOST_PAGES", 1)
+    by_one.run(EVENTS, buys(spark, *made))
+    names = ("batch_id", "page_id", "payload_fingerprint", "request_fingerprint", "lower_json", "upper_json")
+    assert {tuple(b[c] for c in names) for b in ledger(by_one)} == {tuple(b[c] for c in names) for b in found}
+
+
+def test_a_page_that_stops_leaves_no_trace_of_later_ones(spark, runner, partner):
+    runner.page_rows, partner.answers = 2, [None, lambda n: Counts(n, terminal=n)]
+    partner.answers[0] = lambda n: Counts(n, confirmed=n)
+    out = runner.run(EVENTS, buys(spark, *[(i, 1 + i) for i in range(8)]))
+    assert out.stopped and out.pages == 2 and runner.position(EVENTS, "event").primary_key == 1
+    assert sorted(b.status for b in ledger(runner)) == ["failed", "succeeded"]
+
+
+def test_pages_before_a_bad_one_are_sent(spark, runner, partner):
+    runner.page_rows = 2
+    twice = Sync("e", Event("buys", EVENTS.declaration.source, key={"n": "n"}, occurred_at="at"), "partner", "events")
+    with pytest.raises(DuplicateIdentity):
+        runner.run(twice, buys(spark, (1, 1), (2, 2), (3, 3), (4, 3), (5, 5)))
+    assert len(flat(partner)) == 2 and runner.position(twice, "event").primary_key == 2
+
+
+def test_a_run_that_is_lost_after_several_pages(spark, runner, partner, monkeypatch):
+    """Of pages that were delivered together none is sent again, though later events lie among them."""
+    runner.page_rows = 2
+    made = [(i, 2 * i) for i in range(1, 7)]
+    monkeypatch.setattr(Runner, "advance", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        runner.run(EVENTS, buys(spark, *made))
+    monkeypatch.undo()
+    assert len(flat(partner)) == 6
+    runner.run(EVENTS, buys(spark, *made, (9, 3), (10, 20)))
+    assert [k for _, k in flat(partner)][6:] == ['{"buy":10}'] and runner.position(EVENTS, "event").primary_key == 10
+
+
 def test_pages_of_work_open_the_folders_that_hold_them(spark, runner, partner):
     for n in (3, 5, 9):
         runner.collect(STATE, table(spark, rows(n)))
