@@ -217,6 +217,23 @@ def test_a_failed_resend_of_other_records_stays_open(spark, runner, partner):
     assert [(b.attempt_count, b.error) for b in held] == [(1, "the range of the batch gives other records")]
 
 
+def test_pages_of_events_are_sent_again_together(spark, runner, partner, monkeypatch):
+    """One table for the pages of a sweep, oldest first; batches whose range gives other rows or records stay open."""
+    runner.page_rows, partner.answers = 3, [retryable] * 8
+    made = [(i, 1 + i) for i in range(12)]
+    assert runner.run(EVENTS, buys(spark, *made)).pages == 4
+    partner.sent.clear()
+    calls, plain = [], _Send.batched
+    monkeypatch.setattr(_Send, "batched", lambda *a, **b: calls.append(1) or plain(*a, **b))
+    other = buys(spark, *[x for x in made if x[0] != 5], (20, 25)).withColumn("n", F.when(F.col("id") == 8, 5).otherwise(F.col("n")))
+    out = runner.run(EVENTS, other)
+    assert len(calls) == 2 and out.swept == 6
+    assert [k for _, k in flat(partner)] == [f'{{"buy":{i}}}' for i in (0, 1, 2, 3, 4, 6, 7, 9, 10, 11, 20)]
+    held = {json.loads(b.upper_json)["primary_key"]: (b.attempt_count, b.error) for b in ledger(runner) if b.completion_state == "unresolved"}
+    assert held == {5: (1, "the range of the batch gives 0 rows, not 1"), 8: (1, "the range of the batch gives other records")}
+    assert {b.attempt_count for b in ledger(runner) if b.completion_state == "resolved"} == {1, 2}
+
+
 def test_resends_have_pages_of_their_own(spark, runner):
     runner.run(SYNC, table(spark, rows(1)))
     for _ in range(2):
