@@ -263,6 +263,25 @@ def test_jobs_end_in_later_runs(spark, tmp_path):
     assert runner.run(SYNC, table(spark, rows(4))).stopped and ledger(runner)[-1].status == "failed" and len(partner.sent) == 3
 
 
+def test_jobs_of_a_collect_of_several_pages_run_side_by_side(spark, tmp_path):
+    """All of a collect is sent though jobs of its first page are open; nothing is committed before they end, and a job that fails stops there."""
+    partner, states = Partner(), {}
+    partner.answers = [Job(str(i)) for i in range(4)]
+    to = Destination("partner", [Surface("rows", max_rows=2)], partner, poll=lambda h: states.get(h, "running"))
+    runner = Runner(spark, Store(spark, str(tmp_path)), Registry(to), page_rows=2, attempts=1, sleep=lambda s: None)
+    out = runner.run(SYNC, table(spark, rows(5)))
+    assert out.stopped and out.pages == 3 and [len(x) for x in partner.sent] == [2, 2, 1] and runner.position(SYNC) is None
+    assert [(b.status, b.completion_state) for b in ledger(runner)] == [("accepted", "unresolved")] * 3
+    states |= {"1": "done", "2": "done"}
+    assert runner.run(SYNC, table(spark, rows(5))).stopped and runner.position(SYNC) is None and len(partner.sent) == 3
+    states |= {"0": "done"}
+    # A later collect is not sent before the one that waits is through.
+    out = runner.run(SYNC, table(spark, rows(6)))
+    assert runner.position(SYNC).collect_id < out.collected.collect_id and len(partner.sent) == 4 and partner.sent[3] == [("upsert", '{"customer":"5"}')]
+    states |= {"3": "failed"}
+    assert runner.run(SYNC, table(spark, rows(6))).stopped and ledger(runner)[-1].status == "failed" and len(partner.sent) == 4
+
+
 def test_asking_may_fail(spark, tmp_path):
     def poll(handle):
         raise OSError("no way")
