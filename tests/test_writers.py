@@ -402,6 +402,17 @@ def test_a_page_that_stops_leaves_no_trace_of_later_ones(spark, runner, partner)
     assert sorted(b.status for b in ledger(runner)) == ["failed", "succeeded"]
 
 
+def test_one_of_the_pages_that_share_a_part_is_changed(spark, runner, partner):
+    runner.page_rows, partner.answers = 2, [retryable] * 3
+    runner.run(EVENTS, buys(spark, *[(i, 1 + i) for i in range(6)]))
+    assert len(runner.store.head()[1]["destination_batches"]) == 1
+    made = sorted(ledger(runner), key=lambda b: b.upper_json)
+    operations.skip_batch(runner.store, EVENTS.scope, made[1].batch_id)
+    assert [b.status for b in sorted(ledger(runner), key=lambda b: b.upper_json)] == ["failed", "skipped", "failed"]
+    assert [runner.store.read("destination_batches", b.page_id).count() for b in made] == [1, 1, 1]
+    assert runner.run(EVENTS, buys(spark, *[(i, 1 + i) for i in range(6)])).swept == 2 and len(ledger(runner)) == 3
+
+
 def test_pages_before_a_bad_one_are_sent(spark, runner, partner):
     runner.page_rows = 2
     twice = Sync("e", Event("buys", EVENTS.declaration.source, key={"n": "n"}, occurred_at="at"), "partner", "events")
